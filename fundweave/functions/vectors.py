@@ -72,3 +72,13 @@ def model_hook(load: Callable[[], Any], batch: int = fv.EMBED_BATCH) -> Embedder
 
 def wrong_length(embedding: Column, dim: int) -> Column:
     return embedding.isNull() | (F.size(embedding) != F.lit(dim))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors in one row; null if one of them is all zeros."""
+
+    def dot(x: Column, y: Column) -> Column:
+        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

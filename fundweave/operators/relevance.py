@@ -48,14 +48,13 @@ def _kept_by_gap(scored: Column, gap: float) -> Column:
 
 def drop_near_repeats(matches: DataFrame, gap: float = fv.DUPLICATE_GAP) -> DataFrame:
     """At most k matches per question exist, so a group is a short array. No fund equals no fund."""
-    kept = (
-        matches.withColumn("_neg", -F.col("rank"))
-        .groupBy("question_id", "fund")
-        .agg(F.sort_array(F.collect_list(F.struct("_neg", "score", "rank", "namespace", "chunk_id")), asc=False).alias("m"))
-        .select("question_id", F.explode(_kept_by_gap(F.col("m"), gap)).alias("m"))
-        .select("question_id", "m.rank", "m.namespace", "m.chunk_id")
+    whole_row = F.struct(F.col("rank").alias("_order"), *matches.columns)
+    return (
+        matches.groupBy("question_id", "fund")
+        .agg(F.sort_array(F.collect_list(whole_row)).alias("_m"))
+        .select(F.explode(_kept_by_gap(F.col("_m"), gap)).alias("_m"))
+        .select(*(F.col(f"_m.{name}").alias(name) for name in matches.columns))
     )
-    return matches.join(kept, ["question_id", "rank", "namespace", "chunk_id"], "left_semi")
 
 
 def retrieval_stats(matches: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The driver tables seen as holdings, trades, documents, vectors and questions.
 
-Every function returns a DataFrame over whole tables; ``SQL`` holds the same
+Every function returns a DataFrame over whole tables; ``VIEWS`` holds the same
 views for the comparison engine. Row order is the order in the file.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fundweave import fixed_values as fv
+from fundweave.workload.catalog import VIEWS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,7 +171,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEMPLATES))
 
-SQL = {
+VIEWS.update({
     "holdings_v": """
   select l.row_ord, n.n_name as PortfolioName, cast(l.l_partkey as varchar) as SecurityId,
     p.p_name as SecName, p.p_type as SecurityTypeName,
@@ -225,4 +226,4 @@ SQL = {
   select c_custkey as question_id, replace(t.tpl, '{{f}}', n_name) as question, n_name as asked_fund
   from customer join nation on c_nationkey = n_nationkey
     join (values {_TEMPLATE_ROWS}) as t(id, tpl) on c_custkey % {len(TEMPLATES)} = t.id""",
-}
+})
