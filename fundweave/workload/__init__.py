@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("cleaning", "funds")
+_MODULES = ("cleaning", "funds", "questions")
 
 
 def _load() -> None:
