@@ -74,7 +74,7 @@ def chunk_id(namespace: Column, fund: Column, chunk_no: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def clean_answer(text: Column) -> Column:

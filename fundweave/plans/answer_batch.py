@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
@@ -33,12 +33,28 @@ def retrieve(
     return rv.drop_near_repeats(search.with_metadata(valid, vectors))
 
 
+def search_contexts(routed: DataFrame, vectors: DataFrame, **options) -> DataFrame:
+    """Routed questions with the ``context`` found for them, null where too little was.
+
+    A batch repeats itself, so each different question is searched once.
+    """
+    different = ["question", "namespace", "need_pl"]
+    asked = routed.select(*different).distinct().withColumn("question_id", F.to_json(F.struct(*different)))
+    contexts = cx.chunk_contexts(retrieve(asked, vectors, **options)).withColumnRenamed("question_id", "_asked")
+    return (
+        routed.withColumn("_asked", F.to_json(F.struct(*different)))
+        .join(contexts, "_asked", "left").drop("_asked")
+    )
+
+
+def _refusal_without(context: str) -> Column:
+    return F.when(F.col(context).isNull(), F.lit(fv.REFUSAL))
+
+
 def retrieve_and_validate(questions: DataFrame, vectors: DataFrame, auto_classify: bool = True, **options) -> DataFrame:
     """``question_id, context, error``: the numbered chunk texts, or the refusal."""
-    routed = route(questions, auto_classify)
-    contexts = cx.chunk_contexts(retrieve(routed, vectors, **options))
-    return routed.select("question_id").join(contexts, "question_id", "left").select(
-        "question_id", "context", F.when(F.col("context").isNull(), F.lit(fv.REFUSAL)).alias("error"))
+    found = search_contexts(route(questions, auto_classify), vectors, **options)
+    return found.select("question_id", "context", _refusal_without("context").alias("error"))
 
 
 def gather_contexts(questions: DataFrame, vectors: DataFrame, holdings: DataFrame, trades: DataFrame, **options) -> DataFrame:
@@ -48,11 +64,8 @@ def gather_contexts(questions: DataFrame, vectors: DataFrame, holdings: DataFram
         routed.filter("query_type = 'aggregation'"),
         cx.aggregation_contexts(stats.holdings_by_fund(holdings), stats.trades_by_fund(trades)),
     ).select("question_id", "question", "query_type", "context", F.lit(None).cast("string").alias("error"))
-    specific = routed.filter("query_type = 'specific'")
-    contexts = cx.chunk_contexts(retrieve(specific, vectors, **options))
-    searched = specific.join(contexts, "question_id", "left").select(
-        "question_id", "question", "query_type", "context",
-        F.when(F.col("context").isNull(), F.lit(fv.REFUSAL)).alias("error"))
+    searched = search_contexts(routed.filter("query_type = 'specific'"), vectors, **options).select(
+        "question_id", "question", "query_type", "context", _refusal_without("context").alias("error"))
     return aggregated.unionByName(searched)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("cleaning", "funds", "questions")
+_MODULES = ("cleaning", "funds", "questions", "chunking", "retrieval")
 
 
 def _load() -> None:

@@ -27,12 +27,17 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def with_views(sql: str) -> str:
-    """Put the definitions of the views a statement mentions in front of it."""
+    """Put the definitions of the views a statement mentions in front of it.
+
+    A statement that starts with a comma adds definitions of its own.
+    """
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if re.search(rf"\b{name}\b", text) and name not in needed:
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)  # before descending: a recursive view mentions itself
                 visit(VIEWS[name])
                 needed.append(name)
 
