@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
 from fundweave.functions.tokens import TokenCounter, estimate_tokens
-from fundweave.operators.packing import BLOCK_ROWS, add_overlap, pack
+from fundweave.operators.packing import add_overlap, pack, pack_pieces
 
 KEYS = ["namespace", "fund"]
 
@@ -43,48 +43,57 @@ def trades_rows(trades: DataFrame) -> DataFrame:
     )
 
 
+def _counted(rows: DataFrame, count_tokens: TokenCounter) -> DataFrame:
+    return rows.withColumn("n_tokens", count_tokens(F.col("text")))
+
+
 def pack_rows(
     rows: DataFrame,
-    max_tokens: int = fv.CHUNK_TOKENS,
     overlap_tokens: int = fv.OVERLAP_TOKENS,
     count_tokens: TokenCounter = estimate_tokens,
-    block_rows: int = BLOCK_ROWS,
+    **packing,
 ) -> DataFrame:
-    counted = rows.withColumn("n_tokens", count_tokens(F.col("text")))
-    packed = pack(counted, KEYS, max_tokens=max_tokens, block_rows=block_rows)
-    return add_overlap(packed, KEYS, overlap_tokens)
+    """Rows with their token and chunk numbers."""
+    return add_overlap(pack(_counted(rows, count_tokens), KEYS, **packing), KEYS, overlap_tokens)
 
 
-def _some_types(name: str) -> Column:
+def _some_types(piece: Column, name: str) -> Column:
     """The alphabetically first few, so that runs agree."""
-    return F.slice(F.array_sort(F.collect_set(name)), 1, fv.MAX_LISTED_TYPES)
+    found = F.array_distinct(F.array_compact(F.transform(piece, lambda r: r[name])))
+    return F.slice(F.array_sort(found), 1, fv.MAX_LISTED_TYPES)
 
 
-def assemble(packed: DataFrame) -> DataFrame:
+def describe(pieces: DataFrame) -> DataFrame:
     """One row per chunk: text in row order and metadata."""
-    ordered = F.sort_array(F.collect_list(F.struct("row_ord", "text")))
+    piece = F.col("piece")
     is_holdings = F.col("namespace") == fv.HOLDINGS
-    return (
-        packed.groupBy(*KEYS, "chunk_no").agg(
-            F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.count("*").alias("row_count"),
-            _some_types("security_type").alias("security_types"),
-            _some_types("trade_type").alias("_trade_types"),
-            F.bool_or("pl_row").alias("has_pl"),
-            F.min_by("row_year", "row_ord").alias("_year"),
-        )
-        .select(
-            *KEYS, "chunk_no",
-            tx.chunk_id(F.col("namespace"), F.col("fund"), F.col("chunk_no")).alias("chunk_id"),
-            "text", "n_tokens", "row_count", "security_types",
-            F.when(~is_holdings, F.col("_trade_types")).alias("trade_types"),
-            "has_pl",
-            F.when(is_holdings, F.coalesce("_year", F.lit(fv.DEFAULT_YEAR))).alias("year"),
-        )
+    return pieces.select(
+        *KEYS, "chunk_no",
+        tx.chunk_id(F.col("namespace"), F.col("fund"), F.col("chunk_no")).alias("chunk_id"),
+        F.array_join(F.transform(piece, lambda r: r["text"]), "\n").alias("text"),
+        F.aggregate(piece, F.lit(0).cast("bigint"), lambda n, r: n + r["n_tokens"]).alias("n_tokens"),
+        F.size(piece).cast("bigint").alias("row_count"),
+        _some_types(piece, "security_type").alias("security_types"),
+        F.when(~is_holdings, _some_types(piece, "trade_type")).alias("trade_types"),
+        F.when(is_holdings, F.exists(piece, lambda r: F.coalesce(r["pl_row"], F.lit(False)))).alias("has_pl"),
+        F.when(is_holdings, F.coalesce(F.get(piece, F.lit(0))["row_year"], F.lit(fv.DEFAULT_YEAR))).alias("year"),
     )
 
 
+def chunk_rows(
+    rows: DataFrame,
+    overlap_tokens: int = fv.OVERLAP_TOKENS,
+    count_tokens: TokenCounter = estimate_tokens,
+    **packing,
+) -> DataFrame:
+    """Pack prepared rows and describe the chunks."""
+    if overlap_tokens <= 0:
+        return describe(pack_pieces(_counted(rows, count_tokens), KEYS, **packing))
+    packed = pack_rows(rows, overlap_tokens, count_tokens, **packing)
+    whole_row = F.struct(*(c for c in packed.columns if c not in (*KEYS, "chunk_no")))
+    return describe(packed.groupBy(*KEYS, "chunk_no").agg(F.sort_array(F.collect_list(whole_row)).alias("piece")))
+
+
 def build_chunks(holdings: DataFrame | None, trades: DataFrame | None, **packing) -> DataFrame:
     """Chunks of every fund in both tables."""
     parts = []
@@ -93,7 +102,7 @@ def build_chunks(holdings: DataFrame | None, trades: DataFrame | None, **packing
     if trades is not None:
         parts.append(trades_rows(trades))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return assemble(pack_rows(rows, **packing))
+    return chunk_rows(rows, **packing)
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:

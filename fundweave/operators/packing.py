@@ -8,14 +8,17 @@ through one number: the tokens carried in by the open chunk. So
 2. every block is summarised as "carried-in tokens -> carried-out tokens and
    chunks opened" (at most one entry for each possible first break),
 3. those summaries, a tiny fraction of the rows, are walked through per fund,
-4. every block then places its chunk starts knowing its true carry.
+4. every block is then cut knowing its true carry.
 
 A fund holding a third of all rows is packed by as many tasks as it has blocks.
+No task holds more than one block of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -23,19 +26,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
 
-BLOCK_ROWS = 131_072
+BLOCK_ROWS = 8_192
 
 
 def order_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """A coarser key that never decreases along ``order`` and spans boundedly many rows.
+    """A coarser key that never decreases along ``order`` and spans at most ``block_rows`` rows.
 
-    Whole numbers are cut every ``block_rows``; a source position is cut at the
-    file split, whose size the reader bounds.
+    ``order`` is a whole number, or a source position whose last part is one.
     """
     kind = df.schema[order].dataType
     if isinstance(kind, T.StructType):
-        leading = [f"{order}.{name}" for name in kind.names[:-1]]
-        return F.struct(*leading)
+        *leading, last = kind.names
+        return F.struct(*(f"{order}.{name}" for name in leading), F.expr(f"`{order}`.`{last}` div {int(block_rows)}"))
     return F.expr(f"`{order}` div {int(block_rows)}")
 
 
@@ -91,20 +93,28 @@ def _summary_udf(limit: int):
     return summarise
 
 
-def _starts_udf(limit: int):
-    @F.pandas_udf("array<struct<pos:int,chunk_no:bigint>>")
-    def place(blocks: pd.Series, carry: pd.Series, base: pd.Series) -> pd.Series:
+def _cuts_udf(limit: int):
+    """Where a block is cut: chunk number, first row, row count, and whether the chunk is complete."""
+
+    @F.pandas_udf("array<struct<chunk_no:bigint,start:int,rows:int,whole:boolean>>")
+    def cut(blocks: pd.Series, carry: pd.Series, base: pd.Series) -> pd.Series:
         placed = []
         for tokens, held, number in zip(blocks, carry, base):
-            held = None if pd.isna(held) else int(held)
+            held, number = None if pd.isna(held) else int(held), int(number)
             starts = _chunk_starts(np.asarray(tokens, dtype=np.int64), limit, held)
-            rows = [{"pos": p, "chunk_no": int(number) + i} for i, p in enumerate(starts)]
-            if not starts or starts[0] > 0:
-                rows.insert(0, {"pos": 0, "chunk_no": int(number) - 1})
-            placed.append(rows)
+            continued = not starts or starts[0] > 0
+            if continued:
+                starts, number = [0, *starts], number - 1
+            ends = [*starts[1:], len(tokens)]
+            last = len(starts) - 1
+            placed.append([
+                {"chunk_no": number + i, "start": start + 1, "rows": end - start,
+                 "whole": i < last and not (continued and i == 0)}
+                for i, (start, end) in enumerate(zip(starts, ends))
+            ])
         return pd.Series(placed)
 
-    return place
+    return cut
 
 
 def _walk_blocks(keys: list[str], limit: int):
@@ -134,7 +144,7 @@ def _walk_blocks(keys: list[str], limit: int):
     return walk
 
 
-def pack(
+def pack_pieces(
     rows: DataFrame,
     keys: list[str],
     order: str = "row_ord",
@@ -142,43 +152,55 @@ def pack(
     max_tokens: int = fv.CHUNK_TOKENS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``chunk_no`` (from 0, per ``keys``). ``order`` must be unique within ``keys``."""
-    rows = rows.withColumn("_block", order_block(rows, order, block_rows))
-    steps = (
-        rows.groupBy(*keys, "_block")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(tokens).alias("t")))).alias("_steps"))
+    """``keys, chunk_no, piece``: the rows of each chunk as an array in ``order``, one row per chunk.
+
+    ``order`` must be unique within ``keys``; a row without a key belongs to no chunk. The rows are shuffled once, by
+    block; the summaries and the cuts read that same shuffle. Only a chunk that
+    touches the edge of a block is put together from pieces of two or more.
+    """
+    payload = [c for c in rows.columns if c not in (*keys, order)]
+    # One key column, null-free before the shuffle: otherwise the optimizer folds a
+    # constant key or adds null filters on one side, and the shuffle is made twice.
+    blocks = (
+        rows.select(F.struct(*keys).alias("_key"), order_block(rows, order, block_rows).alias("_block"), order, *payload)
+        .filter(F.col("_block").isNotNull() & reduce(and_, (F.col(f"_key.{k}").isNotNull() for k in keys)))
+        .groupBy("_key", "_block")
+        .agg(F.sort_array(F.collect_list(F.struct(order, *payload))).alias("_rows"))
     )
-    counts = F.transform("_steps", lambda s: s["t"])
+    counts = F.transform("_rows", lambda r: r[tokens].cast("int"))
 
     summaries = (
-        steps.select(*keys, F.col("_block").alias("block"), _summary_udf(max_tokens)(counts).alias("s"))
+        blocks.select("_key.*", F.col("_block").alias("block"), _summary_udf(max_tokens)(counts).alias("s"))
         .select(*keys, "block", "s.*")
         .repartition(*keys).sortWithinPartitions(*keys, "block")
     )
-    types = {f.name: f.dataType for f in summaries.schema.fields}
+    # Same fields, same nullability: a cast on the join key would cost another shuffle.
     state = T.StructType(
-        [T.StructField(k, types[k]) for k in keys]
-        + [T.StructField("block", types["block"]), T.StructField("carry", T.LongType()),
-           T.StructField("base", T.LongType())]
+        [summaries.schema[name] for name in (*keys, "block")]
+        + [T.StructField("carry", T.LongType()), T.StructField("base", T.LongType())]
     )
-    entering = summaries.mapInPandas(_walk_blocks(keys, max_tokens), state).withColumnRenamed("block", "_block")
-
-    starts = F.explode(F.transform(
-        _starts_udf(max_tokens)(counts, F.col("carry"), F.col("base")),
-        lambda s: F.struct(F.get(F.col("_steps"), s["pos"])["at"].alias("at"), s["chunk_no"].alias("chunk_no")),
-    ))
-    markers = (
-        steps.join(entering, [*keys, "_block"]).select(*keys, "_block", starts.alias("m"))
-        .select(*keys, "_block", F.col("m.at").alias(order), F.col("m.chunk_no").alias("chunk_no"),
-                F.lit(0).alias("_row"))
+    entering = summaries.mapInPandas(_walk_blocks(keys, max_tokens), state).select(
+        F.struct(*keys).alias("_key"), F.col("block").alias("_block"), "carry", "base")
+
+    cuts = _cuts_udf(max_tokens)(counts, F.col("carry"), F.col("base"))
+    pieces = (
+        blocks.join(entering, ["_key", "_block"])
+        .select("_key", "_rows", cuts.alias("_cuts"))
+        .select("_key.*", F.inline(F.transform("_cuts", lambda c: F.struct(
+            c["chunk_no"].alias("chunk_no"), c["whole"].alias("whole"),
+            F.slice("_rows", c["start"], c["rows"]).alias("piece")))))
     )
-    marked = rows.withColumn("_row", F.lit(1)).unionByName(markers, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_block").orderBy(order, "_row").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (
-        marked.withColumn("chunk_no", F.last("chunk_no", ignorenulls=True).over(within))
-        .filter("_row = 1").drop("_row", "_block")
+    parts = F.sort_array(F.collect_list(F.struct(F.get("piece", F.lit(0))[order].alias("at"), F.col("piece").alias("piece"))))
+    joined = (
+        pieces.filter("not whole").groupBy(*keys, "chunk_no")
+        .agg(F.flatten(F.transform(parts, lambda p: p["piece"])).alias("piece"))
     )
+    return pieces.filter("whole").drop("whole").unionByName(joined)
+
+
+def pack(rows: DataFrame, keys: list[str], **options) -> DataFrame:
+    """The rows again, each with its ``chunk_no`` (from 0, per ``keys``)."""
+    return pack_pieces(rows, keys, **options).select(*keys, "chunk_no", F.inline("piece"))
 
 
 def add_overlap(

@@ -85,10 +85,13 @@ class _Best:
         full = full[full["size"] >= self.k]
         self.floor[full.index] = full["min"]
 
-    def rows(self) -> pd.DataFrame:
+    def columns(self, ids: np.ndarray, schema: pa.Schema) -> list[pa.Array]:
+        """The matches found, as columns of ``schema``."""
         if not self.found:
-            return pd.DataFrame({"q": [], "score": [], "namespace": [], "chunk_id": []})
-        return self.found[0]
+            return [pa.array([], field.type) for field in schema]
+        kept = self.found[0]
+        values = [ids[kept["q"].to_numpy()], kept["namespace"], kept["chunk_id"], kept["score"]]
+        return [pa.array(np.asarray(v), field.type) for v, field in zip(values, schema)]
 
 
 def _asked(table: pa.Table, dim: int) -> dict:
@@ -127,14 +130,7 @@ def _scan(shared, k: int, dim: int, positive_only: bool, schema: pa.Schema) -> C
                 np.asarray(batch.column("namespace").to_pylist(), dtype=object),
                 batch.column("has_pl").fill_null(False).to_numpy(zero_copy_only=False).astype(bool),
             )
-        rows = best.rows()
-        q = rows["q"].to_numpy(dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(asked["id"][q], schema.field(0).type),
-            pa.array(rows["namespace"].to_numpy(), schema.field(1).type),
-            pa.array(rows["chunk_id"].to_numpy(), schema.field(2).type),
-            pa.array(rows["score"].to_numpy(dtype=np.float64), schema.field(3).type),
-        ], schema=schema)
+        yield pa.RecordBatch.from_arrays(best.columns(asked["id"], schema), schema=schema)
 
     return search
 
@@ -232,14 +228,7 @@ def _cell_search(k: int, dim: int, schema: pa.Schema):
             np.asarray(stored["namespace"].to_pylist(), dtype=object),
             stored["has_pl"].fill_null(False).to_numpy().astype(bool),
         )
-        rows = best.rows()
-        q = rows["q"].to_numpy(dtype=np.int64)
-        return pa.table([
-            pa.array(questions["id"][q], schema.field(0).type),
-            pa.array(rows["namespace"].to_numpy(), schema.field(1).type),
-            pa.array(rows["chunk_id"].to_numpy(), schema.field(2).type),
-            pa.array(rows["score"].to_numpy(dtype=np.float64), schema.field(3).type),
-        ], schema=schema)
+        return pa.table(best.columns(questions["id"], schema), schema=schema)
 
     return search
 

@@ -36,7 +36,7 @@ def renew(
     """
     changed = vt.changed_funds(before, vt.fingerprints(rows))
     affected = rows.join(changed.filter("change <> 'gone'").select("namespace", "fund"), ["namespace", "fund"], "left_semi")
-    rebuilt = vt.to_vectors(ch.assemble(ch.pack_rows(affected, **packing)), embed)
+    rebuilt = vt.to_vectors(ch.chunk_rows(affected, **packing), embed)
     return vt.replace_funds(stored, changed, rebuilt)
 
 

@@ -31,7 +31,7 @@ def _renew(kind: str, index_path: str, embed: Embedder | None, packing: dict) ->
             F.monotonically_increasing_id().alias("line"))
         raw = batch.withColumn("row_ord", position).drop("_file", "_split")
         rows = to_rows(clean(raw))
-        vectors = vt.to_vectors(ch.assemble(ch.pack_rows(rows, **packing)), embed)
+        vectors = vt.to_vectors(ch.chunk_rows(rows, **packing), embed)
         (
             vectors.withColumn("version", F.lit(number).cast("bigint"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -99,7 +99,7 @@ def fund_chunks(spark, sf_dir):
 
 
 def document_chunks(spark, sf_dir):
-    return ch.assemble(ch.pack_rows(document_rows(spark, sf_dir)))
+    return ch.chunk_rows(document_rows(spark, sf_dir))
 
 
 @query("c1_holdings_text", "select row_ord, text from holding_rows_v")
