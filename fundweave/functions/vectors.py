@@ -15,11 +15,26 @@ from fundweave import fixed_values as fv
 
 Embedder = Callable[[Column], Column]
 
-# Every ASCII character that is neither letter nor digit parts two words.
-WORD_BREAK = r"[\x00-/:-@\[-`{-\x7F]+"
+# A word: letters and digits; every other ASCII character parts two words.
+WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
 _CACHED_WORDS = 500_000
 
 
+class _Buckets(dict):
+    """Bucket of each word met so far in a Python worker."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
+        bucket = self[word] = int(digest[:7], 16) % self.dim
+        return bucket
+
+
 def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
     """Word counts in ``dim`` buckets: first seven hex digits of the word's md5, modulo ``dim``.
 
@@ -28,27 +43,14 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split = re.compile(WORD_BREAK).split
-        buckets: dict[str, int] = {}
+        words = re.compile(WORD).findall
+        bucket_of = _Buckets(dim).__getitem__
         for texts in batches:
-            vectors = []
-            for text in texts:
-                if text is None:
-                    vectors.append(None)
-                    continue
-                if len(buckets) > _CACHED_WORDS:
-                    buckets.clear()
-                found = []
-                for word in split(text.lower()):
-                    if not word:
-                        continue
-                    bucket = buckets.get(word)
-                    if bucket is None:
-                        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-                        bucket = buckets[word] = int(digest[:7], 16) % dim
-                    found.append(bucket)
-                vectors.append(np.bincount(found, minlength=dim).astype("float32") if found
-                               else np.zeros(dim, "float32"))
+            vectors = [
+                None if text is None else
+                np.bincount(np.fromiter(map(bucket_of, words(text.lower())), np.int64), minlength=dim).astype("float32")
+                for text in texts
+            ]
             yield pd.Series(vectors)
 
     return embed

@@ -164,6 +164,7 @@ def pack_pieces(
     blocks = (
         rows.select(F.struct(*keys).alias("_key"), order_block(rows, order, block_rows).alias("_block"), order, *payload)
         .filter(F.col("_block").isNotNull() & reduce(and_, (F.col(f"_key.{k}").isNotNull() for k in keys)))
+        .repartition("_key", "_block")
         .groupBy("_key", "_block")
         .agg(F.sort_array(F.collect_list(F.struct(order, *payload))).alias("_rows"))
     )
