@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fundweave import fixed_values as fv
 from fundweave.functions.text import number_text
+from fundweave.session import shared_folder
 
 FUND = "PortfolioName"
 
@@ -68,12 +69,35 @@ def pl_metrics(by_fund: DataFrame) -> DataFrame:
 def rank_funds(by_fund: DataFrame, measure: str) -> DataFrame:
     """Positions 1..n, largest first, equal values in fund order.
 
-    The input holds one row per fund: the window sorts the aggregate, never the rows.
+    The input holds one row per fund: the window sorts the aggregate, never the
+    rows. For groups too many for one task use :func:`rank_many`.
     """
     order = Window.orderBy(F.col(measure).desc(), F.col(FUND).asc())
     return by_fund.withColumn("rank", F.row_number().over(order))
 
 
+def rank_many(grouped: DataFrame, measure: str, name: str) -> DataFrame:
+    """Positions 1..n of any number of groups, without gathering them in one task.
+
+    The groups are sorted over range partitions and kept in a checkpoint, so that
+    every partition's length and every row's place in it stay as they are; a
+    position is the place plus the lengths of the partitions before.
+    """
+    shared_folder(grouped.sparkSession)
+    order = [F.col(measure).desc(), F.col(name).asc()]
+    low = (1 << 33) - 1  # an increasing id is the partition number above 33 bits of row number
+    placed = (
+        grouped.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+        .withColumn("_part", F.shiftright("_at", 33))
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    offsets = lengths.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *grouped.columns, (F.col("_before") + F.col("_at").bitwiseAND(low) + 1).alias("rank"))
+
+
 def top_funds(by_fund: DataFrame, measure: str, n: int = fv.TOP_FUNDS) -> DataFrame:
     return by_fund.orderBy(F.col(measure).desc(), F.col(FUND).asc()).limit(n)
 

@@ -143,6 +143,15 @@ def ranked_funds(spark, sf_dir):
     return stats.rank_funds(_held(spark, sf_dir).select("PortfolioName", "pl_ytd"), "pl_ytd")
 
 
+@query("w1_ranked_counterparties", """
+select Counterparty, cash, row_number() over (order by cash desc, Counterparty) as rank from (
+  select Counterparty, cast(sum(cast(TotalCash as decimal(18,4))) as double) as cash from trades_v group by 1)""")
+def ranked_counterparties(spark, sf_dir):
+    """As many groups as customers: ranked over range partitions."""
+    cash = views.trades(spark, sf_dir).groupBy("Counterparty").agg(stats.money_sum("TotalCash").alias("cash"))
+    return stats.rank_many(cash, "cash", "Counterparty")
+
+
 @query("r9_funds_by_trades", """
 select PortfolioName, trade_count, row_number() over (order by trade_count desc, PortfolioName) as rank from traded_v""")
 def funds_by_trades(spark, sf_dir):

@@ -122,3 +122,10 @@ def test_hooks(spark):
     found = df.select(tk.tokenizer_hook(Letters)("t").alias("n"), vec.model_hook(Lengths)("t").alias("v")).collect()
     assert sorted(r["n"] for r in found) == list(range(100))
     assert all(r["v"] == [r["n"], 1.0] for r in found)
+
+
+def test_rank_many(spark):
+    df = spark.range(5000).select(F.concat(F.lit("g"), "id").alias("name"), (F.col("id") % 7).alias("value")).repartition(9)
+    found = [(r["rank"], r["value"], r["name"]) for r in stats.rank_many(df, "value", "name").orderBy("rank").collect()]
+    expected = sorted(((i % 7, f"g{i}") for i in range(5000)), key=lambda p: (-p[0], p[1]))
+    assert found == [(n, v, g) for n, (v, g) in enumerate(expected, 1)]
