@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,8 +14,8 @@ from fundweave import fixed_values as fv
 
 Embedder = Callable[[Column], Column]
 
-# A word: letters and digits; every other ASCII character parts two words.
-WORD = r"[^\x00-/:-@\[-`{-\x7F]+"
+# Words are what remains between ASCII characters that are neither letter nor digit.
+_BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _CACHED_WORDS = 500_000
 
 
@@ -27,10 +26,10 @@ class _Buckets(dict):
         super().__init__()
         self.dim = dim
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHED_WORDS:
             self.clear()
-        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
+        digest = hashlib.md5(word).hexdigest()
         bucket = self[word] = int(digest[:7], 16) % self.dim
         return bucket
 
@@ -43,14 +42,16 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = re.compile(WORD).findall
         bucket_of = _Buckets(dim).__getitem__
         for texts in batches:
-            vectors = [
-                None if text is None else
-                np.bincount(np.fromiter(map(bucket_of, words(text.lower())), np.int64), minlength=dim).astype("float32")
-                for text in texts
-            ]
+            vectors = []
+            for text in texts:
+                if text is None:
+                    vectors.append(None)
+                    continue
+                words = text.lower().encode("utf-8").translate(_BLANKED).split()
+                buckets = np.fromiter(map(bucket_of, words), np.int64, len(words))
+                vectors.append(np.bincount(buckets, minlength=dim).astype("float32"))
             yield pd.Series(vectors)
 
     return embed

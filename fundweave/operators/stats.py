@@ -73,7 +73,7 @@ def rank_funds(by_fund: DataFrame, measure: str) -> DataFrame:
     rows. For groups too many for one task use :func:`rank_many`.
     """
     order = Window.orderBy(F.col(measure).desc(), F.col(FUND).asc())
-    return by_fund.withColumn("rank", F.row_number().over(order))
+    return by_fund.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def rank_many(grouped: DataFrame, measure: str, name: str) -> DataFrame:

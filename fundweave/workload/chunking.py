@@ -149,7 +149,7 @@ def all_chunks(spark, sf_dir):
 
 @query("c6_token_counts", "select doc_id, cast(ceil(length(text) / 4) as integer) as n_tokens from documents")
 def token_counts(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.document_table(spark, sf_dir)
     return docs.select("doc_id", tk.estimate_tokens(F.col("text")).alias("n_tokens"))
 
 
@@ -162,7 +162,7 @@ VIEWS["buckets_v"] = f"""
 
 @query("c7_hashed_vectors", "select doc_id, bucket, cast(n as double) as weight from buckets_v")
 def hashed_vectors(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.document_table(spark, sf_dir)
     vectors = docs.select("doc_id", vec.hashed_counts()(F.col("text")).alias("v"))
     return (
         vectors.select("doc_id", F.posexplode("v").alias("bucket", "weight")).filter("weight > 0")
@@ -211,13 +211,13 @@ def chunk_numbers(spark, sf_dir):
 
 @query("p13_stored_text", "select doc_id, substr(text, 1, 1000) as text from documents")
 def stored_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", tx.stored_text(F.col("text")).alias("text"))
+    return views.document_table(spark, sf_dir).select("doc_id", tx.stored_text(F.col("text")).alias("text"))
 
 
 # --- the stored table: documents as stored rows, an edited copy as the incoming ones ---
 
 def _stored(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select(
+    return views.document_table(spark, sf_dir).select(
         F.concat(F.lit("documents_"), "doc_id").alias("chunk_id"), F.col("source").alias("fund"),
         F.when(F.col("doc_id") % 2 == 0, fv.HOLDINGS).otherwise(fv.TRADES).alias("namespace"), "text")
 
@@ -225,7 +225,7 @@ def _stored(spark, sf_dir):
 def _incoming(spark, sf_dir):
     """Every German or English document rewritten, and a new copy of every one."""
     edited = _stored(spark, sf_dir).join(
-        views.table(spark, sf_dir, "documents").filter("lang in ('en', 'de')").select(
+        views.document_table(spark, sf_dir).filter("lang in ('en', 'de')").select(
             F.concat(F.lit("documents_"), "doc_id").alias("chunk_id")), "chunk_id", "left_semi"
     ).withColumn("text", F.concat("text", F.lit(" edited")))
     return edited.unionByName(_stored(spark, sf_dir).withColumn("chunk_id", F.concat("chunk_id", F.lit("_copy"))))
@@ -339,7 +339,7 @@ class ShapeModel:
 @query("u1_tokenizer_hook", "select doc_id, cast(len(string_split(text, ' ')) as integer) as n_tokens from documents")
 def tokenizer_hook(spark, sf_dir):
     count = tk.tokenizer_hook(SplitTokenizer)
-    return views.table(spark, sf_dir, "documents").select("doc_id", count("text").alias("n_tokens"))
+    return views.document_table(spark, sf_dir).select("doc_id", count("text").alias("n_tokens"))
 
 
 @query("u2_model_hook", """
@@ -347,6 +347,6 @@ select doc_id, length(text)::double as chars, (length(text) - length(replace(tex
   (length(text) - length(replace(text, chr(10), '')))::double as line_ends from documents""")
 def model_hook(spark, sf_dir):
     embed = vec.model_hook(ShapeModel)
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", embed("text").alias("v"))
+    docs = views.document_table(spark, sf_dir).select("doc_id", embed("text").alias("v"))
     return docs.select("doc_id", *(
         F.get("v", F.lit(i)).cast("double").alias(name) for i, name in enumerate(("chars", "blanks", "line_ends"))))

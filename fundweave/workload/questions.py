@@ -108,7 +108,7 @@ select doc_id, md5({_sql_template(fv.RETRIEVAL_PROMPT, "text", "source")}) as re
 from documents""")
 def document_prompts(spark, sf_dir):
     """Whole documents, some with braces, as contexts: values must not be treated as places."""
-    return views.table(spark, sf_dir, "documents").select(
+    return views.document_table(spark, sf_dir).select(
         "doc_id",
         F.md5(cx.prompt(F.lit("specific"), F.col("text"), F.col("source"))).alias("retrieval"),
         F.md5(cx.system_prompt(F.col("text"), F.col("source"))).alias("system"),
@@ -117,7 +117,7 @@ def document_prompts(spark, sf_dir):
 
 def controlled(spark, sf_dir):
     """Documents with control characters put before every blank and around the text."""
-    return views.table(spark, sf_dir, "documents").select(
+    return views.document_table(spark, sf_dir).select(
         "doc_id",
         F.concat(
             F.lit("\t \r\n"), F.replace("text", F.lit(" "), F.lit("\t\x7f\x85 \r")), F.lit("\x0b\x01 \n")

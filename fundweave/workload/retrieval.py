@@ -180,7 +180,7 @@ def approximate_top_k(spark, sf_dir):
 
 def _text_vectors(spark, sf_dir):
     embed = vec.hashed_counts()
-    docs = views.table(spark, sf_dir, "documents").select(
+    docs = views.document_table(spark, sf_dir).select(
         F.lit("documents").alias("namespace"), F.col("doc_id").alias("chunk_id"),
         embed("text").alias("embedding"), F.lit(None).cast("boolean").alias("has_pl"))
     asked = views.table(spark, sf_dir, "benchmark").select(

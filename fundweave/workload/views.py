@@ -16,8 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out over the cores where a table has fewer splits than there are cores.
+
+    A small file is read by one task, and costly expressions would stay in it.
+    A table of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def in_file_order(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_ord", F.col("_metadata.row_index"))
+    return spread(df.withColumn("row_ord", F.col("_metadata.row_index")), "row_ord")
+
+
+def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def holdings(spark: SparkSession, sf_dir: str, securities: bool = True) -> DataFrame:
@@ -111,7 +125,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rows to pack: the fund is the source, the order is the id."""
-    return table(spark, sf_dir, "documents").select(
+    return document_table(spark, sf_dir).select(
         F.lit("documents").alias("namespace"), F.col("source").alias("fund"),
         F.col("doc_id").alias("row_ord"), "text",
     )
