@@ -3,7 +3,8 @@
 Exact search multiplies batches of stored vectors with a matrix of questions
 inside the scan tasks and keeps only the best few per question, so neither the
 vectors are shuffled nor any list of pairs is written. The question matrix is
-sent to the executors in slices whose size is checked.
+sent to the executors in slices whose size is checked; more questions than a
+few slices hold meet the vectors shard by shard instead.
 
 Approximate search hashes both sides to signature cells and searches only the
 cells a question looks into; a crowded cell is split over several tasks.
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from fundweave import fixed_values as fv
 
 SCORE_PLACES = 6
-SLICE_BYTES = 256 * 1024 * 1024
+SLICE_BYTES = 64 * 1024 * 1024
+MOST_SLICES = 16
+SHARD_ROWS = 20_000
 _CELLS_AT_ONCE = 4_000_000
 
 
@@ -171,7 +174,17 @@ def top_k(
     asked = _question_columns(_usable(questions, dim))
     schema = _match_schema(vectors, questions)
     arrow_schema = to_arrow_schema(schema)
-    slices = max(1, math.ceil(asked.count() * dim * 8 / slice_bytes))
+    n_asked = asked.count()
+    slices = max(1, math.ceil(n_asked * dim * 8 / slice_bytes))
+    if slices > MOST_SLICES:
+        stored = _vector_columns(_usable(vectors, dim))
+        shards = {
+            "cell": F.lit(0),
+            "v_shards": F.lit(max(1, math.ceil(stored.count() / SHARD_ROWS))),
+            "q_shards": F.lit(math.ceil(n_asked / SHARD_ROWS)),
+        }
+        found = _by_shards(stored.withColumns(shards), asked.withColumns(shards), k, dim, schema, positive_only)
+        return best_per_question(found, k)
     found = None
     for number in range(slices):
         part = asked
@@ -216,12 +229,12 @@ def _cells_udf(dim: int, bits: int, probes: int):
     return cells
 
 
-def _cell_search(k: int, dim: int, schema: pa.Schema):
+def _cell_search(k: int, dim: int, positive_only: bool, schema: pa.Schema):
     def search(stored: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(stored) or not len(asked):
             return schema.empty_table()
         questions = _asked(asked, dim)
-        best = _Best(questions, k, False)
+        best = _Best(questions, k, positive_only)
         best.offer(
             stored["chunk_id"].to_numpy(),
             _matrix(stored["embedding"], dim),
@@ -233,6 +246,34 @@ def _cell_search(k: int, dim: int, schema: pa.Schema):
     return search
 
 
+def _by_shards(
+    stored: DataFrame, asked: DataFrame, k: int, dim: int, schema: T.StructType, positive_only: bool = False,
+) -> DataFrame:
+    """Candidates from vectors and questions of the same ``cell``.
+
+    Both sides say into how many shards their cell is divided (``v_shards`` of
+    vectors, ``q_shards`` of questions). Every pair of shards is a task of its
+    own, so neither a crowded cell nor a much-asked one gathers in one place.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    v_shards, q_shards = F.col("v_shards"), F.col("q_shards")
+    stored = stored.withColumns({
+        "v": F.pmod(F.xxhash64("namespace", "chunk_id"), v_shards).cast("int"),
+        "q": F.explode(F.sequence(F.lit(0), q_shards - 1)),
+    }).drop("v_shards", "q_shards")
+    asked = asked.withColumns({
+        "q": F.pmod(F.xxhash64("question_id"), q_shards).cast("int"),
+        "v": F.explode(F.sequence(F.lit(0), v_shards - 1)),
+    }).drop("v_shards", "q_shards")
+    return stored.groupBy("cell", "v", "q").cogroup(asked.groupBy("cell", "v", "q")).applyInArrow(
+        _cell_search(k, dim, positive_only, to_arrow_schema(schema)), schema)
+
+
+def _cell_shards(df: DataFrame, name: str, rows: int) -> DataFrame:
+    return df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+
 def approximate_top_k(
     vectors: DataFrame,
     questions: DataFrame,
@@ -240,37 +281,21 @@ def approximate_top_k(
     dim: int = fv.VECTOR_DIM,
     bits: int = 8,
     probes: int = 12,
-    cell_rows: int = 20_000,
+    cell_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """Like :func:`top_k`, but a question only sees the cells it probes.
+    """Like :func:`top_k`, but a question only sees the vectors of the ``probes`` cells it looks into.
 
-    Cells with more than ``cell_rows`` vectors, or asked by more than
-    ``cell_rows`` questions, are divided into shards, each pair of shards a task of its own.
+    There are ``2 ** bits`` cells; more bits make them smaller, more probes the result closer to exact.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    if not 1 <= bits <= 16:
+        raise ValueError("bits must lie between 1 and 16: a row per cell is broadcast")
     k = k or fv.TOP_K
     schema = _match_schema(vectors, questions)
-    stored = _vector_columns(_usable(vectors, dim)).withColumn("cell", F.get(_cells_udf(dim, bits, 1)("embedding"), F.lit(0)))
-    asked = _question_columns(_usable(questions, dim)).withColumn("cell", F.explode(_cells_udf(dim, bits, probes)("embedding")))
-
-    def shards(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
-
-    sizes = shards(stored, "v_shards").join(shards(asked, "q_shards"), "cell")
-    sizes = F.broadcast(sizes)  # at most 2**bits rows
-    stored = (
-        stored.join(sizes, "cell")
-        .withColumn("v", F.pmod(F.xxhash64("namespace", "chunk_id"), F.col("v_shards")).cast("int"))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_shards") - 1)))
-        .drop("v_shards", "q_shards")
-    )
-    asked = (
-        asked.join(sizes, "cell")
-        .withColumn("q", F.pmod(F.xxhash64("question_id"), F.col("q_shards")).cast("int"))
-        .withColumn("v", F.explode(F.sequence(F.lit(0), F.col("v_shards") - 1)))
-        .drop("v_shards", "q_shards")
-    )
-    found = stored.groupBy("cell", "v", "q").cogroup(asked.groupBy("cell", "v", "q")).applyInArrow(
-        _cell_search(k, dim, to_arrow_schema(schema)), schema)
+    stored = _vector_columns(_usable(vectors, dim)).withColumn(
+        "cell", F.get(_cells_udf(dim, bits, 1)("embedding"), F.lit(0)))
+    asked = _question_columns(_usable(questions, dim)).withColumn(
+        "cell", F.explode(_cells_udf(dim, bits, probes)("embedding")))
+    sizes = F.broadcast(  # at most 2 ** bits rows
+        _cell_shards(stored, "v_shards", cell_rows).join(_cell_shards(asked, "q_shards", cell_rows), "cell"))
+    found = _by_shards(stored.join(sizes, "cell"), asked.join(sizes, "cell"), k, dim, schema)
     return best_per_question(found, k)

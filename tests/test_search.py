@@ -61,6 +61,16 @@ def test_top_k_is_exact(data, slice_bytes, monkeypatch):
     assert found == expected
 
 
+def test_many_questions_meet_vectors_by_shards(data, monkeypatch):
+    rows, questions, vectors, asked = data
+    monkeypatch.setattr(search, "MOST_SLICES", 1)
+    monkeypatch.setattr(search, "SHARD_ROWS", 90)
+    df = search.top_k(vectors, asked, 7, DIM, slice_bytes=10 * DIM * 8)
+    assert as_lists(df) == {q: m for q, m in brute(rows, questions, 7).items() if m}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_zero_k_means_default(data):
     _, _, vectors, asked = data
     assert search.top_k(vectors, asked, 0, DIM).groupBy("question_id").count().agg(F.max("count")).first()[0] == 10

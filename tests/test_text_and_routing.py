@@ -129,3 +129,22 @@ def test_rank_many(spark):
     found = [(r["rank"], r["value"], r["name"]) for r in stats.rank_many(df, "value", "name").orderBy("rank").collect()]
     expected = sorted(((i % 7, f"g{i}") for i in range(5000)), key=lambda p: (-p[0], p[1]))
     assert found == [(n, v, g) for n, (v, g) in enumerate(expected, 1)]
+
+
+def test_a_real_tokenizer(spark):
+    import os
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+
+    def load():
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        return tiktoken.Encoding("local", pat_str=r"\S+|\s+", mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+
+    texts = ["Portfolio: Alpha\nQuantity: 17", "", "naïve über 漢字"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    found = [r[0] for r in df.select(tk.tokenizer_hook(load)("t")).collect()]
+    assert found == [len(load().encode(t)) for t in texts]
