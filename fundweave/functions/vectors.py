@@ -38,6 +38,7 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
     """Word counts in ``dim`` buckets: first seven hex digits of the word's md5, modulo ``dim``.
 
     Counts are whole numbers, so dot products of two such vectors are exact.
+    Spark is told not to move or repeat the call, as if it were not deterministic.
     """
 
     @F.pandas_udf("array<float>")
@@ -54,7 +55,7 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
                 vectors.append(np.bincount(buckets, minlength=dim).astype("float32"))
             yield pd.Series(vectors)
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def model_hook(load: Callable[[], Any], batch: int = fv.EMBED_BATCH) -> Embedder:
@@ -70,7 +71,7 @@ def model_hook(load: Callable[[], Any], batch: int = fv.EMBED_BATCH) -> Embedder
                 rows.extend(np.asarray(v, "float32") for v in model.encode(part))
             yield pd.Series(rows)
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def wrong_length(embedding: Column, dim: int) -> Column:

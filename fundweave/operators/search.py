@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
@@ -98,6 +99,12 @@ class _Best:
 
 
 def _asked(table: pa.Table, dim: int) -> dict:
+    """Question columns as arrays; a vector of another length is no question.
+
+    Checked here and not by a filter, which would move below a deduplication and
+    embed every repeated question.
+    """
+    table = table.filter(pc.equal(pc.list_value_length(table["embedding"]), dim))
     matrix = _matrix(table["embedding"], dim)
     return {
         "id": table["question_id"].to_numpy(),
@@ -171,10 +178,10 @@ def top_k(
 
     k = k or fv.TOP_K
     spark = vectors.sparkSession
-    asked = _question_columns(_usable(questions, dim))
+    asked = _question_columns(questions)
     schema = _match_schema(vectors, questions)
     arrow_schema = to_arrow_schema(schema)
-    n_asked = asked.count()
+    n_asked = questions.count()
     slices = max(1, math.ceil(n_asked * dim * 8 / slice_bytes))
     if slices > MOST_SLICES:
         stored = _vector_columns(_usable(vectors, dim))
