@@ -115,6 +115,13 @@ def _asked(table: pa.Table, dim: int) -> dict:
     }
 
 
+def having(vectors: DataFrame, **fields) -> DataFrame:
+    """Stored vectors whose metadata equal all given values; an absent value equals none."""
+    for name, value in fields.items():
+        vectors = vectors.filter(F.col(name) == F.lit(value))
+    return vectors
+
+
 def _usable(df: DataFrame, dim: int) -> DataFrame:
     """Vectors of the right length; others can match nothing."""
     return df.filter(F.size("embedding") == dim)

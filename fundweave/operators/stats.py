@@ -155,6 +155,11 @@ def summary_text(summary: DataFrame) -> DataFrame:
     )
 
 
+def summaries_for(funds: DataFrame, holdings: DataFrame, trades: DataFrame) -> DataFrame:
+    """Summary texts of the asked ``funds`` (column PortfolioName), known or not."""
+    return summary_text(funds.join(fund_summary(holdings, trades), FUND, "left"))
+
+
 def holdings_totals(holdings: DataFrame) -> DataFrame:
     return holdings.agg(
         F.count("*").alias("total_rows"),

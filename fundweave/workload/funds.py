@@ -213,7 +213,8 @@ def summary_texts(spark, sf_dir):
         views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("PortfolioName"))
         .union(views.table(spark, sf_dir, "customer").select("c_mktsegment")).distinct()
     )
-    return stats.summary_text(asked.join(fund_summaries(spark, sf_dir), "PortfolioName", "left"))
+    return stats.summaries_for(
+        asked, views.holdings(spark, sf_dir, securities=False), views.trades(spark, sf_dir))
 
 
 VIEWS["sections_v"] = """

@@ -65,7 +65,7 @@ select question_id, cast(rank as integer) as rank, chunk_id, score from (
     row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding), 6) desc, v.chunk_id) as rank
   from embeddings q cross join vectors_v v where v.namespace = 'holdings') where rank <= 10""")
 def top_k_one_namespace(spark, sf_dir):
-    vectors = views.vectors(spark, sf_dir).filter(F.col("namespace") == fv.HOLDINGS)
+    vectors = search.having(views.vectors(spark, sf_dir), namespace=fv.HOLDINGS)
     asked = views.vector_questions(spark, sf_dir).withColumns({
         "namespace": F.lit(fv.HOLDINGS), "need_pl": F.lit(False)})
     return search.top_k(vectors, asked, dim=_DIM).select("question_id", "rank", "chunk_id", "score")
@@ -96,7 +96,7 @@ def score_floor(spark, sf_dir):
 
 @query("p10_metadata_filter", "select chunk_id, fund, has_pl from vectors_v where has_pl and fund = '3'")
 def metadata_filter(spark, sf_dir):
-    return views.vectors(spark, sf_dir).filter(F.col("has_pl") & (F.col("fund") == "3")).select("chunk_id", "fund", "has_pl")
+    return search.having(views.vectors(spark, sf_dir), has_pl=True, fund="3").select("chunk_id", "fund", "has_pl")
 
 
 @query("p11_namespace_filter", "select chunk_id, file from vectors_v where namespace = 'trades'")
