@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fundweave.llm import packing, token_counts
+from fundweave.llm import decontamination, language_id, packing, quality, token_counts, toxicity, training
 
 TOKEN_LIMIT = 4096
+#: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
+TOXICITY_FOLD, QUALITY_FOLD, LANGUAGE_FOLD = (3, 1), (5, 0), (4, 2)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +29,73 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(counted, TOKEN_LIMIT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
+
+
+def _scored(scores: DataFrame, fold: tuple[int, int], threshold: float) -> DataFrame:
+    return scores.select("doc_id", training.held_out(fold).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), "toxic", TOXICITY_FOLD)
+    return _scored(toxicity.score(documents, model), TOXICITY_FOLD, 0.7)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"), "quality", QUALITY_FOLD)
+    return _scored(quality.score(documents, model), QUALITY_FOLD, 0.3)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return packing.pack_documents(documents, _vocabulary("word_bpe_49k.json"), end_id=2, limit=TOKEN_LIMIT)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    predicted = language_id.predict(documents, language_id.fit(documents, LANGUAGE_FOLD))
+    return predicted.select("doc_id", training.held_out(LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_decontamination": op3_decontamination,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op10_language_id": op10_language_id,
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP3_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_OP3_WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_OP3_WORD}') AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS gram
+    FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS r(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+    SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS gram
+    FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS r(k)),
+found AS (SELECT DISTINCT doc_id, item, k, size FROM grams JOIN windows USING (size, gram)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM found, unnest(range(k, k + size)) AS r(p) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(listed.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
