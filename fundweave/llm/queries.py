@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundweave.llm import decontamination, language_id, packing, quality, token_counts, toxicity, training
+from fundweave.llm import decontamination, language_id, ngram_jaccard, packing, quality, token_counts, toxicity, training
 
 TOKEN_LIMIT = 4096
 #: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
@@ -24,6 +24,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
     return token_counts.over_limit(counted, TOKEN_LIMIT)
@@ -64,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
         "op6_toxicity": op6_toxicity,
@@ -96,6 +101,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+_OP1_WORD = r"[^\x20\x09-\x0D]+"
+
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_OP1_WORD}') AS w FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram
+    FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(k) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+    GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, b FROM reached JOIN links ON a = other)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_decontamination": OP3_SQL}
