@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundweave.llm import decontamination, language_id, ngram_jaccard, packing, quality, token_counts, toxicity, training
+from fundweave.llm import decontamination, language_id, ngram_jaccard, packing, quality, suffix_dedup, token_counts, toxicity, training
 
 TOKEN_LIMIT = 4096
 #: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
@@ -60,6 +60,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, _vocabulary("word_bpe_49k.json"), end_id=2, limit=TOKEN_LIMIT)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     predicted = language_id.predict(documents, language_id.fit(documents, LANGUAGE_FOLD))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
     }
 
