@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundweave.llm import ann_forest, decontamination, language_id, ngram_jaccard, packing, quality, suffix_dedup, token_counts, toxicity, training
+from fundweave.llm import ann_forest, decontamination, html_extract, language_id, ngram_jaccard, packing, quality, suffix_dedup, token_counts, toxicity, training
 
 TOKEN_LIMIT = 4096
 #: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
@@ -42,6 +42,10 @@ def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def _scored(scores: DataFrame, fold: tuple[int, int], threshold: float) -> DataFrame:
     return scores.select("doc_id", training.held_out(fold).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
         "op4_ann_forest": op4_ann_forest,
+        "op5_html_extract": op5_html_extract,
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
