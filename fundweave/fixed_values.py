@@ -14,7 +14,6 @@ STRONG_SCORE = 0.8
 VECTOR_DIM = 384
 VECTOR_METRIC = "cosine"
 STORED_TEXT_CHARS = 1000
-MAX_LISTED_TYPES = 5
 DEFAULT_YEAR = 2023
 EMBED_BATCH = 32
 MIN_ANSWER_CHARS = 10

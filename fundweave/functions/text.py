@@ -64,8 +64,9 @@ def trades_text(df: DataFrame) -> Column:
     return render(fv.TRADES_ROW, df)
 
 
-def stored_text(text: Column) -> Column:
-    return F.substring(text, 1, fv.STORED_TEXT_CHARS)
+def stored_text(text: Column, chars: int | None = None) -> Column:
+    """The whole text, or its first ``chars`` characters where the store has such a limit."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def chunk_id(namespace: Column, fund: Column, chunk_no: Column) -> Column:

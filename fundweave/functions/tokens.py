@@ -26,14 +26,3 @@ def tokenizer_hook(load: Callable[[], Any]) -> TokenCounter:
             yield texts.map(lambda t: None if t is None else len(encoder.encode(t))).astype("Int32")
 
     return count
-
-
-def tiktoken_counter(encoding: str = "cl100k_base") -> TokenCounter:
-    """Counts of a ``tiktoken`` encoding; the package and its vocabulary must be on the executors."""
-
-    def load() -> Any:
-        import tiktoken
-
-        return tiktoken.get_encoding(encoding)
-
-    return tokenizer_hook(load)

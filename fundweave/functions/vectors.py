@@ -43,17 +43,16 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket_of = _Buckets(dim).__getitem__
+        buckets = _Buckets(dim)
         for texts in batches:
-            vectors = []
-            for text in texts:
-                if text is None:
-                    vectors.append(None)
-                    continue
-                words = text.lower().encode("utf-8").translate(_BLANKED).split()
-                buckets = np.fromiter(map(bucket_of, words), np.int64, len(words))
-                vectors.append(np.bincount(buckets, minlength=dim).astype("float32"))
-            yield pd.Series(vectors)
+            known = texts.notna().to_numpy()
+            own = [text.lower().encode().translate(_BLANKED).split() for text in texts[known]]
+            row = np.repeat(np.arange(len(own)), [len(words) for words in own])
+            codes, distinct = pd.factorize(np.array([word for words in own for word in words], object))
+            bucket = np.fromiter(map(buckets.__getitem__, distinct), np.int64, len(distinct))[codes]
+            counts = np.bincount(row * dim + bucket, minlength=len(own) * dim).reshape(-1, dim)
+            vectors = iter(counts.astype("float32"))
+            yield pd.Series([next(vectors) if is_text else None for is_text in known], dtype=object)
 
     return embed.asNondeterministic()
 
@@ -67,8 +66,9 @@ def model_hook(load: Callable[[], Any], batch: int = fv.EMBED_BATCH) -> Embedder
         for texts in batches:
             rows: list = []
             for start in range(0, len(texts), batch):
-                part = texts.iloc[start:start + batch].fillna("").tolist()
-                rows.extend(np.asarray(v, "float32") for v in model.encode(part))
+                part = texts.iloc[start:start + batch]
+                found = iter(model.encode(part.dropna().tolist()))
+                rows.extend(None if text is None else np.asarray(next(found), "float32") for text in part)
             yield pd.Series(rows)
 
     return embed.asNondeterministic()

@@ -57,13 +57,13 @@ def pack_rows(
     return add_overlap(pack(_counted(rows, count_tokens), KEYS, **packing), KEYS, overlap_tokens)
 
 
-def _some_types(piece: Column, name: str) -> Column:
-    """The alphabetically first few, so that runs agree."""
-    found = F.array_distinct(F.array_compact(F.transform(piece, lambda r: r[name])))
-    return F.slice(F.array_sort(found), 1, fv.MAX_LISTED_TYPES)
+def _types(piece: Column, name: str, most: int | None) -> Column:
+    """All types of a chunk in alphabetical order, or the first ``most`` of them."""
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(piece, lambda r: r[name]))))
+    return found if most is None else F.slice(found, 1, most)
 
 
-def describe(pieces: DataFrame) -> DataFrame:
+def describe(pieces: DataFrame, most_types: int | None = None) -> DataFrame:
     """One row per chunk: text in row order and metadata."""
     piece = F.col("piece")
     is_holdings = F.col("namespace") == fv.HOLDINGS
@@ -73,8 +73,8 @@ def describe(pieces: DataFrame) -> DataFrame:
         F.array_join(F.transform(piece, lambda r: r["text"]), "\n").alias("text"),
         F.aggregate(piece, F.lit(0).cast("bigint"), lambda n, r: n + r["n_tokens"]).alias("n_tokens"),
         F.size(piece).cast("bigint").alias("row_count"),
-        _some_types(piece, "security_type").alias("security_types"),
-        F.when(~is_holdings, _some_types(piece, "trade_type")).alias("trade_types"),
+        _types(piece, "security_type", most_types).alias("security_types"),
+        F.when(~is_holdings, _types(piece, "trade_type", most_types)).alias("trade_types"),
         F.when(is_holdings, F.exists(piece, lambda r: F.coalesce(r["pl_row"], F.lit(False)))).alias("has_pl"),
         F.when(is_holdings, F.coalesce(F.get(piece, F.lit(0))["row_year"], F.lit(fv.DEFAULT_YEAR))).alias("year"),
     )

@@ -224,21 +224,24 @@ def _planes(dim: int, bits: int) -> np.ndarray:
 
 
 def _cells_udf(dim: int, bits: int, probes: int):
-    """The cell of a vector, followed by the ``probes - 1`` cells next nearest to it."""
+    """The cell of a vector, followed by the ``probes - 1`` cells next nearest to it, by the sum of the planes' distances."""
 
     @F.pandas_udf("array<int>")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         planes, weights = _planes(dim, bits), 1 << np.arange(bits)
+        flips = (np.arange(1 << bits) >> np.arange(bits)[:, None] & 1).astype(float)  # planes x changes of sides
         for batch in batches:
             if not len(batch):
                 yield pd.Series([], dtype=object)
                 continue
             sides = np.stack([np.asarray(v, np.float64) for v in batch]) @ planes
             home = (sides > 0) @ weights
-            nearest = np.argsort(np.abs(sides), axis=1)
-            singles = [home[:, None]] + [home[:, None] ^ weights[nearest[:, [i]]] for i in range(bits)]
-            pairs = [home[:, None] ^ weights[nearest[:, [0]]] ^ weights[nearest[:, [i]]] for i in range(1, bits)]
-            yield pd.Series(list(np.hstack(singles + pairs)[:, :probes].astype(np.int32)))
+            found = np.empty((len(home), probes), np.int32)
+            for i in range(0, len(home), 64):  # all cells of a few vectors at once
+                far = np.abs(sides[i:i + 64]) @ flips
+                nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                found[i:i + 64] = home[i:i + 64, None] ^ nearest
+            yield pd.Series(list(found))
 
     return cells
 
@@ -299,8 +302,11 @@ def approximate_top_k(
 ) -> DataFrame:
     """Like :func:`top_k`, but a question only sees the vectors of the ``probes`` cells it looks into.
 
-    There are ``2 ** bits`` cells; more bits make them smaller, more probes the result closer to exact.
+    There are ``2 ** bits`` cells; more bits make them smaller, more probes the result closer to exact, and as many
+    probes as cells exact.
     """
+    if not 1 <= probes <= 1 << bits:
+        raise ValueError("probes must lie between 1 and the number of cells")
     if not 1 <= bits <= 16:
         raise ValueError("bits must lie between 1 and 16: a row per cell is broadcast")
     k = k or fv.TOP_K

@@ -16,14 +16,16 @@ FUND = "PortfolioName"
 
 
 def money_sum(name: str) -> Column:
-    """Exact sum in ten-thousandths, the same whatever the order of rows.
+    """Exact sum of a column of amounts, the same whatever the order of rows.
 
-    A value that does not fit the decimal (infinite, huge) switches its group
-    to the floating-point sum, so nothing is lost.
+    One rule for every group: an amount counts with all its digits, as it is
+    written, up to 18 of them behind the point. NaN counts as missing. What can't be
+    an amount, 10^20 or more or infinite, raises an error that names the column.
     """
-    exact = F.expr(f"try_cast(`{name}` as decimal(18,4))")
-    unfit = F.count_if(F.col(name).isNotNull() & exact.isNull())
-    return F.when(unfit > 0, F.sum(name)).otherwise(F.sum(exact).cast("double"))
+    value = F.nanvl(F.col(name).cast("double"), F.lit(None))
+    exact = value.try_cast("decimal(38,18)")
+    unfit = F.raise_error(F.concat(F.lit(f"{name} is no amount: "), value.cast("string"))).cast("decimal(38,18)")
+    return F.sum(F.when(value.isNotNull() & exact.isNull(), unfit).otherwise(exact)).cast("double")
 
 
 def _with_fund(df: DataFrame) -> DataFrame:
@@ -67,13 +69,8 @@ def pl_metrics(by_fund: DataFrame) -> DataFrame:
 
 
 def rank_funds(by_fund: DataFrame, measure: str) -> DataFrame:
-    """Positions 1..n, largest first, equal values in fund order.
-
-    The input holds one row per fund: the window sorts the aggregate, never the
-    rows. For groups too many for one task use :func:`rank_many`.
-    """
-    order = Window.orderBy(F.col(measure).desc(), F.col(FUND).asc())
-    return by_fund.withColumn("rank", F.row_number().over(order).cast("long"))
+    """Positions 1..n of funds, largest first, equal values in fund order."""
+    return rank_many(by_fund, measure, FUND)
 
 
 def rank_many(grouped: DataFrame, measure: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fundweave import fixed_values as fv
 from fundweave.functions.vectors import Embedder
 from fundweave.operators import chunks as ch
 from fundweave.sources import vector_table as vt
@@ -16,9 +17,11 @@ def build(
     embed: Embedder | None = None,
     **packing,
 ) -> DataFrame:
-    """Write the vectors of both tables below ``path`` and return their statistics."""
+    """Write the vectors of both tables below ``path`` and return their statistics. A table without rows empties its
+    namespace."""
     made = ch.build_chunks(holdings, trades, **packing)
-    vt.write_snapshot(vt.to_vectors(made, embed), path)
+    named = [name for name, df in ((fv.HOLDINGS, holdings), (fv.TRADES, trades)) if df is not None]
+    vt.write_snapshot(vt.to_vectors(made, embed), path, named)
     spark = made.sparkSession
     return vt.table_stats(spark.read.schema(vt.SCHEMA).parquet(path))
 

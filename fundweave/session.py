@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,13 +32,15 @@ def build_session(app: str = "fundweave", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test run) is a temporary folder
-    chosen; later calls return the same one.
+    Where that is unset, it is a folder below the warehouse, if Spark runs in one
+    process; on a cluster that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.getCheckpointDir() is None and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fundweave-"))
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return folder or context.getCheckpointDir()
 
 

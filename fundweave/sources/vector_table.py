@@ -43,14 +43,15 @@ def create_table(spark: SparkSession, name: str, location: str | None = None, di
     return spark.table(name)
 
 
-def to_vectors(chunks: DataFrame, embed: Embedder | None = None, dim: int = fv.VECTOR_DIM) -> DataFrame:
-    """Chunks to stored rows. The vector covers the whole text, the row keeps its first characters."""
+def to_vectors(chunks: DataFrame, embed: Embedder | None = None, dim: int = fv.VECTOR_DIM,
+               text_chars: int | None = None) -> DataFrame:
+    """Chunks to stored rows, each with its whole text, or the first ``text_chars`` characters of it."""
     embed = embed or hashed_counts(dim)
     return chunks.select(
         "chunk_id", embed(F.col("text")).alias("embedding"), "fund",
         F.col("namespace").alias("file"), F.col("row_count").cast("long").alias("row_count"),
         "security_types", "trade_types", "has_pl", "year",
-        tx.stored_text(F.col("text")).alias("text"), "namespace",
+        tx.stored_text(F.col("text"), text_chars).alias("text"), "namespace",
     )
 
 
@@ -60,7 +61,13 @@ def misfits(vectors: DataFrame, dim: int = fv.VECTOR_DIM) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The next snapshot: incoming rows win over stored ones with the same key."""
+    """The next snapshot: incoming rows win over stored ones with the same key.
+
+    Of incoming rows with the same key one stays, the greatest by its columns.
+    """
+    others = [c for c in incoming.columns if c not in KEYS]
+    one = incoming.groupBy(*KEYS).agg(F.max(F.struct(*others)).alias("_one"))
+    incoming = one.select(*KEYS, "_one.*").select(*incoming.columns)
     return stored.join(incoming.select(*KEYS), KEYS, "left_anti").unionByName(incoming)
 
 
@@ -74,8 +81,13 @@ def table_stats(stored: DataFrame) -> DataFrame:
         F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimension"))
 
 
-def write_snapshot(vectors: DataFrame, path: str) -> None:
-    """Replaces the namespaces that occur in ``vectors`` and leaves others as they are."""
+def write_snapshot(vectors: DataFrame, path: str, namespaces: list[str] | None = None) -> None:
+    """Replaces the namespaces that occur in ``vectors``, and those named, which are empty afterwards if they don't occur;
+    leaves others as they are."""
+    spark = vectors.sparkSession
+    for namespace in namespaces or []:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/namespace={namespace}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     (
         vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("namespace").parquet(path)
@@ -85,8 +97,16 @@ def write_snapshot(vectors: DataFrame, path: str) -> None:
 # --- changed sources ---------------------------------------------------------
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """Count and content hash per fund, insensitive to partitioning but not to row order."""
-    content = [c for c in rows.columns if c not in ("namespace", "fund")]
+    """Count and content hash per fund. Only content and row order count; where order is a place in a file, it is
+    the file's name and the place inside it, so other files, or a folder that moved, change nothing."""
+    content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund")]
+    if "row_ord" in rows.columns and isinstance(rows.schema["row_ord"].dataType, T.StructType):
+        name = F.element_at(F.split("row_ord.file", "/"), -1)
+        rows = rows.withColumns({"_file": name, "_split": F.col("row_ord.split_start"), "_line": F.col("row_ord.line")})
+        starts = rows.groupBy("_file", "_split").agg(F.min("_line").alias("_first"))
+        rows = rows.join(starts, ["_file", "_split"])
+        content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund", "row_ord", "_line", "_first")]
+        content.append(F.col("_line") - F.col("_first"))
     line = F.xxhash64(*content)
     return rows.groupBy("namespace", "fund").agg(
         F.count("*").alias("rows"), F.bit_xor(line).alias("mark"),

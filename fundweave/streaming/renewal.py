@@ -54,7 +54,7 @@ def start(
     """Work off every file now in ``folder`` and stop; call again for later drops."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     arriving = (
-        spark.readStream.schema(schema).options(header=True, emptyValue="", escape='"').csv(folder)
+        spark.readStream.schema(schema).options(header=True, enforceSchema=False, emptyValue="", escape='"').csv(folder)
         .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
     )
     return (

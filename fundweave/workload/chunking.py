@@ -70,9 +70,9 @@ def _packed_views(name: str, rows: str) -> None:
   select namespace, fund, chunk_no, namespace || '_' || fund || '_' || chunk_no as chunk_id,
     string_agg(text, chr(10) order by row_ord) as text, cast(sum(n_tokens) as bigint) as n_tokens,
     count(*) as row_count,
-    list_sort(list_distinct(list(security_type) filter (security_type is not null)))[1:{fv.MAX_LISTED_TYPES}] as security_types,
+    list_sort(list_distinct(list(security_type) filter (security_type is not null)))as security_types,
     case when namespace <> 'holdings' then
-      list_sort(list_distinct(list(trade_type) filter (trade_type is not null)))[1:{fv.MAX_LISTED_TYPES}] end as trade_types,
+      list_sort(list_distinct(list(trade_type) filter (trade_type is not null)))end as trade_types,
     bool_or(pl_row) as has_pl,
     case when namespace = 'holdings' then coalesce(first(row_year order by row_ord), {fv.DEFAULT_YEAR}) end as year
   from {name}_packed_v group by 1, 2, 3"""
@@ -211,7 +211,7 @@ def chunk_numbers(spark, sf_dir):
 
 @query("p13_stored_text", "select doc_id, substr(text, 1, 1000) as text from documents")
 def stored_text(spark, sf_dir):
-    return views.document_table(spark, sf_dir).select("doc_id", tx.stored_text(F.col("text")).alias("text"))
+    return views.document_table(spark, sf_dir).select("doc_id", tx.stored_text(F.col("text"), fv.STORED_TEXT_CHARS).alias("text"))
 
 
 # --- the stored table: documents as stored rows, an edited copy as the incoming ones ---
@@ -312,7 +312,7 @@ _packed_views("edited", "edited_rows_v")
 
 
 @query("s10_renewed_index", """
-select chunk_id, fund, row_count, md5(substr(text, 1, 1000)) as digest from edited_chunks_v""")
+select chunk_id, fund, row_count, md5(text) as digest from edited_chunks_v""")
 def renewed_index(spark, sf_dir):
     """Only changed sources are packed again, yet all must look as if freshly built."""
     path = scratch_path(spark, "stored")

@@ -66,7 +66,11 @@ def trade_count(spark, sf_dir):
 select PortfolioName, buy_trades as Buy, sell_trades as Sell, trade_count - buy_trades - sell_trades as Short
 from traded_v""")
 def trade_type_matrix(spark, sf_dir):
-    return stats.trade_type_matrix(views.trades(spark, sf_dir), ["Buy", "Sell", "Short"])
+    return _matrix(views.trades(spark, sf_dir))
+
+
+def _matrix(trades):
+    return stats.trade_type_matrix(trades, stats.trade_types(trades))
 
 
 @query("a6_trade_type_counts", """

@@ -228,7 +228,7 @@ def _search_views(name: str, asked: str) -> None:
     join {name}_q_norms_v a using (question) join chunk_norms_v b using (chunk_id) group by question, chunk_id"""
     VIEWS[f"{name}_ranked_v"] = f"""
   select * from (
-    select s.question, s.chunk_id, s.score, c.namespace, c.fund, substr(c.text, 1, 1000) as text,
+    select s.question, s.chunk_id, s.score, c.namespace, c.fund, c.text,
       row_number() over (partition by s.question order by s.score desc, c.namespace, s.chunk_id) as rank
     from {name}_scored_v s join {asked} a using (question) join fund_chunks_v c using (chunk_id)
     where (a.namespace is null or a.namespace = c.namespace) and (not a.need_pl or c.has_pl)) where rank <= 10"""

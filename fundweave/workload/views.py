@@ -16,22 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out over the cores where a table has fewer splits than there are cores.
-
-    A small file is read by one task, and costly expressions would stay in it.
-    A table of many splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def in_file_order(df: DataFrame) -> DataFrame:
-    return spread(df.withColumn("row_ord", F.col("_metadata.row_index")), "row_ord")
+    return df.withColumn("row_ord", F.col("_metadata.row_index"))
 
 
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def holdings(spark: SparkSession, sf_dir: str, securities: bool = True) -> DataFrame:
@@ -46,7 +36,7 @@ def holdings(spark: SparkSession, sf_dir: str, securities: bool = True) -> DataF
     df = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(
         nations, F.col("s_nationkey") == F.col("n_nationkey"))
     if securities:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     shipped = F.col("l_shipdate").cast("date")
     profit = F.expr(
         "cast(cast(cast(l_extendedprice as decimal(18,2))"
@@ -156,18 +146,18 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEMPLATES = [
-    "How many holdings does {f} have?",
-    "Total number of trades for {f}",
-    "What is the total P&L for {f} fund?",
-    "Which funds hold {f} equity?",
-    "Which fund performed best based on yearly P&L, {f} or another?",
-    "Compare P&L of all funds with {f}",
-    "Total cash across all funds and {f}",
-    "What return did {f} make?",
-    "What is the profit on trades for {f}?",
-    "Does {f} own Long positions?",
-    "Rank {f} among the funds",
-    "Who is the custodian of {f}?",
+    "In {f}, what is the largest position by market value?",
+    "Give the sum of trades booked by {f} in March",
+    "Is the loss of {f} bigger than last quarter?",
+    "Where does {f} keep its bonds?",
+    "Of every desk, which fund, {f} included, did better this year?",
+    "Please rank the other funds against {f}",
+    "Show cash over all funds, then for {f}",
+    "Which yearly figure does {f} report?",
+    "Did the sell orders of {f} end in profit?",
+    "Name one holding of {f} that is short",
+    "Do funds such as {f} fare worse: list the lowest P&L",
+    "Whom does {f} settle with?",
 ]
 
 
@@ -202,7 +192,7 @@ VIEWS.update({
     case when l.l_returnflag = 'R' then cast(l.l_shipdate as date) end as CloseDate
   from (select *, row_number() over () - 1 as row_ord from lineitem) l
     join supplier s on l.l_suppkey = s.s_suppkey
-    join nation n on s.s_nationkey = n.n_nationkey join part p on l.l_partkey = p.p_partkey""",
+    join nation n on s.s_nationkey = n.n_nationkey left join part p on l.l_partkey = p.p_partkey""",
     "trades_v": """
   select o.row_ord, n.n_name as PortfolioName,
     case o.o_orderstatus when 'F' then 'Buy' when 'O' then 'Sell' else 'Short' end as TradeTypeName,

@@ -62,7 +62,7 @@ def test_block_size_does_not_matter(spark):
     big = frames[0]
     assert big["row_count"].sum() == 4000
     assert ((big["n_tokens"] <= 50) | (big["row_count"] == 1)).all()
-    assert max(len(t) for t in big["trade_types"]) == 5
+    assert max(len(t) for t in big["trade_types"]) > 5  # no type is left out
 
 
 def test_rows_without_a_fund_are_left_out(spark):

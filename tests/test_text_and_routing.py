@@ -7,28 +7,26 @@ from fundweave.operators import context as cx, evaluate as ev, stats
 
 # question, type, namespace, needs profit rows
 LABELS = [
-    ("How many holdings does MNC Investment Fund have?", "specific", "holdings", False),
-    ("Which fund performed best based on yearly P&L?", "aggregation", "holdings", True),
-    ("Total number of trades for HoldCo 1", "specific", "trades", False),
-    ("What is the total P&L for Garfield fund?", "specific", "holdings", True),
-    ("Which funds hold MSFT equity?", "specific", None, False),
-    ("Compare P&L of Garfield vs Heather", "specific", "holdings", True),
-    ("What types of securities does Platpot hold?", "specific", None, False),
-    ("How many Buy vs Sell trades are there?", "specific", "trades", False),
-    ("Compare P&L of all funds", "aggregation", "holdings", True),
-    ("Compare all funds", "aggregation", None, False),
-    ("Top funds by performance", "aggregation", "holdings", True),
-    ("Top 3 funds by P&L", "aggregation", "holdings", True),
-    ("Total trades for HoldCo 1", "specific", "trades", False),
-    ("What securities does Garfield hold?", "specific", None, False),
-    ("How many holdings does Garfield have?", "specific", "holdings", False),
-    ("Which fund has best P&L?", "aggregation", "holdings", True),
-    ("What is Apple's market cap?", "specific", None, False),
-    ("What is Apple's stock price today?", "specific", None, False),
-    ("Who is the CEO of Microsoft?", "specific", None, False),
-    ("What is the profit on trades for Garfield?", "specific", "trades", True),
-    ("What return did the Russell index make?", "specific", "trades", True),
-    ("Total cash across all funds", "aggregation", None, False),
+    ("Tell me what the Larkspur desk owns", "specific", "holdings", False),
+    ("Count every position of Larkspur", "specific", "holdings", False),
+    ("Which fund, on all counts, is best?", "aggregation", None, False),
+    ("Which fund performed so well this year?", "aggregation", None, False),
+    ("Which fund did better on yearly profit?", "aggregation", "holdings", True),
+    ("Please compare the five funds", "aggregation", None, False),
+    ("Show top ten funds by return", "aggregation", "holdings", True),
+    ("Rank my funds by loss", "aggregation", "holdings", True),
+    ("Give cash of all funds", "aggregation", None, False),
+    ("Is fund performance falling?", "aggregation", "holdings", True),
+    ("Who has the highest p/l of the year?", "aggregation", None, False),
+    ("The lowest p&l so far", "aggregation", "holdings", True),
+    ("Are there funds that fare worse?", "aggregation", None, False),
+    ("How often did Juniper sell in May?", "specific", "trades", False),
+    ("List each purchase by Juniper", "specific", "trades", False),
+    ("Is there profit in Juniper's latest transaction?", "specific", "trades", True),
+    ("Yearly numbers of Juniper", "specific", "holdings", True),
+    ("Who audits Juniper?", "specific", None, False),
+    ("When was Juniper founded?", "specific", None, False),
+    ("Total cash for all funds of the house", "aggregation", None, False),
     ("top\x85funds", "aggregation", None, False),
     ("top\nfunds", "specific", None, False),
 ]
@@ -38,7 +36,7 @@ def test_routing_table(spark):
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(LABELS)], "question_id int, question string")
     found = routing.route(df).orderBy("question_id").collect()
     assert [(r["question"], r["query_type"], r["namespace"], r["need_pl"]) for r in found] == LABELS
-    assert [r["wants_cash"] for r in found].count(True) == 1
+    assert [r["question"] for r in found if r["wants_cash"]] == ["Total cash for all funds of the house"]
     open_search = routing.route(df, auto_classify=False).collect()
     assert all(r["namespace"] is None and not r["need_pl"] for r in open_search)
 
@@ -100,11 +98,11 @@ def test_no_statistics(spark):
     assert {r["context"] for r in found} == {fv.NO_AGGREGATES}
 
 
-def test_sums_are_exact_or_fall_back(spark):
-    df = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", -0.3), ("b", float("inf")), ("b", 1.0), ("c", 1e30), (None, 5.0)],
+def test_sums_are_exact(spark):
+    df = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", -0.3), ("b", 1e15), ("b", 0.25), ("c", 1e19), (None, 5.0)],
                                "PortfolioName string, TotalCash double").withColumn("TradeTypeName", F.lit("Buy"))
     found = {r[0]: r["total_cash"] for r in stats.trades_by_fund(df).collect()}
-    assert found == {"a": 0.0, "b": float("inf"), "c": 1e30}
+    assert found == {"a": 0.0, "b": 1e15 + 0.25, "c": 1e19}
     ties = stats.rank_funds(stats.trades_by_fund(df), "trade_count").orderBy("rank").collect()
     assert [(r["rank"], r["PortfolioName"]) for r in ties] == [(1, "a"), (2, "b"), (3, "c")]
 
