@@ -181,7 +181,6 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13, block_wor
     items without words match nothing; items with a null id hit, but can't be listed. Repeated items are listed once.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_column].dataType.simpleString()
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
@@ -190,7 +189,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13, block_wor
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<long>").alias("word_spans"), F.array().cast("array<long>").alias("byte_spans"),
         F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
-    fields = f"doc_id {kind}, text string, n_words long, word_spans array<long>, byte_spans array<long>, items array<string>, longest long"
+    fields = found.schema
     for block in range(n_blocks):
         rows = items.where(share == block).collect()
         automaton = Automaton(sorted(((r["item_id"], item_words(r["text"])) for r in rows), key=lambda x: (x[0] is None, x)), window)
@@ -253,6 +252,13 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """Rows of docs, with their columns, that aren't contaminated: fewer than one word in `share` lies in a window, or
+    none. The rows themselves pass the automata, so nothing is joined or shuffled."""
+    rows = docs.select(F.struct("*").alias("doc_id"), "text")
+    return find_overlaps(rows, items, window).where(~is_contaminated(share)).select("doc_id.*")
+
+
 def without_spans(docs: DataFrame, items: DataFrame, window: int = 13, longest_span: int = 13, share: int = 20) -> DataFrame:
     """doc_id and text of documents of unique doc_id, cleaned: where windows cover a `share`-th of the words or more, the
     document goes; else each span of more than `longest_span` words is taken out of the text, down to single bytes."""

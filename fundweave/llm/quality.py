@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], b
     return Model(bias, weight, vectors, mean, deviation)
 
 
+def _score_function(model: Model):
+    """Scores of a batch with text and n_chars."""
+    vectors = model.vectors[:BUCKETS]
+    table = np.concatenate([vectors, model.weight[:BUCKETS, None], (vectors**2).sum(axis=1, keepdims=True)], axis=1)
+    rank = vectors.shape[1]
+
+    def scores(block: pa.RecordBatch) -> np.ndarray:
+        buckets, word_at, statistics = _block(block)
+        x = _standard(statistics, model.mean, model.deviation)
+        unit = (_SCALE / np.maximum(np.diff(word_at), 1))[:, None]
+        summed = training.text_sums(table[buckets], word_at)
+        q = summed[:, :rank] * unit + x @ model.vectors[BUCKETS:]
+        squares = summed[:, rank + 1] * unit[:, 0]**2 + (x * x) @ (model.vectors[BUCKETS:]**2).sum(axis=1)
+        logit = model.bias + summed[:, rank] * unit[:, 0] + x @ model.weight[BUCKETS:] + _interactions(q, squares)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    return scores
+
+
 def _with_chars(docs: DataFrame) -> DataFrame:
     """doc_id, text and n_chars; the last null where there is none."""
     chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
@@ -149,18 +169,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = known.value
-        vectors = m.vectors[:BUCKETS]
-        table = np.concatenate([vectors, m.weight[:BUCKETS, None], (vectors**2).sum(axis=1, keepdims=True)], axis=1)
-        rank = vectors.shape[1]
+        scores = _score_function(known.value)
         for block in W.blocks(batches, "text"):
-            buckets, word_at, statistics = _block(block)
-            x = _standard(statistics, m.mean, m.deviation)
-            unit = (_SCALE / np.maximum(np.diff(word_at), 1))[:, None]
-            summed = training.text_sums(table[buckets], word_at)
-            q = summed[:, :rank] * unit + x @ m.vectors[BUCKETS:]
-            squares = summed[:, rank + 1] * unit[:, 0]**2 + (x * x) @ (m.vectors[BUCKETS:]**2).sum(axis=1)
-            logit = m.bias + summed[:, rank] * unit[:, 0] + x @ m.weight[BUCKETS:] + _interactions(q, squares)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(scores(block))], ["doc_id", "score"])
 
     return _with_chars(docs).mapInArrow(read, f"doc_id {kind}, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """Rows of docs, with their columns, that score `threshold` or more. Rows stay where they are; nothing is shuffled."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scores = _score_function(known.value)
+        for texts, chars in parts:
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(chars, pa.float64(), from_pandas=True)], ["text", "n_chars"])
+            found = [scores(block) for block in W.blocks(iter([batch]), "text")]
+            yield pd.Series(np.concatenate([*found, np.zeros(0)]))
+
+    chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.where(scored("text", chars.cast("double")) >= threshold)

@@ -232,8 +232,9 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
         read, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs with their columns; repeated strings are taken out of text. A character of which only some bytes go goes whole."""
+def clean(docs: DataFrame, length: int = 400, before: str | None = None) -> DataFrame:
+    """docs with their columns, repeated strings taken out of text, and the text as it was in a column `before`, if named.
+    A character of which only some bytes go goes whole."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
@@ -242,4 +243,6 @@ def clean(docs: DataFrame, length: int = 400) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     marked = with_ranges(docs, repeated_starts(docs, length))
-    return marked.withColumn("text", cut("text", "_ranges")).select(*docs.columns)
+    if before:
+        marked = marked.withColumn(before, F.col("text"))
+    return marked.withColumn("text", cut("text", "_ranges")).select(*docs.columns, *([before] if before else []))
