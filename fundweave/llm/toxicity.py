@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from fundweave.llm import training
 from fundweave.llm import words as W
 
-#: Labelled rows that the model is fitted on, at most; as many of each class as there are, up to half.
-SAMPLE = 4000
+#: Labelled rows that the model is fitted on, at most; as many of each class as there are, up to half. They are rows with
+#: texts of at most MOST_CHARS characters, so that the sample's size is bounded; scores are given to all texts.
+SAMPLE, MOST_CHARS = 4000, 4000
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Means are multiplied by it, as a toxic word is about a hundredth of a text.
 _SCALE = np.float32(100)
+#: So many words without meaning are added to each text, so that one odd word doesn't decide on a text of a few words.
+_PADDING = 20
 
 
 def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +67,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.repeat(bucket_at[own] - total + sizes, sizes) + np.arange(sizes.sum())
             kept, inverse = np.unique(buckets[place], return_inverse=True)
             rows.append(kept)
-            weights.append(np.bincount(inverse, np.repeat(times / np.maximum(sizes, 1) / max(high - low, 1), sizes), len(kept)).astype(np.float32))
+            weights.append(np.bincount(inverse, np.repeat(times / np.maximum(sizes, 1) / (high - low + _PADDING), sizes), len(kept)).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [block.column(0), block.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
             ["doc_id", "label", "buckets", "weights"])
@@ -79,31 +82,38 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int = SAMPLE, dimension: int = 8,
-        rounds: int = 120, seed: int = 7) -> Model:
+        rounds: int = 80, seed: int = 7) -> Model:
     """A model of `label` (0 or 1) from at most `bound` labelled rows outside the fold. Their texts are turned to bags of
-    buckets by Spark; embeddings and softmax are fitted together in numpy. Classes are weighted as frequent as they are
-    among all labelled rows. Without labelled rows every score is a half; with one class it is that class's."""
-    picked, totals = training.sample(labels, label, ~training.held_out(fold), bound, 2)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    buckets by Spark; embeddings and softmax are fitted together in numpy. Each class weighs as the
+    square root of its number of labelled rows, between equal weights and their true shares. Without labelled rows every score is a half; with one class it is that class's."""
+    short = docs.where(F.length("text") <= MOST_CHARS).select("doc_id", "text")
+    learnable = labels.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked, totals = training.sample(learnable, label, ~training.held_out(fold), bound, 2)
+    texts = short.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
     rows = texts.mapInArrow(_bags, "doc_id long, label int, buckets array<int>, weights array<float>").toArrow()
-    rows = rows.sort_by("doc_id")
-    y = rows["label"].to_numpy().astype(int)
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    y = rows["label"].to_numpy().astype(int)[order]
     if not len(y):
         return Model(np.zeros((BUCKETS, 2), np.float32), np.zeros(2, np.float32))
-    columns = [np.asarray(x) for x in rows["buckets"].to_numpy()]
-    seen = np.bincount(np.concatenate(columns), minlength=BUCKETS)
+    columns, weights = (list(rows[name].to_numpy()[order]) for name in ("buckets", "weights"))
+    seen = np.zeros(BUCKETS, np.int64)
+    for own in columns:
+        seen[own] += 1
     used = np.flatnonzero(seen >= min(3, len(y)))
-    new = np.full(BUCKETS, -1)
+    new = np.full(BUCKETS, -1, np.int32)
     new[used] = np.arange(len(used))
-    bags = training.Bags([new[c][new[c] >= 0] for c in columns],
-                         [np.asarray(w)[new[c] >= 0] * _SCALE for c, w in zip(columns, rows["weights"].to_numpy(), strict=True)], len(used))
+    for k, own in enumerate(columns):
+        kept = new[own] >= 0
+        columns[k], weights[k] = new[own[kept]], weights[k][kept] * _SCALE
+    bags = training.Bags(columns, weights, len(used))
+    del rows, columns, weights
     own = np.bincount(y, minlength=2)
-    weight = np.array([totals.get(c, 0) / max(own[c], 1) for c in (0, 1)])[y]
+    weight = np.array([totals.get(c, 0)**0.5 / max(own[c], 1) for c in (0, 1)])[y]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     draw = np.random.default_rng(seed)
     embedding = draw.normal(0, 0.1, (len(used), dimension)).astype(np.float32)
     out = draw.normal(0, 0.3, (dimension, 2)).astype(np.float32)
-    bias = np.log((np.array([totals.get(0, 0), totals.get(1, 0)]) + 0.5) / sum(totals.values())).astype(np.float32)
+    bias = np.log(np.sqrt(np.array([totals.get(0, 0), totals.get(1, 0)]) + 0.5)).astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
     adam = training.Adam([embedding, out, bias], 0.05)
     for _ in range(rounds):
@@ -126,7 +136,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for block in W.blocks(batches, "text"):
             buckets, bucket_at, which, word_at = _block(block)
             per_word = training.text_sums(logits[buckets], bucket_at) / np.maximum(np.diff(bucket_at), 1)[:, None]
-            mean = training.text_sums(per_word[which], word_at) / np.maximum(np.diff(word_at), 1)[:, None]
+            mean = training.text_sums(per_word[which], word_at) / (np.diff(word_at) + _PADDING)[:, None]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(training.softmax(mean + bias)[:, 1])], ["id", "score"])
 
     found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

@@ -34,8 +34,8 @@ class Bags:
     def __init__(self, rows: list[np.ndarray], weights: list[np.ndarray], width: int) -> None:
         sizes = np.array([len(r) for r in rows])
         self.n, self.width = len(rows), width
-        self.column = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
-        self.weight = np.concatenate([*weights, np.zeros(0, np.float32)]).astype(np.float32)
+        self.column = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        self.weight = np.concatenate([*weights, np.zeros(0, np.float32)]).astype(np.float32, copy=False)
         self.full_rows, self.row_starts = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
         order = np.argsort(self.column, kind="stable")
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
@@ -44,12 +44,14 @@ class Bags:
 
     @staticmethod
     def _summed(matrix: np.ndarray, index: np.ndarray, weight: np.ndarray, starts: np.ndarray, out: np.ndarray, to: np.ndarray) -> np.ndarray:
-        step = 1 << 12  # groups at once, so that what is gathered stays small
-        for i in range(0, len(starts), step):
+        i = 0
+        while i < len(starts):  # some groups at once, so that what is gathered stays small
             lo = starts[i]
-            hi = starts[i + step] if i + step < len(starts) else len(index)
+            j = max(i + 1, int(np.searchsorted(starts, lo + (1 << 19))))
+            hi = starts[j] if j < len(starts) else len(index)
             part = matrix[index[lo:hi]] * weight[lo:hi, None]
-            out[to[i:i + step]] = np.add.reduceat(part, starts[i:i + step] - lo, axis=0)
+            out[to[i:j]] = np.add.reduceat(part, starts[i:j] - lo, axis=0)
+            i = j
         return out
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
