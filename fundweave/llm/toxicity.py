@@ -84,11 +84,12 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int = SAMPLE, dimension: int = 8,
         rounds: int = 80, seed: int = 7) -> Model:
     """A model of `label` (0 or 1) from at most `bound` labelled rows outside the fold. Their texts are turned to bags of
-    buckets by Spark; embeddings and softmax are fitted together in numpy. Each class weighs as the
-    square root of its number of labelled rows, between equal weights and their true shares. Without labelled rows every score is a half; with one class it is that class's."""
+    buckets by Spark; embeddings and softmax are fitted together in numpy. Both classes weigh the same. Buckets of fewer
+    than ten of these texts are left out, as they would be learned by heart. Without labelled rows every score is a half;
+    with one class it is that class's."""
     short = docs.where(F.length("text") <= MOST_CHARS).select("doc_id", "text")
     learnable = labels.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked, totals = training.sample(learnable, label, ~training.held_out(fold), bound, 2)
+    picked, _ = training.sample(learnable, label, ~training.held_out(fold), bound, 2)
     texts = short.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
     rows = texts.mapInArrow(_bags, "doc_id long, label int, buckets array<int>, weights array<float>").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], b
     seen = np.zeros(BUCKETS, np.int64)
     for own in columns:
         seen[own] += 1
-    used = np.flatnonzero(seen >= min(3, len(y)))
+    used = np.flatnonzero(seen >= min(10, len(y)))
     new = np.full(BUCKETS, -1, np.int32)
     new[used] = np.arange(len(used))
     for k, own in enumerate(columns):
@@ -108,18 +109,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], b
     bags = training.Bags(columns, weights, len(used))
     del rows, columns, weights
     own = np.bincount(y, minlength=2)
-    weight = np.array([totals.get(c, 0)**0.5 / max(own[c], 1) for c in (0, 1)])[y]
+    weight = np.array([1 / max(own[c], 1) for c in (0, 1)])[y]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     draw = np.random.default_rng(seed)
     embedding = draw.normal(0, 0.1, (len(used), dimension)).astype(np.float32)
     out = draw.normal(0, 0.3, (dimension, 2)).astype(np.float32)
-    bias = np.log(np.sqrt(np.array([totals.get(0, 0), totals.get(1, 0)]) + 0.5)).astype(np.float32)
+    bias = np.log((own + 0.5) / len(y)).astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
     adam = training.Adam([embedding, out, bias], 0.05)
     for _ in range(rounds):
         hidden = bags.times(embedding)
         wrong = (training.softmax(hidden @ out + bias) - target) * weight
-        adam.step([bags.transposed_times(wrong @ out.T) + np.float32(1e-6) * embedding, hidden.T @ wrong + np.float32(1e-4) * out, wrong.sum(axis=0)])
+        adam.step([bags.transposed_times(wrong @ out.T) + np.float32(3e-4) * embedding, hidden.T @ wrong + np.float32(1e-4) * out, wrong.sum(axis=0)])
     logits = np.zeros((BUCKETS, 2), np.float32)
     logits[used] = embedding @ out * _SCALE
     return Model(logits, bias)

