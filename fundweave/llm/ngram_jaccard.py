@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from fundweave.llm import membership, shared
 from fundweave.llm import words as W
 
-#: Cells in which n-grams are counted for the global order. Their number is fixed: the order is the same at every size in
-#: kind, and rare n-grams only come in a less exact order when there are very many.
-CELLS = 1 << 20
-#: Fragments of the global order, of about equal load.
-FRAGMENTS = 8
+#: Fragments of the global order: n-grams of 2 to 3 sets, of 4 to 7, and so on; the last one has no upper end.
+FRAGMENTS = 6
+#: N-grams of a block of sets, about.
+_BLOCK_GRAMS = 1 << 18
+#: Rounds in which a set is paired with one other set only.
+_ROUNDS = 3
+#: Bytes of text that are worked on at once.
+_BLOCK = 1 << 20
 
 
 def _sets(block: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +42,7 @@ def _sets(block: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _signatures(size: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text"):
+        for block in W.blocks(batches, "text", _BLOCK):
             _, at, keys = _sets(block, size)
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(keys), pa.array(np.diff(at))],
                                              ["doc_id", "text_hash", "key", "n"])
@@ -52,7 +55,7 @@ def _thin_segments(size: int, parts: int):
     set of the block has, these n-grams as 32-bit numbers, and once each those that several have."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text"):
+        for block in W.blocks(batches, "text", _BLOCK):
             grams, at, keys = _sets(block, size)
             _, first = np.unique(keys, return_index=True)
             kept = np.zeros(len(keys), bool)
@@ -99,7 +102,7 @@ def _unshared(table: pa.Table) -> pa.Table:
 
 def _whole_sets(size: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text"):
+        for block in W.blocks(batches, "text", _BLOCK):
             grams, at, keys = _sets(block, size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array(np.diff(at)), pa.LargeListArray.from_arrays(at, grams.view(np.int64)).cast(pa.list_(pa.int64()))],
@@ -108,48 +111,77 @@ def _whole_sets(size: int):
     return read
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams.view(np.uint64) >> np.uint64(24)).astype(np.int64) % CELLS
-
-
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(CELLS, np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of sets: its own key, and the sets' keys, sizes and n-grams."""
     for batch in batches:
-        count += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=CELLS)
-    used = np.flatnonzero(count)
-    for i in range(0, len(used), 1 << 16):
-        own = used[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own])], ["cell", "n"])
+        keys, sets = batch.column(0).to_numpy(), batch.column(2)
+        at = sets.offsets.to_numpy().astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        step = max(1, int(len(keys) * _BLOCK_GRAMS / max(len(flat), 1)))
+        for i in range(0, len(keys), step):
+            own = keys[i:i + step]
+            low, high = at[i] - at[0], at[min(i + step, len(keys))] - at[0]
+            name = int(W.mixed(W.mixed(own.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), *(pa.array([x.tobytes()], pa.binary()) for x in (own, np.diff(at[i:i + step + 1]), flat[low:high]))],
+                ["block", "keys", "sizes", "grams"])
 
 
-def _in_order(known, least: int):
-    """Rows (key, n, fragment, grams, first place) of each set in the global order: by the count of the cell, then by hash."""
+def _block_parts(parts: int):
+    """The different n-grams of a block, sorted, with the number of its sets that have them; a row for each part of the
+    hash space."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, pivots = known.value
         for batch in batches:
-            sets = batch.column(2)
-            flat, at = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
-            of = np.repeat(np.arange(len(sets)), np.diff(at))
-            load = count[_cells(flat)]
-            order = np.lexsort((flat, load, of))
-            flat, load = flat[order], load[order]
-            fragment = np.searchsorted(pivots, load, "right")
-            new = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (of[1:] != of[:-1]))) if len(flat) else np.zeros(0, int)
-            owner = pa.array(of[new])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(fragment[new], pa.int32()),
-                 pa.LargeListArray.from_arrays(np.append(new, len(flat)), flat).cast(pa.list_(pa.int64())),
-                 pa.array(new - at[of[new]])],
-                ["key", "n", "fragment", "grams", "place"])
+            for block, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values, times = np.unique(np.frombuffer(grams.as_py(), np.uint64), return_counts=True)
+                part = ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                cut = np.searchsorted(part, np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
+                     pa.array([values[cut[k]:cut[k + 1]].tobytes() for k in full], pa.binary()),
+                     pa.array([times[cut[k]:cut[k + 1]].astype(np.uint32).tobytes() for k in full], pa.binary())],
+                    ["part", "block", "grams", "times"])
 
     return read
 
 
-def _least_overlap(percent: int, a: str, b: str) -> Column:
-    """The smallest intersection of linked sets of these sizes: 100 * i >= percent * (a + b - i)."""
-    return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100 + percent))
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Of one part: in how many sets each n-gram of each block is, in the block's order."""
+    grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()])
+    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(which, times)[which].astype(np.uint32)
+    ends = np.cumsum([len(x) for x in grams])
+    return pa.table({"block": table["block"], "part": table["part"],
+                     "times": pa.array([total[e - len(x):e].tobytes() for e, x in zip(ends, grams, strict=True)], pa.binary())})
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, fragment, grams, place) of each set's n-grams that other sets have too, in the global order: by the
+    number of sets, then by hash. place counts those before, with the ones that no other set has, which come first."""
+    for batch in batches:
+        for keys, sizes, grams, answers in zip(*(batch.column(k) for k in range(4)), strict=True):
+            keys, sizes, grams = (np.frombuffer(x.as_py(), np.int64) for x in (keys, sizes, grams))
+            found = sorted(answers.as_py(), key=lambda x: x["part"])
+            number = np.frombuffer(b"".join(x["times"] for x in found), np.uint32)
+            values, which = np.unique(grams.view(np.uint64), return_inverse=True)
+            number = number[which].astype(np.int64)
+            of = np.repeat(np.arange(len(keys)), sizes)
+            alone = np.bincount(of[number == 1], minlength=len(keys))
+            use = np.flatnonzero(number > 1)
+            order = use[np.lexsort((grams[use], number[use], of[use]))]
+            of, number, grams = of[order], number[order], grams[order]
+            fragment = np.minimum(np.log2(np.maximum(number, 1)).astype(np.int64), FRAGMENTS) - 1
+            new = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
+            first = np.searchsorted(of, np.arange(len(keys)))
+            owner = of[new]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[owner]), pa.array(sizes[owner]), pa.array(fragment[new], pa.int32()),
+                 pa.LargeListArray.from_arrays(np.append(new, len(grams)), grams).cast(pa.list_(pa.int64())),
+                 pa.array(new - first[owner] + alone[owner])],
+                ["key", "n", "fragment", "grams", "place"])
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -188,6 +220,34 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (rest >= least)
 
 
+def _apart(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with the labels of their components, of n-grams whose sets aren't all in one."""
+    placed = entries.join(found, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    split = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return placed.join(split.select("gram"), "gram", "left_semi")
+
+
+def _one_each(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each set with one set of another component that shares an n-gram: the first in an order that changes
+    with the turn."""
+    order = F.xxhash64("key", F.lit(turn))
+    hubs = placed.groupBy("gram", "near_size").agg(F.min(F.struct(order.alias("o"), "key", "n", "place", "label")).alias("h"))
+    near = placed.alias("e").join(hubs.select("gram", "near_size", "h.*").alias("h"), ["gram", "near_size"])
+    near = near.where((F.col("e.label") != F.col("h.label")) & _close("e", "h", percent))
+    picked = near.groupBy(F.col("e.key").alias("key")).agg(F.min(F.struct("h.o", "h.key")).alias("h"))
+    return picked.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets that share an n-gram and are in different components. Of each n-gram, only sets outside the
+    component that most of its sets are in look for others."""
+    sizes = placed.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("gram").agg(F.max(F.struct("size", "label"))["label"].alias("most"))
+    few = placed.join(most, "gram").where("label <> most").drop("most")
+    near = few.alias("a").join(placed.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", percent))
+    return near.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
@@ -199,11 +259,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     1. Sets get 64-bit keys (n-grams are compared by 64-bit hashes).
     2. In half of the hash space, cut into parts, each part counts the n-grams of a set that no other set has. More than
        a linked set can have, and the set is out. Blocks of texts send an n-gram that several of them have only once.
-    3. N-grams of the sets left are ordered: those of rarely used cells first. Of linked sets, the first
-       n - (least overlap) + 1 n-grams share one. Each such n-gram's sets are paired with its smallest and its largest key only.
-    4. Overlaps of pairs are counted in each fragment of the order and summed. Linked pairs give components.
+    3. N-grams of the sets left are ordered by the number of sets that have them, rare ones first. Blocks of sets send each
+       n-gram once. Of linked sets, the first n - (least overlap) + 1 n-grams share one; these make candidates.
+    4. In a few rounds each set is paired with one other set. Overlaps of pairs are counted in each fragment of the order
+       and summed. Linked pairs give components.
     5. Sets that share such an n-gram and aren't in one component yet are all paired and counted in the same way. So a group
-       of thousands of near copies needs no pairs within it, and no link that could join components is lost.
+       of thousands of near copies needs few pairs within it, and no link that could join components is lost.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -223,16 +284,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         left.alias("l"), (F.col("t.text_hash") == F.col("l.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("l.one_id")), "left_semi")
     sets = wanted.select("text").mapInArrow(_whole_sets(size), "key long, n long, grams array<long>").dropDuplicates(["key"])
     sets = shared.stored(sets, "sets")
-    count = np.zeros(CELLS, np.int64)
-    cells = sets.select("grams").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    count[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    loads, times = np.unique(count, return_counts=True)
-    share = np.cumsum(loads * times) / max((loads * times).sum(), 1)
-    pivots = np.unique(loads[np.searchsorted(share, np.arange(1, FRAGMENTS) / FRAGMENTS)])
-    known = spark.sparkContext.broadcast((count, pivots))
-    segments = shared.stored(sets.select("key", "n", "grams").mapInArrow(
-        _in_order(known, percent), "key long, n long, fragment int, grams array<long>, place long"), "segments")
-    shared.dropped(sets)
+    blocks = shared.stored(sets.mapInArrow(_blocks, "block long, keys binary, sizes binary, grams binary"), "blocks")
+    answers = blocks.select("block", "grams").mapInArrow(_block_parts(parts), "part int, block long, grams binary, times binary")
+    answers = answers.groupBy("part").applyInArrow(_frequencies, "block long, part int, times binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "times")).alias("answers"))
+    segments = blocks.join(answers, "block").select("keys", "sizes", "grams", "answers").mapInArrow(
+        _in_order, "key long, n long, fragment int, grams array<long>, place long")
+    segments = shared.stored(segments, "segments")
+    shared.dropped(sets, blocks)
 
     longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = segments.where(F.col("place") < longest).select(
@@ -242,31 +301,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     entries = shared.stored(first.join(several, "gram", "left_semi"), "entries")
 
-    ends = entries.groupBy("gram", "near_size").agg(
-        F.min(F.struct("key", "n", "place")).alias("low"), F.max(F.struct("key", "n", "place")).alias("high"))
-    ends = ends.where("low.key <> high.key")
-    hub = entries.alias("e").join(ends, ["gram", "near_size"])
-    pairs = None
-    for end in ("low", "high"):
-        own = hub.where((F.col("e.key") != F.col(f"{end}.key")) & _close("e", end, percent)).select(
-            F.least("e.key", f"{end}.key").alias("a"), F.greatest("e.key", f"{end}.key").alias("b"))
-        pairs = own if pairs is None else pairs.unionAll(own)
-    links = shared.stored(_overlaps(pairs.distinct(), segments, percent), "links")
+    links, tested = None, None
+    found = entries.select("key", F.col("key").alias("label")).limit(0)
+    for turn in range(_ROUNDS):
+        placed = shared.stored(_apart(entries, found), "placed")
+        pairs = shared.stored(_one_each(placed, percent, turn), "pairs")
+        new = shared.stored(_overlaps(pairs, segments, percent), "links")
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        links = new if links is None else links.unionAll(new)
+        found = components(links)
+    placed = shared.stored(_apart(entries, found), "placed")
+    more = _across(placed, percent).join(tested, ["a", "b"], "left_anti")
+    links = links.unionAll(shared.stored(_overlaps(more, segments, percent), "links"))
     found = components(links)
 
-    placed = entries.join(found, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    placed = shared.stored(placed.join(split, "gram", "left_semi"), "placed")
-    groups = placed.select("gram", "label").distinct()
-    across = groups.alias("x").join(groups.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label"))).select(
-        F.col("x.gram").alias("gram"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
-    more = across.join(placed.alias("a"), (F.col("a.gram") == across["gram"]) & (F.col("a.label") == across["label_a"])).join(
-        placed.alias("b"), (F.col("b.gram") == across["gram"]) & (F.col("b.label") == across["label_b"]) & _close("a", "b", percent))
-    more = more.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
-    more = shared.stored(_overlaps(more.join(pairs.distinct(), ["a", "b"], "left_anti"), segments, percent), "links")
-    found = components(links.unionAll(more))
-    shared.dropped(segments, entries, placed, links, more)
-
     named = classes.select("key", "least_id").join(found, "key")
     named = named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("key", "component_id")
     alone = classes.select("key", "least_id").join(named, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
