@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +172,18 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _automata(items: DataFrame, window: int, block_words: int) -> Iterator[Broadcast]:
+    """One automaton for each block of items, broadcast."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
+    n_blocks = max(1, -(-total // block_words))
+    share = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for block in range(n_blocks):
+        rows = items.where(share == block).collect()
+        found = sorted(((r["item_id"], item_words(r["text"])) for r in rows), key=lambda x: (x[0] is None, x))
+        yield items.sparkSession.sparkContext.broadcast(Automaton(found, window))
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS,
                   id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_spans (maximal runs of words in windows, as [first, end) pairs, one
@@ -180,20 +194,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13, block_wor
     size is built and broadcast for each, and the documents pass all of them without a shuffle. Null texts have no words;
     items without words match nothing; items with a null id hit, but can't be listed. Repeated items are listed once.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
-    share = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     found = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<long>").alias("word_spans"), F.array().cast("array<long>").alias("byte_spans"),
         F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
     fields = found.schema
-    for block in range(n_blocks):
-        rows = items.where(share == block).collect()
-        automaton = Automaton(sorted(((r["item_id"], item_words(r["text"])) for r in rows), key=lambda x: (x[0] is None, x)), window)
-        found = found.mapInArrow(_reader(spark.sparkContext.broadcast(automaton)), fields)
+    for known in _automata(items, window, block_words):
+        found = found.mapInArrow(_reader(known), fields)
     return found.drop("text").withColumnRenamed("doc_id", id_column)
 
 
@@ -252,11 +259,40 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+def _spans_in(known: Broadcast):
+    @F.pandas_udf("struct<n_words: bigint, word_spans: array<bigint>>")
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            empty = [pa.array([[]] * len(texts), pa.list_(kind)) for kind in (pa.int64(), pa.int64(), pa.string())]
+            zero = pa.array(np.zeros(len(texts), np.int64))
+            batch = pa.RecordBatch.from_arrays(
+                [zero, pa.array(texts, pa.string()), zero, *empty, zero],
+                ["doc_id", "text", "n_words", "word_spans", "byte_spans", "items", "longest"])
+            out = pa.Table.from_batches(_reader(known)(iter([batch])), batch.schema).select(["n_words", "word_spans"])
+            yield out.to_pandas()
+
+    return find
+
+
+def _united_words(flat: Column) -> Column:
+    """Words that spans of several automata cover together."""
+
+    @F.pandas_udf("bigint")
+    def count(spans: pd.Series) -> pd.Series:
+        return pd.Series([sum(b - a for a, b in _united([*zip(x[::2], x[1::2], strict=True)])) if len(x) else 0 for x in spans], dtype="int64")
+
+    return count(flat)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows of docs, with their columns, that aren't contaminated: fewer than one word in `share` lies in a window, or
-    none. The rows themselves pass the automata, so nothing is joined or shuffled."""
-    rows = docs.select(F.struct("*").alias("doc_id"), "text")
-    return find_overlaps(rows, items, window).where(~is_contaminated(share)).select("doc_id.*")
+    none. Only texts go to the automata, and only their spans come back; nothing is joined or shuffled."""
+    found = [_spans_in(known)("text") for known in _automata(items, window, block_words)]
+    judged = docs.withColumns({f"_found{k}": column for k, column in enumerate(found)})
+    names = [f"_found{k}" for k in range(len(found))]
+    hit = _united_words(F.flatten(F.array(*(F.col(f"{name}.word_spans") for name in names))))
+    clean = (hit == 0) | (hit * share < F.col("_found0.n_words"))
+    return judged.where(clean).drop(*names)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = 13, longest_span: int = 13, share: int = 20) -> DataFrame:
