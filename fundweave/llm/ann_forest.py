@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundweave.llm import shared
+
 #: Rows that the trees are fitted on, at most; every row is then put into a leaf of each tree.
 SAMPLE = 8192
 TREES = 4
@@ -18,6 +20,8 @@ TREES = 4
 LEAF_ROWS, LEVELS = 2048, 10
 #: Rows and queries that meet in one group, about.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Leaves of a query that are searched first. Of the others only what is as near as their k-th best goes on.
+FIRST_VISITS = 4
 #: Queries whose exact neighbours tell how far the queue has to be followed.
 PROBES = 32
 
@@ -98,20 +102,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
+def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
+         floors: np.ndarray | None = None) -> list[tuple]:
     """(query_id, vec_id, score) arrays of the k largest inner products of each query with other ids, ties to the smaller
-    id. A matrix product finds who may be among them; their scores are then computed row by row, in the same order of
+    id; scores below a query's floor are left out. A matrix product finds who may be among them; their scores are then computed row by row, in the same order of
     additions wherever they stand."""
     out = []
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     for i in range(0, len(queries), 256):
-        rough = queries[i:i + 256] @ x.T
-        for query_id, query, near in zip(query_ids[i:i + 256], queries[i:i + 256], rough, strict=True):
+        part = slice(i, i + 256)
+        for query_id, query, floor, near in zip(query_ids[part], queries[part], floors[part], queries[part] @ x.T, strict=True):
             near[ids == query_id] = -np.inf
             take = min(k, len(ids))
             least = np.partition(near, len(ids) - take)[len(ids) - take]
+            least = max(least, floor)
             slack = 1e-9 * (1 + np.abs(least)) if np.isfinite(least) else 0
             own = np.flatnonzero((near >= least - slack) & (near > -np.inf))
             score = (x[own] * query).sum(axis=1)
+            own, score = own[score >= floor], score[score >= floor]
             order = np.lexsort((ids[own], -score))[:k]
             out.append((np.full(len(order), query_id), ids[own][order], score[order]))
     return out
@@ -143,10 +151,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     """query_id, rank, vec_id and score of the k nearest vectors found for each query among all rows but its own id's.
 
     vectors: vec_id and embedding; rows that `valid` leaves out take no part, other columns are ignored. An id that
-    repeats is listed once. Trees are fitted on at most SAMPLE rows. How many rows the queue visits is measured: PROBES
+    repeats is listed once, and asked once, with its greatest vector. Trees are fitted on at most SAMPLE rows. How many rows the queue visits is measured: PROBES
     queries are compared with all rows, and the visits are as long as it takes to find `recall` of their neighbours, at
     least 64 * k rows. Leaves are cut to blocks of about BLOCK_ROWS rows and their queries to blocks of BLOCK_QUERIES, so a
-    vector that a third of all rows have is many groups. Each group sends the best k of a query only.
+    vector that a third of all rows have is many groups. Each group sends the best k of a query only, and none below the k-th best
+    of the leaves visited first.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
@@ -178,33 +187,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [(j, tree, leaf) for j, query in enumerate(_matrix(part.column(1)))
-                         for tree, leaf in visits(query, known.value, counts, visited)]
-                index, tree, leaf = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(index)), part.column(1).take(pa.array(index)), pa.array(tree), pa.array(leaf)],
-                    ["query_id", "query", "tree", "leaf"])
-
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    asked = asked.mapInArrow(follow, "query_id long, query array<double>, tree long, leaf long")
+                found = [(j, tree, leaf, visit) for j, query in enumerate(_matrix(part.column(1)))
+                         for visit, (tree, leaf) in enumerate(visits(query, known.value, counts, visited))]
+                index, *columns = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), *map(pa.array, columns)],
+                                                 ["query_id", "tree", "leaf", "visit"])
+
+    asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("embedding").alias("query"))
+    probes = shared.stored(asked.mapInArrow(follow, "query_id long, tree long, leaf long, visit long"), "probes")
     asking = max(1, -(-facts["queries"] // BLOCK_QUERIES))
     blocks = spark.createDataFrame(
         [(t, f, max(1, -(-int(counts[t, f]) // BLOCK_ROWS))) for t in range(trees) for f in range(1 << levels)], "tree long, leaf long, blocks int")
     blocks = F.broadcast(blocks)  # a row for each leaf, at most trees * 2 ** LEVELS
     placed = placed.join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))))
-    asked = asked.join(blocks, ["tree", "leaf"]).withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(asking)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["tree", "leaf", "block", "asking"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _result([])
         x, queries = (_matrix(table[name].combine_chunks()) for table, name in ((left, "embedding"), (right, "query")))
-        return _result(best(left["vec_id"].to_numpy(), x, right["query_id"].to_numpy(), queries, k))
-
-    group = ["tree", "leaf", "block", "asking"]
-    found = placed.drop("blocks").groupBy(group).cogroup(asked.drop("blocks").groupBy(group)).applyInArrow(meet, schema)
-    return _ranked(found, k)
+        return _result(best(left["vec_id"].to_numpy(), x, right["query_id"].to_numpy(), queries, k, right["floor"].to_numpy()))
+
+    def searched(part: DataFrame) -> DataFrame:
+        part = part.join(blocks, ["tree", "leaf"]).withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(asking)).cast("int"))
+        part = part.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*group, "query_id", "query", "floor")
+        return placed.select(*group, "vec_id", "embedding").groupBy(group).cogroup(part.groupBy(group)).applyInArrow(meet, schema)
+
+    first = probes.where(F.col("visit") < FIRST_VISITS).join(asked, "query_id").withColumn("floor", F.lit(float("-inf")))
+    first = shared.stored(_ranked(searched(first), k), "first")
+    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+    floors = floors.select("query_id", F.when(F.col("n") == k, F.col("low")).otherwise(float("-inf")).alias("floor"))
+    rest = probes.where(F.col("visit") >= FIRST_VISITS).join(asked, "query_id").join(floors, "query_id", "left")
+    rest = searched(rest.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+    return _ranked(first.select("query_id", "vec_id", "score").unionAll(rest), k)
 
 
 def _measured(rows: DataFrame, is_query: Column, forest: Forest, counts: np.ndarray, k: int, recall: float) -> int:
