@@ -86,18 +86,36 @@ def _thin_segments(size: int, parts: int):
     return read
 
 
-def _unshared(table: pa.Table) -> pa.Table:
-    """Of one part: how many n-grams of each set occur in no other set. A false match of 32-bit numbers within a part can
-    only let a set pass that has to be looked at more closely."""
-    keys, sizes, alone, several = (
-        np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        for name, kind in (("keys", np.int64), ("sizes", np.uint32), ("alone", np.uint32), ("several", np.uint32)))
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    values, which, times = np.unique(alone, return_inverse=True, return_counts=True)
-    once = (times == 1) & ~np.isin(values, several)
-    count = np.bincount(owner[once[which]], minlength=len(keys))
-    full = count > 0
-    return pa.table({"key": keys[full], "unshared": count[full]})
+def _unshared(parts: int):
+    """Of one part: how many n-grams of each set occur in no other set; a row for each share of the keys. A false match of
+    32-bit numbers within a part can only let a set pass that has to be looked at more closely."""
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, sizes, alone, several = (
+            np.frombuffer(b"".join(table[name].to_pylist()), kind)
+            for name, kind in (("keys", np.int64), ("sizes", np.uint32), ("alone", np.uint32), ("several", np.uint32)))
+        owner = np.repeat(np.arange(len(keys)), sizes)
+        values, which, times = np.unique(alone, return_inverse=True, return_counts=True)
+        once = (times == 1) & ~np.isin(values, several)
+        number = np.bincount(owner[once[which]], minlength=len(keys)).astype(np.uint32)
+        full = np.flatnonzero(number)
+        share = (keys[full].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        full, cut = full[order], np.searchsorted(share[order], np.arange(parts + 1))
+        own = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.table({"share": pa.array(own, pa.int32()),
+                         "keys": pa.array([keys[full[cut[k]:cut[k + 1]]].tobytes() for k in own], pa.binary()),
+                         "numbers": pa.array([number[full[cut[k]:cut[k + 1]]].tobytes() for k in own], pa.binary())})
+
+    return count
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one share of the keys: each set's sum over the parts."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+    found, which = np.unique(keys, return_inverse=True)
+    numbers = np.frombuffer(b"".join(table["numbers"].to_pylist()), np.uint32)
+    return pa.table({"key": found, "unshared": np.bincount(which, numbers, len(found)).astype(np.int64)})
 
 
 def _whole_sets(size: int):
@@ -228,9 +246,9 @@ def _apart(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _one_each(placed: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of each set with one set of another component that shares an n-gram: the first in an order that changes
-    with the turn."""
-    order = F.xxhash64("key", F.lit(turn))
+    """Pairs (a, b) of each set with one set of another component that shares an n-gram. In even turns it is the set with
+    the fewest rarer n-grams: the text that a group's near copies come from has hardly any. In odd turns it is any."""
+    order = F.xxhash64("key", F.lit(turn)) if turn % 2 else F.col("place")
     hubs = placed.groupBy("gram", "near_size").agg(F.min(F.struct(order.alias("o"), "key", "n", "place", "label")).alias("h"))
     near = placed.alias("e").join(hubs.select("gram", "near_size", "h.*").alias("h"), ["gram", "near_size"])
     near = near.where((F.col("e.label") != F.col("h.label")) & _close("e", "h", percent))
@@ -275,7 +293,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         F.min("n").alias("n"), F.min("doc_id").alias("least_id"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
 
     thin = texts.select("text").mapInArrow(_thin_segments(size, parts), "part int, keys binary, sizes binary, alone binary, several binary")
-    unshared = thin.groupBy("part").applyInArrow(_unshared, "key long, unshared long").groupBy("key").agg(F.sum("unshared").alias("unshared"))
+    unshared = thin.groupBy("part").applyInArrow(_unshared(parts), "share int, keys binary, numbers binary")
+    unshared = unshared.groupBy("share").applyInArrow(_summed, "key long, unshared long")
     left = classes.join(unshared, "key", "left").where(100 * F.coalesce("unshared", F.lit(0)) <= (100 - percent) * F.col("n"))
     left = shared.stored(left.select("key", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("one_id")), "left")
 
