@@ -46,46 +46,51 @@ _TAG_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td":
                "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5} | dict.fromkeys(_HEADINGS, -5)
 _LEAST_CHARS = 25
 _ANCESTORS = 4
+#: From so many characters on a paragraph with few links is large.
+_LARGE_CHARS = 100
 
 
 class _Node:
-    __slots__ = ("chars", "commas", "inner", "link_chars", "names", "own_chars", "parent", "points", "tag")
+    __slots__ = ("chars", "commas", "doubtful", "holds", "inner", "link_chars", "names", "own_chars", "parent", "points", "prose", "tag",
+                 "within")
 
-    def __init__(self, tag: str, parent: _Node | None, names: frozenset[str]) -> None:
-        self.tag, self.parent, self.names = tag, parent, names
+    def __init__(self, tag: str, parent: _Node | None, names: frozenset[str], doubtful: bool = False) -> None:
+        self.tag, self.parent, self.names, self.doubtful = tag, parent, names, doubtful
         self.inner: list[_Node | str] = []
         self.points: float | None = None
         self.chars = self.commas = self.link_chars = self.own_chars = 0
 
 
 def _names(attributes: str) -> tuple[frozenset[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
+    """Words of class, id and role; whether the element is hidden. What stands in one name with a word for comments, as in
+    comment-body, doesn't name the article."""
     if "=" not in attributes and "hidden" not in attributes:
         return frozenset(), False
     words, hidden = [], False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            words += _WORD.findall(value)
+            for own in map(_WORD.findall, value.split()):
+                words += own if _COMMENT.isdisjoint(own) else [w for w in own if w not in _LIKELY]
         hidden = hidden or name == "hidden" or (name == "aria-hidden" and value == "true") or (
             name == "style" and "display:none" in value.replace(" ", ""))
     return frozenset(words), hidden
 
 
-def _unwanted(tag: str, names: frozenset[str], hidden: bool, in_article: bool) -> bool:
-    if hidden or tag in _DROPPED:
-        return True
-    if tag in ("html", "body", "main") or tag in _HEADINGS:
+def _unwanted(tag: str, hidden: bool, in_article: bool) -> bool:
+    return hidden or tag in _DROPPED or tag == "header" and not in_article
+
+
+def _doubtful(tag: str, names: frozenset[str]) -> bool:
+    """Whether names say that an element isn't the article, and none says that it is."""
+    if not names or tag in ("html", "body", "main") or tag in _HEADINGS or names & _LIKELY:
         return False
-    if tag == "article":
-        return bool(names & _COMMENT)
-    if tag == "header":
-        return not in_article
-    return bool(names & _UNLIKELY) and not (in_article and names & _LIKELY and not names & _COMMENT)
+    return bool(names & (_COMMENT if tag == "article" else _UNLIKELY))
 
 
 def parse(html: str) -> _Node:
-    """A tree of what may be the article. Unwanted elements aren't in it, nor are comments, scripts and the like."""
+    """A tree of what may be the article. Unwanted elements aren't in it, nor are comments, scripts and the like; those with
+    doubtful names are."""
     root = _Node("html", None, frozenset())
     stack = [root]
     opened: Counter[str] = Counter()  # tags of the stack, but for the root's
@@ -164,11 +169,11 @@ def parse(html: str) -> _Node:
                 if stack[k].tag in _SCOPE:
                     break
         names, hidden = _names(attributes)
-        if _unwanted(tag, names, hidden, articles > 0):
+        if _unwanted(tag, hidden, articles > 0):
             if not attributes.endswith("/"):
                 skipping.append(tag)
             continue
-        node = _Node(tag, stack[-1], names)
+        node = _Node(tag, stack[-1], names, _doubtful(tag, names))
         stack[-1].inner.append(node)
         stack.append(node)
         opened[tag] += 1
@@ -191,12 +196,13 @@ def _density(node: _Node) -> float:
 
 
 def _start_points(node: _Node) -> float:
-    return _TAG_POINTS.get(node.tag, 0) + (25 if node.names & _LIKELY else 0)
+    named = -25 if node.doubtful else 25 if node.names & _LIKELY and not node.names & _UNLIKELY else 0
+    return _TAG_POINTS.get(node.tag, 0) + named
 
 
-def _score(nodes: list[_Node]) -> _Node | None:
-    """Gives points and returns the best container."""
+def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
+        node.chars = node.commas = node.link_chars = node.own_chars = 0
         for x in node.inner:
             if x.__class__ is str:
                 n = len(" ".join(x.split()))
@@ -211,6 +217,72 @@ def _score(nodes: list[_Node]) -> _Node | None:
                     node.commas += x.commas
         if node.tag == "a":
             node.link_chars = node.chars
+
+
+def _place(nodes: list[_Node]) -> None:
+    """`within` is the nearest doubtful element, itself or around."""
+    for node in nodes:
+        node.within = node if node.doubtful else node.parent.within if node.parent else None
+
+
+def _drop_by_name(nodes: list[_Node]) -> bool:
+    """Takes doubtful elements out of the tree; returns whether there were any. Those stay, for the scores to judge, that
+    hold <main>, or an <article> if none is elsewhere, or large paragraphs: a fourth as much as there is in elements that
+    aren't doubtful, and ten beside an article. Where no paragraph is large, all text without links counts, and it has to be
+    as much. Comments stay only if they hold the sole article and no large paragraph is elsewhere."""
+    if not any(node.doubtful for node in nodes):
+        return False
+    _place(nodes)
+    for kind in ("main", "article"):
+        if kind == "article" and any(node.tag in ("main", "article") and node.within is None for node in nodes):
+            break
+        for node in nodes:
+            around = node.within if node.tag == kind and not node.doubtful else None
+            if kind == "article" and around and around.names & _COMMENT:
+                continue
+            while around and around.doubtful:
+                around.doubtful = False
+                around = around.parent.within
+        _place(nodes)
+    _measure(nodes)
+    every = [node for node in nodes if node.tag in _BLOCK and node.tag not in _HEADINGS]
+    large = {node for node in every if node.own_chars >= _LARGE_CHARS and _density(node) < 0.25}
+    for node in reversed(nodes):
+        kids = [x for x in node.inner if x.__class__ is _Node]
+        own = node.own_chars if node in large else 0
+        node.prose = own + sum(x.prose for x in kids if not (x.doubtful and x.names & _COMMENT))
+        node.holds = any(x.holds or x.tag in ("article", "main") and not x.doubtful for x in kids)
+    firm = sum(node.own_chars for node in large if node.within is None)
+    inside = [node for node in nodes if node.doubtful and (node.parent is None or node.parent.within is None)]
+    rest = nodes[0].chars - nodes[0].link_chars - sum(node.chars - node.link_chars for node in inside)
+    in_article = set()
+    for node in nodes:
+        if node.parent in in_article or node.tag in ("main", "article") and not node.doubtful:
+            in_article.add(node)
+    found = any(node.within is None and node.own_chars for node in in_article)
+    gone = set()
+    for node in nodes:
+        if not node.doubtful:
+            continue
+        beside = found and node not in in_article
+        if node.names & _COMMENT:
+            stays = node.holds and not firm
+        elif large:
+            stays = node.prose > 0 and 4 * node.prose >= max(firm, 40 * _LARGE_CHARS if beside else 0)
+        else:
+            stays = not beside and node.tag in _BLOCK and node.chars - node.link_chars >= max(rest, 1)
+        if not stays:
+            gone.add(node)
+        elif node.prose >= firm and not beside:
+            node.doubtful = False  # most of the text is in it
+    for parent in {node.parent for node in gone}:
+        parent.inner = [x for x in parent.inner if x.__class__ is str or x not in gone]
+    return True
+
+
+def _score(nodes: list[_Node]) -> _Node | None:
+    """Gives points and returns the best container."""
+    _measure(nodes)
     for node in nodes:
         if node.tag not in _BLOCK or node.own_chars < _LEAST_CHARS or node.tag in _HEADINGS:
             continue
@@ -275,13 +347,20 @@ def _text(parts: list[_Node | str]) -> str:
 
 
 def main_text(html: str | None) -> str:
-    """The article of one page; empty if there is none."""
+    """The article of one page; empty if there is none. If no text is left, names don't count."""
     if not html:
         return ""
-    root = parse(html)
-    nodes = _in_order(root)
-    best = _score(nodes)
-    return _text(_kept(best) if best else [root])
+    for by_name in (True, False):
+        root = parse(html)
+        nodes = _in_order(root)
+        named = by_name and _drop_by_name(nodes)
+        if named:
+            nodes = _in_order(root)
+        best = _score(nodes)
+        text = _text(_kept(best) if best else [root])
+        if text or not named:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

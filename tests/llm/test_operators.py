@@ -196,6 +196,27 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = " ".join([STORY] * 3)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><div class='content-sidebar-wrap'><main><article><p>{STORY}</p></article></main><div class='sidebar'><p>{STORY}</p></div></div></body>", STORY),
+    (f"<body><div class='main-content has-sidebar'><p>{STORY}</p><p>{LONG}</p></div><div class='sidebar'><p>{STORY}</p></div></body>", f"{STORY} {LONG}"),
+    (f"<body><div id='content' class='no-sidebar'><h1>Title</h1><p>{STORY}</p></div></body>", f"Title {STORY}"),
+    (f"<body><div class='has-sidebar'><article><p>{STORY}</p></article></div><p>Imprint</p></body>", STORY),
+    (f"<body><div class='has-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'>Ad</div><p>Imprint</p></body>", f"{LONG} {LONG}"),
+    (f"<body><div class='has-sidebar'><p>{STORY}</p><p>{STORY}</p></div><p>Imprint</p></body>", f"{STORY} {STORY}"),
+    (f"<div id='page' class='comments-open'><article class='post has-comments'><p>{STORY}</p></article><ol class='comments'><li class='comment'>"
+     f"<article class='comment-body'><p>{LONG}</p></article></ol></div>", STORY),
+    (f"<div class='comments'><p>{STORY}</p></div>", STORY),
+    (f"<div class='ad'><p>{LONG}</p></div><article><h1>Title</h1><p>Short.</p></article>", "Title Short."),
+    (f"<article><h1>Title</h1><div class='widget-container'><p>{LONG}</p></div></article>", f"Title {LONG}"),
+    (f"<article><p>{LONG}</p><div class='related'><article><p>Other</p></article></div></article>", LONG),
+])
+def test_names_alone_take_no_article_away(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_odd_markup_takes_linear_time():
     for html in ("<" * 200_000, "<a " * 100_000, '<div class="' * 50_000, "</p>" * 100_000, "<!-- " * 100_000, "<b><p>" * 20_000):
         html_extract.main_text(html)
