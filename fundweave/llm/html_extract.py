@@ -102,7 +102,8 @@ def parse(html: str) -> _Node:
         del stack[k:]
         return sum(tag in ("article", "main") for tag in tags)
 
-    skipping: list[str] = []  # open elements inside an unwanted one
+    skipping: list[str] = []  # an unwanted element and the open ones inside it
+    skipped: Counter[str] = Counter()  # their tags
     at = articles = 0
     size = len(html)
     while at < size:
@@ -124,13 +125,16 @@ def parse(html: str) -> _Node:
         tag = tag.lower()
         if closing:
             if skipping:
-                if tag in skipping[-64:]:
-                    while skipping.pop() != tag:
-                        pass
+                if skipped[tag]:
+                    last = ""
+                    while last != tag:
+                        last = skipping.pop()
+                        skipped[last] -= 1
                     continue
                 if not (tag in _BLOCK and opened[tag]):
                     continue
                 skipping.clear()  # an element around the unwanted one ends, which was never closed
+                skipped.clear()
             for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     articles -= close(k)
@@ -143,9 +147,13 @@ def parse(html: str) -> _Node:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
             continue
+        while skipping and (skipping[-1] in _ENDED_BY.get(tag, ()) or skipping[-1] == "p" and tag in _ENDS_P
+                            or skipping[-1] == tag == "option"):
+            skipped[skipping.pop()] -= 1  # its end tag was left out
         if skipping:
             if tag not in _VOID and not attributes.endswith("/"):
                 skipping.append(tag)
+                skipped[tag] += 1
             continue
         if tag in ("html", "body"):
             continue
@@ -172,6 +180,7 @@ def parse(html: str) -> _Node:
         if _unwanted(tag, hidden, articles > 0):
             if not attributes.endswith("/"):
                 skipping.append(tag)
+                skipped[tag] += 1
             continue
         node = _Node(tag, stack[-1], names, _doubtful(tag, names))
         stack[-1].inner.append(node)

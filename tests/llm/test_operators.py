@@ -217,6 +217,25 @@ def test_names_alone_take_no_article_away(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("menu", [
+    "<nav><ul>" + "<li><a href=/>Home</a>" * 1000 + "</ul></nav>",
+    "<form><select>" + "<option>Country" * 1000 + "</select></form>",
+    "<nav>" + "<p>Home" * 1000 + "</nav>",
+    "<nav>" + "<span>Home" * 1000 + "</nav>",
+    "<nav><table>" + "<tr><td>Home" * 1000 + "</table></nav>",
+    "<ul><li hidden>Home<li hidden>Away</ul>",
+    "<p hidden>Home",
+])
+def test_unclosed_elements_inside_unwanted_ones(menu):
+    assert html_extract.main_text(f"<body>{menu}<article><p>{STORY}</p></article></body>") == STORY
+
+
+def test_unclosed_unwanted_elements_take_linear_time():
+    for html in ("<nav>" + "<span>" * 200_000 + "</i>" * 200_000, "<nav>" + "<li>" * 200_000 + "</nav>", "<nav>" + "<b></i>" * 100_000,
+                 "<div class=ad>" * 20_000, "<div class=ad><article>" * 20_000):
+        html_extract.main_text(html)
+
+
 def test_odd_markup_takes_linear_time():
     for html in ("<" * 200_000, "<a " * 100_000, '<div class="' * 50_000, "</p>" * 100_000, "<!-- " * 100_000, "<b><p>" * 20_000):
         html_extract.main_text(html)
