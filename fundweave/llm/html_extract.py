@@ -46,19 +46,21 @@ _TAG_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td":
                "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5} | dict.fromkeys(_HEADINGS, -5)
 _LEAST_CHARS = 25
 _ANCESTORS = 4
+#: A menu has at least so many links, of at most so many characters each and together.
+_MENU_LINKS, _LINK_CHARS, _MENU_CHARS = 3, 25, 300
 #: From so many characters on a paragraph with few links is large.
 _LARGE_CHARS = 100
 
 
 class _Node:
-    __slots__ = ("chars", "commas", "doubtful", "holds", "inner", "link_chars", "names", "own_chars", "parent", "points", "prose", "tag",
+    __slots__ = ("chars", "commas", "doubtful", "holds", "inner", "link_chars", "links", "names", "own_chars", "parent", "points", "prose", "tag",
                  "within")
 
     def __init__(self, tag: str, parent: _Node | None, names: frozenset[str], doubtful: bool = False) -> None:
         self.tag, self.parent, self.names, self.doubtful = tag, parent, names, doubtful
         self.inner: list[_Node | str] = []
         self.points: float | None = None
-        self.chars = self.commas = self.link_chars = self.own_chars = 0
+        self.chars = self.commas = self.link_chars = self.links = self.own_chars = 0
 
 
 def _names(attributes: str) -> tuple[frozenset[str], bool]:
@@ -211,7 +213,7 @@ def _start_points(node: _Node) -> float:
 
 def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
-        node.chars = node.commas = node.link_chars = node.own_chars = 0
+        node.chars = node.commas = node.link_chars = node.links = node.own_chars = 0
         for x in node.inner:
             if x.__class__ is str:
                 n = len(" ".join(x.split()))
@@ -221,11 +223,13 @@ def _measure(nodes: list[_Node]) -> None:
             else:
                 node.chars += x.chars
                 node.link_chars += x.link_chars
+                node.links += x.links
                 if x.tag not in _BLOCK:
                     node.own_chars += x.own_chars
                     node.commas += x.commas
         if node.tag == "a":
             node.link_chars = node.chars
+            node.links += 1
 
 
 def _place(nodes: list[_Node]) -> None:
@@ -327,32 +331,45 @@ def _kept(best: _Node) -> list[_Node | str]:
     return out
 
 
+def _menu(node: _Node) -> bool:
+    """A short list of links that are a word or two, with no text but separators outside them."""
+    return (node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.links >= _MENU_LINKS
+            and node.chars <= min(_MENU_CHARS, node.links * (_LINK_CHARS + 2)) and node.chars - node.link_chars <= 2 * node.links)
+
+
 def _text(parts: list[_Node | str]) -> str:
-    """Blocks in page order, joined by a space; lists that are mostly links are left out."""
-    blocks: list[str] = []
+    """Blocks in page order, joined by a space. Menus before or after all other text are left out, if there is any."""
+    blocks: list[tuple[str, str]] = []  # text and what it is part of: "menu", "heading" or nothing
     open_text: list[str] = []
+    kinds = [""]
 
     def end() -> None:
         block = " ".join("".join(open_text).split())
         open_text.clear()
         if block:
-            blocks.append(block)
+            blocks.append((block, kinds[-1]))
 
     left: list[_Node | str | None] = list(reversed(parts))
+    whole = {id(part) for part in parts}
     while left:
         x = left.pop()
         if x is None:
             end()
+            kinds.pop()
         elif x.__class__ is str:
             open_text.append(x)
-        elif not (x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.chars and _density(x) > 0.5):
-            block = x.tag in _BLOCK
-            if block:
+        else:
+            if x.tag in _BLOCK:
                 end()
+                menu = kinds[-1] == "menu" or id(x) not in whole and _menu(x)
+                kinds.append("menu" if menu else "heading" if x.tag in _HEADINGS else kinds[-1])
                 left.append(None)
             left += reversed(x.inner)
     end()
-    return " ".join(blocks)
+    body = [k for k, (_, kind) in enumerate(blocks) if not kind]
+    if body:
+        blocks = [block for k, block in enumerate(blocks) if block[1] != "menu" or body[0] < k < body[-1]]
+    return " ".join(block for block, _ in blocks)
 
 
 def main_text(html: str | None) -> str:

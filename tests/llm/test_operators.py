@@ -236,6 +236,30 @@ def test_unclosed_unwanted_elements_take_linear_time():
         html_extract.main_text(html)
 
 
+DIGEST = "".join(f"<li><a href=/{k}>Report {k} of the committee on the harbour</a></li>" for k in range(30))
+TERMS = "".join(f"<li><a href=/{k}>Term {k}</a></li>" for k in range(60))
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/b>Blog</a></li></ul>"
+
+
+def words_of(html):
+    return " ".join(re.sub("<[^>]*>", " ", html).split())
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<article><p>{LONG}</p><ul>{DIGEST}</ul></article>", f"{LONG} {words_of(DIGEST)}"),
+    (f"<article><p>{LONG}</p><ol>{TERMS}</ol></article>", f"{LONG} {words_of(TERMS)}"),
+    (f"<article><h1>Links</h1><ul>{DIGEST}</ul></article>", f"Links {words_of(DIGEST)}"),
+    (f"<div class='post'><a href=/><p>{STORY}</p><p>{LONG}</p></a></div>", f"{STORY} {LONG}"),
+    (f"<section><p><a href=/>{STORY}</a></p></section>", STORY),
+    (f"<article><p>{LONG}</p><ol><li><a href=/>A paper</a>, 2010, pages 1 to 9</li><li><a href=/>Another paper on it</a></li></ol></article>",
+     f"{LONG} A paper, 2010, pages 1 to 9 Another paper on it"),
+    (f"<article>{MENU}<h1>Title</h1><p>{LONG}</p>{MENU}</article>", f"Title {LONG}"),
+    (f"<article><p>{LONG}</p>{MENU}<p>{LONG}</p></article>", f"{LONG} {words_of(MENU)} {LONG}"),
+])
+def test_linked_text_of_an_article_stays(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_odd_markup_takes_linear_time():
     for html in ("<" * 200_000, "<a " * 100_000, '<div class="' * 50_000, "</p>" * 100_000, "<!-- " * 100_000, "<b><p>" * 20_000):
         html_extract.main_text(html)
