@@ -80,7 +80,7 @@ def leaves(x: np.ndarray, forest: Forest) -> np.ndarray:
 
 
 def visits(query: np.ndarray, forest: Forest, counts: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
-    """(tree, leaf) pairs, best first, until the leaves have `rows` rows. One queue holds the open branches of all trees;
+    """(tree, leaf) pairs, best first, until the leaves have `rows` ids by `counts`. One queue holds the open branches of all trees;
     a branch is as far as the farthest threshold that it lies beyond."""
     point = np.append(query, 0.0)
     margins = forest.directions @ point - forest.thresholds
@@ -104,23 +104,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
          floors: np.ndarray | None = None) -> list[tuple]:
-    """(query_id, vec_id, score) arrays of the k largest inner products of each query with other ids, ties to the smaller
-    id; scores below a query's floor are left out. A matrix product finds who may be among them; their scores are then computed row by row, in the same order of
-    additions wherever they stand."""
+    """(query_id, vec_id, score) arrays of the k other ids of the largest inner products with each query, ties to the smaller
+    id; an id of several rows counts once, with its best. Scores below a query's floor are left out. A matrix product finds
+    who may be among them; their scores are then computed row by row, in the same order of additions wherever they stand."""
     out = []
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    repeated = len(starts) < len(ids)
     floors = np.full(len(queries), -np.inf) if floors is None else floors
     for i in range(0, len(queries), 256):
         part = slice(i, i + 256)
         for query_id, query, floor, near in zip(query_ids[part], queries[part], floors[part], queries[part] @ x.T, strict=True):
             near[ids == query_id] = -np.inf
-            take = min(k, len(ids))
-            least = np.partition(near, len(ids) - take)[len(ids) - take]
+            of_ids = np.maximum.reduceat(near, starts) if repeated else near
+            take = min(k, len(of_ids))
+            least = np.partition(of_ids, len(of_ids) - take)[len(of_ids) - take]
             least = max(least, floor)
             slack = 1e-9 * (1 + np.abs(least)) if np.isfinite(least) else 0
             own = np.flatnonzero((near >= least - slack) & (near > -np.inf))
             score = (x[own] * query).sum(axis=1)
             own, score = own[score >= floor], score[score >= floor]
-            order = np.lexsort((ids[own], -score))[:k]
+            order = np.lexsort((ids[own], -score))
+            if repeated:
+                order = order[np.sort(np.unique(ids[own][order], return_index=True)[1])]
+            order = order[:k]
             out.append((np.full(len(order), query_id), ids[own][order], score[order]))
     return out
 
@@ -148,17 +156,22 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, trees: int = TREES) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest vectors found for each query among all rows but its own id's.
-
-    vectors: vec_id and embedding; rows that `valid` leaves out take no part, other columns are ignored. An id that
-    repeats is listed once, and asked once, with its greatest vector. Trees are fitted on at most SAMPLE rows. How many rows the queue visits is measured: PROBES
-    queries are compared with all rows, and the visits are as long as it takes to find `recall` of their neighbours, at
-    least 64 * k rows. Leaves are cut to blocks of about BLOCK_ROWS rows and their queries to blocks of BLOCK_QUERIES, so a
-    vector that a third of all rows have is many groups. Each group sends the best k of a query only, and none below the k-th best
-    of the leaves visited first.
+    """query_id, rank, vec_id and score of the k nearest ids found for each query among all rows but its own id's.
+
+    vectors: vec_id and embedding; rows that `valid` leaves out take no part, other columns are ignored. Repeated rows count
+    once. An id of several vectors is listed once, with its best, and asked once, with its greatest vector. Trees are fitted
+    on at most SAMPLE rows. How many ids the queue visits is measured: PROBES queries are compared with all rows, and the
+    visits are as long as it takes to find `recall` of their neighbours, at least 64 * k ids. Leaves are cut to blocks of
+    about BLOCK_ROWS rows and their queries to blocks of BLOCK_QUERIES, so a vector that a third of all rows have is many
+    groups. Each group sends the best k ids of a query only, and none below the k-th best of the leaves visited first.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
+    each = rows.groupBy("vec_id", F.xxhash64("embedding").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("vec_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("x"))
+    repeats = each.agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.count(F.lit(1)).alias("ids")).first()
+    if repeats["n"] != repeats["x"]:
+        rows = shared.stored(rows.dropDuplicates(["vec_id", "embedding"]), "vectors")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.sum(is_query.cast("long")).alias("queries")).first()
     schema = "query_id long, vec_id long, score double"
@@ -178,10 +191,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                     ["vec_id", "embedding", "tree", "leaf"])
 
     placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, tree long, leaf long")
-    counts = np.zeros((trees, 1 << levels), np.int64)
-    for row in placed.groupBy("tree", "leaf").count().collect():
-        counts[row["tree"], row["leaf"]] = row["count"]
-    visited = max(_measured(rows, is_query, forest, counts, k, recall), 64 * k)
+    counts, sizes = np.zeros((2, trees, 1 << levels), np.int64)  # ids and rows of each leaf
+    several = repeats["x"] != repeats["ids"]
+    n_ids = F.count_distinct("vec_id") if several else F.count(F.lit(1))
+    for row in placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"), n_ids.alias("ids")).collect():
+        sizes[row["tree"], row["leaf"]], counts[row["tree"], row["leaf"]] = row["n"], row["ids"]
+    asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("embedding").alias("query"))
+    visited = max(_measured(rows, asked, forest, counts, k, recall), 64 * k)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +209,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), *map(pa.array, columns)],
                                                  ["query_id", "tree", "leaf", "visit"])
 
-    asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("embedding").alias("query"))
     probes = shared.stored(asked.mapInArrow(follow, "query_id long, tree long, leaf long, visit long"), "probes")
     asking = max(1, -(-facts["queries"] // BLOCK_QUERIES))
     blocks = spark.createDataFrame(
-        [(t, f, max(1, -(-int(counts[t, f]) // BLOCK_ROWS))) for t in range(trees) for f in range(1 << levels)], "tree long, leaf long, blocks int")
+        [(t, f, max(1, -(-int(sizes[t, f]) // BLOCK_ROWS))) for t in range(trees) for f in range(1 << levels)], "tree long, leaf long, blocks int")
     blocks = F.broadcast(blocks)  # a row for each leaf, at most trees * 2 ** LEVELS
-    placed = placed.join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    placed = placed.join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding") if several else F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))))
     group = ["tree", "leaf", "block", "asking"]
 
@@ -223,10 +238,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     return _ranked(first.select("query_id", "vec_id", "score").unionAll(rest), k)
 
 
-def _measured(rows: DataFrame, is_query: Column, forest: Forest, counts: np.ndarray, k: int, recall: float) -> int:
-    """Rows to visit, so that `recall` of the exact neighbours of PROBES queries are found."""
-    probes = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(PROBES).toArrow()
-    query_ids, queries = probes["vec_id"].to_numpy(), _matrix(probes["embedding"].combine_chunks())
+def _measured(rows: DataFrame, asked: DataFrame, forest: Forest, counts: np.ndarray, k: int, recall: float) -> int:
+    """Ids to visit, so that `recall` of the exact neighbours of PROBES queries are found."""
+    probes = asked.orderBy(F.xxhash64("query_id", F.lit(1)), "query_id").limit(PROBES).toArrow()
+    query_ids, queries = probes["query_id"].to_numpy(), _matrix(probes["query"].combine_chunks())
     known = rows.sparkSession.sparkContext.broadcast((query_ids, queries))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +251,9 @@ def _measured(rows: DataFrame, is_query: Column, forest: Forest, counts: np.ndar
                 yield from table.to_batches()
 
     exact = _ranked(rows.mapInArrow(scan, "query_id long, vec_id long, score double"), k)
-    near = exact.join(rows.select("vec_id", "embedding").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "embedding").toArrow()
+    product = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    near = exact.join(rows.select("vec_id", "embedding"), "vec_id").join(asked, "query_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.max_by("embedding", product).alias("embedding")).toArrow()
     if not near.num_rows:
         return 0
     at = leaves(_matrix(near["embedding"].combine_chunks()), forest)

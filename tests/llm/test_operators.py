@@ -171,6 +171,25 @@ def test_neighbours_reach_the_recall_and_are_exact(spark):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_of_repeated_rows_and_ids(spark):
+    from pyspark.sql import functions as F
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(900, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2  # each row twice
+    rows += [(1, x[1].tolist())] * 28  # and one thirty times
+    rows += [(3, (x[0] * (2 + k / 100)).tolist()) for k in range(40)]  # an id of many near vectors
+    found = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 1, 100, 200, 300), k=20)
+    best = {}
+    for query in (0, 1, 100, 200, 300):
+        for i, v in rows:
+            if i != query:
+                score = float((np.array(v) * x[query]).sum())
+                best[query, i] = max(best.get((query, i), score), score)
+    true = {(q, i) for q in (0, 1, 100, 200, 300) for i in sorted((i for p, i in best if p == q), key=lambda i: (-best[q, i], i))[:20]}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in found.collect()}
+    assert set(got) == true and all(abs(got[pair] - best[pair]) < 1e-12 for pair in got)
+
+
 def test_neighbours_of_few_and_no_rows(spark):
     from pyspark.sql import functions as F
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
