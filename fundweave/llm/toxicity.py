@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundweave.llm import training
+from fundweave.llm import shared, training
 from fundweave.llm import words as W
 
-#: Labelled rows that the model is fitted on, at most; as many of each class as there are, up to half. They are rows with
-#: texts of at most MOST_CHARS characters, so that the sample's size is bounded; scores are given to all texts.
-SAMPLE, MOST_CHARS = 4000, 4000
+#: Labelled rows that the model is fitted on, at most; as many of each class as there are, up to half. Their texts are of
+#: every length; rows are taken, in the order of the sample, as long as their bags have so many buckets together.
+SAMPLE, BAG_BUCKETS = 4000, 6_000_000
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Means are multiplied by it, as a toxic word is about a hundredth of a text.
@@ -81,17 +81,30 @@ class Model:
     bias: np.ndarray
 
 
+def _within(bags: DataFrame, buckets: int) -> DataFrame:
+    """doc_id and label of the first rows of each class, in the order of the sample, that have an equal share of `buckets`
+    together."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = bags.groupBy("doc_id", "label").agg(F.sum(F.size("buckets").cast("long")).alias("n"))  # a few thousand rows
+    sizes = sizes.select("doc_id", "label", F.sum("n").over(order).alias("total"), F.row_number().over(order).alias("k"))
+    classes = max(1, bags.select("label").distinct().count())
+    return sizes.where((F.col("total") <= buckets // classes) | (F.col("k") == 1)).select("doc_id", "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int = SAMPLE, dimension: int = 8,
-        rounds: int = 80, seed: int = 7) -> Model:
-    """A model of `label` (0 or 1) from at most `bound` labelled rows outside the fold. Their texts are turned to bags of
-    buckets by Spark; embeddings and softmax are fitted together in numpy. Both classes weigh the same. Buckets of fewer
+        rounds: int = 80, seed: int = 7, buckets: int = BAG_BUCKETS) -> Model:
+    """A model of `label` (0 or 1) from at most `bound` labelled rows outside the fold, of at most `buckets` buckets in all;
+    one row of each class is taken whatever its size. Their texts are turned to bags of buckets by Spark; embeddings and softmax are fitted together in numpy. Both classes weigh the same. Buckets of fewer
     than ten of these texts are left out, as they would be learned by heart. Without labelled rows every score is a half;
     with one class it is that class's."""
-    short = docs.where(F.length("text") <= MOST_CHARS).select("doc_id", "text")
-    learnable = labels.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    learnable = labels.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     picked, _ = training.sample(learnable, label, ~training.held_out(fold), bound, 2)
-    texts = short.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    rows = texts.mapInArrow(_bags, "doc_id long, label int, buckets array<int>, weights array<float>").toArrow()
+    texts = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    bags = shared.stored(texts.mapInArrow(_bags, "doc_id long, label int, buckets array<int>, weights array<float>"), "bags")
+    kept = _within(bags, buckets)
+    rows = bags.join(F.broadcast(kept), ["doc_id", "label"], "left_semi").toArrow()
+    shared.dropped(bags)
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     y = rows["label"].to_numpy().astype(int)[order]
     if not len(y):

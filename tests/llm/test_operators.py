@@ -328,6 +328,16 @@ def test_classifiers_on_held_out_rows(spark, operator, label, column, fold, thre
     assert operator.score(table.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("buckets", [toxicity.BAG_BUCKETS, 20_000])
+def test_toxicity_is_learned_from_long_texts(spark, buckets):
+    docs, labels = labelled(300)
+    docs = [(i, (text + " ") * (8000 // len(text) + 1), lang) if labels[i][2] else (i, text, lang) for i, text, lang in docs]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "toxic", (3, 1), buckets=buckets)
+    found = toxicity.score(table, model).collect()
+    assert accuracy(found, {i: (q, t) for i, q, t in labels}, 1, 0.5, (3, 1)) > 0.9
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     docs, labels = labelled(200)
     table = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
