@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundweave.llm import (
-    ann_forest, decontamination, hard_negatives, html_extract, language_id, ngram_jaccard, packing, quality, suffix_dedup,
-    token_counts, toxicity, training)
+    ann_forest, decontamination, hard_negatives, html_extract, language_id, ngram_jaccard, packing, quality, secret_scan,
+    suffix_dedup, token_counts, toxicity, training)
 
 TOKEN_LIMIT = 4096
 #: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
@@ -87,6 +87,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_secret_scan": op12_secret_scan,
     }
 
 
