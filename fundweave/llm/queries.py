@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundweave.llm import (
     ann_forest, decontamination, hard_negatives, html_extract, language_id, ngram_jaccard, packing, quality, secret_scan,
-    suffix_dedup, token_counts, toxicity, training)
+    spelling_variants, suffix_dedup, token_counts, toxicity, training)
 
 TOKEN_LIMIT = 4096
 #: Nothing is learned from rows whose crc32(doc_id as text) mod the first number is the second.
@@ -91,6 +91,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_secret_scan": op12_secret_scan,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -172,5 +177,40 @@ FROM negatives WHERE place <= 10
 """
 
 
+# crc32 byte by byte, with a table made by its rule; variants by the words that are left without one code point.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+    FROM range(256) AS r(b)),
+runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL),
+spelt AS (SELECT run, times, hex(encode(doc_id || ':' || run)) AS digits FROM runs),
+hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(
+        list_transform(range(length(digits) // 2), lambda k: CAST('0x' || digits[2 * k + 1:2 * k + 2] AS BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS h
+    FROM spelt, crc),
+changed AS (
+    SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM hashed),
+w AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT word, n, k, word[1:k - 1] || word[k + 1:] AS rest FROM w, unnest(range(1, length(word) + 1)) AS r(k)),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN w b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN w b ON a.rest = b.word),
+best AS (
+    SELECT word, n, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY word, n),
+forms AS (SELECT word, form, most AS form_n FROM best WHERE most >= 10 * n),
+chain AS (SELECT word, form AS root, 1 AS steps FROM forms UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN forms f ON c.root = f.word),
+roots AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_hard_negatives": OP11_SQL,
+            "op13_spelling_variants": OP13_SQL}

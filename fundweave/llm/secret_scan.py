@@ -29,7 +29,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched whole, so shorter ones n
 _NAMES = (r"passw(?:or)?d|passphrase|passcode|(?<![a-z])pass|(?<![a-z])pwd|secret|token|credentials?|"
           r"(?:api|access|private|auth)[ _-]?key|(?<![a-z])auth(?:orization)?")
 _CONTEXT = re.compile(
-    rf"""(?:{_NAMES})["'\])]?\x20*(?:=>|:=|==|[:=])\x20*(?!["']?[a-z][a-z0-9+.-]*://)(?:"(?P<a>[^"\s]+)"|'(?P<b>[^'\s]+)'|(?P<c>[^\s"']+))"""
+    rf"""(?:{_NAMES})["'\])]?\x20*(?:=>|:=|==|[:=])\x20*(?:(?:bearer|basic)\x20+)?(?!["']?[a-z][a-z0-9+.-]*://)(?:"(?P<a>[^"\s]+)"|'(?P<b>[^'\s]+)'|(?P<c>[^\s"']+))"""
     r"|(?<![a-z])bearer\x20+(?P<d>[a-z0-9._~+/=-]+)"
     r"|://[^\s/:@]{1,256}:(?P<e>[^\s/@]{1,256})@", re.ASCII | re.IGNORECASE)
 #: What a text must hold to have any span; letters in either case.
