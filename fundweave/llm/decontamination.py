@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -194,17 +193,23 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13, block_wor
     size is built and broadcast for each, and the documents pass all of them without a shuffle. Null texts have no words;
     items without words match nothing; items with a null id hit, but can't be listed. Repeated items are listed once.
     """
-    found = docs.select(
-        F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<long>").alias("word_spans"), F.array().cast("array<long>").alias("byte_spans"),
-        F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
+    found = _through_automata(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), items, window, block_words)
+    return found.drop("text").withColumnRenamed("doc_id", id_column)
+
+
+def _through_automata(texts: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """texts, whose columns don't clash, with n_words, word_spans, byte_spans, items and longest."""
+    found = texts.withColumns({
+        "n_words": F.lit(0).cast("long"), "word_spans": F.array().cast("array<long>"), "byte_spans": F.array().cast("array<long>"),
+        "items": F.array().cast("array<string>"), "longest": F.lit(0).cast("long")})
     fields = found.schema
     for known in _automata(items, window, block_words):
         found = found.mapInArrow(_reader(known), fields)
-    return found.drop("text").withColumnRenamed("doc_id", id_column)
+    return found
 
 
 def _reader(known):
+    """Adds to the columns of each batch what one automaton finds in its texts; others pass."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = known.value
         table = np.zeros(1 << _FILTER_BITS, bool)
@@ -233,11 +238,11 @@ def _reader(known):
                     out[name][text] = [x for pair in _united([*zip(flat[::2], flat[1::2], strict=True), *new]) for x in pair]
                 out["items"][text] = sorted({*out["items"][text], *ids})
                 out["longest"][text] = max(out["longest"][text], longest)
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), block.column(1), pa.array(np.diff(word_at)), pa.array(out["word_spans"], pa.list_(pa.int64())),
-                 pa.array(out["byte_spans"], pa.list_(pa.int64())), pa.array(out["items"], pa.list_(pa.string())),
-                 pa.array(out["longest"], pa.int64())],
-                ["doc_id", "text", "n_words", "word_spans", "byte_spans", "items", "longest"])
+            new = {"n_words": pa.array(np.diff(word_at)), "longest": pa.array(out["longest"], pa.int64()),
+                   "word_spans": pa.array(out["word_spans"], pa.list_(pa.int64())),
+                   "byte_spans": pa.array(out["byte_spans"], pa.list_(pa.int64())), "items": pa.array(out["items"], pa.list_(pa.string()))}
+            names = block.schema.names
+            yield pa.RecordBatch.from_arrays([new.get(name, block.column(k)) for k, name in enumerate(names)], names)
 
     return read
 
@@ -259,40 +264,13 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
-def _spans_in(known: Broadcast):
-    @F.pandas_udf("struct<n_words: bigint, word_spans: array<bigint>>")
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            empty = [pa.array([[]] * len(texts), pa.list_(kind)) for kind in (pa.int64(), pa.int64(), pa.string())]
-            zero = pa.array(np.zeros(len(texts), np.int64))
-            batch = pa.RecordBatch.from_arrays(
-                [zero, pa.array(texts, pa.string()), zero, *empty, zero],
-                ["doc_id", "text", "n_words", "word_spans", "byte_spans", "items", "longest"])
-            out = pa.Table.from_batches(_reader(known)(iter([batch])), batch.schema).select(["n_words", "word_spans"])
-            yield out.to_pandas()
-
-    return find
-
-
-def _united_words(flat: Column) -> Column:
-    """Words that spans of several automata cover together."""
-
-    @F.pandas_udf("bigint")
-    def count(spans: pd.Series) -> pd.Series:
-        return pd.Series([sum(b - a for a, b in _united([*zip(x[::2], x[1::2], strict=True)])) if len(x) else 0 for x in spans], dtype="int64")
-
-    return count(flat)
-
-
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows of docs, with their columns, that aren't contaminated: fewer than one word in `share` lies in a window, or
-    none. Only texts go to the automata, and only their spans come back; nothing is joined or shuffled."""
-    found = [_spans_in(known)("text") for known in _automata(items, window, block_words)]
-    judged = docs.withColumns({f"_found{k}": column for k, column in enumerate(found)})
-    names = [f"_found{k}" for k in range(len(found))]
-    hit = _united_words(F.flatten(F.array(*(F.col(f"{name}.word_spans") for name in names))))
-    clean = (hit == 0) | (hit * share < F.col("_found0.n_words"))
-    return judged.where(clean).drop(*names)
+    none. Null texts have no words and stay, as does everything if no item has words; rows that repeat are judged each.
+    Rows pass the automata in slices of bounded bytes; nothing is joined or shuffled."""
+    names = [f"_own{k}" if name != "text" else name for k, name in enumerate(docs.columns)]
+    found = _through_automata(docs.toDF(*names), items, window, block_words)
+    return found.where(~is_contaminated(share)).select(*names).toDF(*docs.columns)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = 13, longest_span: int = 13, share: int = 20) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,16 +176,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """Rows of docs, with their columns, that score `threshold` or more. Rows stay where they are; nothing is shuffled."""
+    """Rows of docs, with their columns, that score `threshold` or more; null texts, null n_chars and repeated rows as in
+    score. Rows go through Arrow in slices of bounded bytes and are never Python objects; nothing is shuffled."""
     known = docs.sparkSession.sparkContext.broadcast(model)
+    chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _score_function(known.value)
-        for texts, chars in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(chars, pa.float64(), from_pandas=True)], ["text", "n_chars"])
-            found = [scores(block) for block in W.blocks(iter([batch]), "text")]
-            yield pd.Series(np.concatenate([*found, np.zeros(0)]))
+        for block in W.blocks(batches, "text"):
+            *own, counted = block.columns
+            text = block.column(block.schema.get_field_index("text"))
+            found = scores(pa.RecordBatch.from_arrays([text, counted], ["text", "n_chars"]))
+            yield pa.RecordBatch.from_arrays(own, block.schema.names[:-1]).filter(pa.array(found >= threshold))
 
-    chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    return docs.where(scored("text", chars.cast("double")) >= threshold)
+    return docs.withColumn("_counted_chars", chars.cast("double")).mapInArrow(read, docs.schema)

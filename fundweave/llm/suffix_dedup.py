@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fundweave.llm import membership, shared
 from fundweave.llm import words as W
@@ -232,17 +232,24 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
         read, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, length: int = 400, before: str | None = None) -> DataFrame:
-    """docs with their columns, repeated strings taken out of text, and the text as it was in a column `before`, if named.
-    A character of which only some bytes go goes whole."""
+def clean(docs: DataFrame, length: int = 400, changed: str | None = None) -> DataFrame:
+    """docs with their columns, repeated strings taken out of text, and in a column `changed`, if named, whether something
+    was. A character of which only some bytes go goes whole. A null text stays null; of rows that repeat each loses its
+    text, if it is as long as `length`. Rows go through Arrow; only texts that change become Python objects."""
+    flag = changed or "_changed"
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        out = [t if r is None or t is None else kept_bytes(t.encode(), spans(r, length)).decode(errors="ignore")
-               for t, r in zip(texts, ranges, strict=True)]
-        return pd.Series(out, dtype=object)
-
-    marked = with_ranges(docs, repeated_starts(docs, length))
-    if before:
-        marked = marked.withColumn(before, F.col("text"))
-    return marked.withColumn("text", cut("text", "_ranges")).select(*docs.columns, *([before] if before else []))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, ranges = batch.columns
+            place = batch.schema.get_field_index("text")
+            text = own[place]
+            hit = pc.and_(pc.is_valid(ranges), pc.is_valid(text))
+            new = [kept_bytes(t.encode(), spans(r, length)).decode(errors="ignore")
+                   for t, r in zip(text.filter(hit).to_pylist(), ranges.filter(hit).to_pylist(), strict=True)]
+            own[place] = pc.replace_with_mask(text, hit, pa.array(new, text.type)) if new else text
+            yield pa.RecordBatch.from_arrays([*own, hit], [*batch.schema.names[:-1], flag])
+
+    marked = with_ranges(docs, repeated_starts(docs, length)).select(*docs.columns, "_ranges")
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
+    cleaned = marked.mapInArrow(cut, schema)
+    return cleaned if changed else cleaned.drop(flag)
