@@ -23,11 +23,22 @@ def folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is stored. Texts of thousands of rows wait on both sides of the pipe to Python.
+BATCH_ROWS = 2_000
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again: later steps start there, whatever executors are lost."""
+    """df as Parquet in the shared folder, read again: later steps start there, whatever executors are lost. The session's
+    bound of rows in a batch is lowered during the write, and is as it was afterwards."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `size` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
@@ -55,6 +64,7 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str, size: int = BLOCK_BYTES
             stop = max(start + 1, int(np.searchsorted(at, at[start] + size, "right")) - 1)
             yield batch.slice(start, min(stop, batch.num_rows) - start)
             start = stop
+    give_back()
 
 
 def spans(inside: np.ndarray, at: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
