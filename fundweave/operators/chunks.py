@@ -30,10 +30,11 @@ def holdings_rows(holdings: DataFrame) -> DataFrame:
     )
 
 
-def trades_rows(trades: DataFrame) -> DataFrame:
-    return trades.filter("PortfolioName is not null").select(
+def trades_rows(trades: DataFrame, fund: str = "PortfolioName") -> DataFrame:
+    """The same for trades; ``fund`` names the column they are packed by."""
+    return trades.filter(F.col(fund).isNotNull()).select(
         F.lit(fv.TRADES).alias("namespace"),
-        F.col("PortfolioName").alias("fund"),
+        F.col(fund).alias("fund"),
         "row_ord",
         tx.trades_text(trades).alias("text"),
         _optional(trades, "SecurityType", "string").alias("security_type"),

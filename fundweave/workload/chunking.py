@@ -51,7 +51,7 @@ VIEWS["doc_rows_v"] = """
     null::varchar as trade_type, null::boolean as pl_row, null::bigint as row_year from documents"""
 
 
-def _packed_views(name: str, rows: str) -> None:
+def _packed_views(name: str, rows: str, chunks: bool = True) -> None:
     """Greedy packing as a recursion over row numbers, all funds in step."""
     VIEWS[f"{name}_numbered_v"] = f"""
   select *, cast(ceil(length(text) / 4) as bigint) as n_tokens,
@@ -66,6 +66,8 @@ def _packed_views(name: str, rows: str) -> None:
   from {name}_walk_v w join {name}_steps_v s on s.namespace = w.namespace and s.fund = w.fund and s.rn = w.rn + 1"""
     VIEWS[f"{name}_packed_v"] = f"""
   select r.*, w.chunk_no from {name}_numbered_v r join {name}_walk_v w using (namespace, fund, rn)"""
+    if not chunks:
+        return
     VIEWS[f"{name}_chunks_v"] = f"""
   select namespace, fund, chunk_no, namespace || '_' || fund || '_' || chunk_no as chunk_id,
     string_agg(text, chr(10) order by row_ord) as text, cast(sum(n_tokens) as bigint) as n_tokens,
@@ -125,6 +127,18 @@ def packed_documents(spark, sf_dir):
         "fund", "row_ord", "chunk_no", F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
+VIEWS["customer_rows_v"] = f"""
+  select 'trades' as namespace, Name as fund, row_ord, {_sql_row(fv.TRADES_ROW)} as text from trades_v"""
+_packed_views("customer", "customer_rows_v", chunks=False)
+
+
+@query("c3_packed_by_customer", "select fund, row_ord, chunk_no, n_tokens from customer_packed_v")
+def packed_by_customer(spark, sf_dir):
+    """Very many funds whose rows are far apart: every customer is one."""
+    rows = ch.trades_rows(views.trades(spark, sf_dir), fund="Name")
+    return ch.pack_rows(rows).select("fund", "row_ord", "chunk_no", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
 _OVERLAP = 150
 
 

@@ -3,7 +3,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from fundweave.operators import chunks as ch
-from fundweave.operators.packing import _chunk_starts, _summarise, add_overlap, pack, pack_pieces
+from fundweave.operators import packing
+from fundweave.operators.packing import (
+    NOTHING, add_overlap, after, chunk_starts, compose, fresh, pack, pack_pieces, stored_blocks, summarise)
 
 
 def literal(tokens, limit):
@@ -16,24 +18,40 @@ def literal(tokens, limit):
     return numbers
 
 
+tokens_lists = st.lists(st.integers(0, 30), min_size=1, max_size=60)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(1, 40), st.integers(1, 12))
-def test_blocks_compose_to_the_literal_walk(tokens, limit, size):
-    carry, base, numbers = None, 0, []
+@given(tokens_lists, st.integers(1, 40), st.integers(1, 12))
+def test_blocks_follow_the_literal_walk(tokens, limit, size):
+    held, base, numbers = fresh(limit), 0, []
     for start in range(0, len(tokens), size):
         block = np.asarray(tokens[start:start + size])
-        starts = _chunk_starts(block, limit, carry)
-        numbers += [base - 1 + sum(s <= i for s in starts) for i in range(len(block))]
-        reach, carries, opened, total = _summarise(block, limit)
-        at = 0 if carry is None else int(np.searchsorted(reach, limit - carry, side="right"))
-        if at < len(reach):
-            carry, base = carries[at], base + opened[at]
-        else:
-            carry += total
-        assert len(reach) <= limit + 2
+        starts = chunk_starts(block, limit, held)
+        numbers += [base - 1 + int((starts <= i).sum()) for i in range(len(block))]
+        summary = summarise(block, limit)
+        held, opened = (int(x) for x in after(summary, held, limit))
+        base += opened
+        assert len(summary.reach) <= limit + 2
     assert numbers == literal(tokens, limit)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(tokens_lists, min_size=1, max_size=6), st.integers(1, 40), st.randoms())
+def test_summaries_compose_in_any_grouping(runs, limit, draw):
+    parts = [summarise(np.asarray(run), limit) for run in runs]
+    while len(parts) > 1:
+        k = draw.randrange(len(parts) - 1)
+        parts[k:k + 2] = [compose(parts[k], parts[k + 1], limit)]
+    whole = summarise(np.asarray([t for run in runs for t in run]), limit)
+    held = np.arange(limit + 3)
+    for ours, theirs in zip(after(parts[0], held, limit), after(whole, held, limit)):
+        assert ours.tolist() == theirs.tolist()
+    assert len(parts[0].reach) <= limit + 2
+    for ours, theirs in zip(after(compose(NOTHING, whole, limit), held, limit), after(whole, held, limit)):
+        assert ours.tolist() == theirs.tolist()
+
+
 def some_rows(spark, n=4000):
     """One fund holds most rows; texts have very different lengths."""
     return spark.range(n).select(
@@ -86,11 +104,52 @@ def test_overlap_repeats_the_tail(spark):
     assert found == [(0, 0), (0, 1), (1, 1), (1, 2), (1, 3), (2, 3), (2, 4)]
 
 
-def test_one_shuffle_of_the_rows(spark):
-    df = pack_pieces(some_rows(spark).withColumn("n_tokens", F.lit(3)), ["namespace", "fund"])
+def test_the_tree_has_several_levels(spark, monkeypatch):
+    """Groups of two partitions: what enters one comes down five levels, over funds of one and of many partitions."""
+    monkeypatch.setattr(packing, "FAN", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = ch.pack_rows(some_rows(spark, 3000), max_tokens=70, block_rows=29).toPandas().sort_values("row_ord")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert len(packed) == 3000
+    for _, mine in packed.groupby("fund"):
+        assert mine["chunk_no"].tolist() == literal(mine["n_tokens"].tolist(), 70)
+
+
+def test_many_interleaved_funds_share_few_blocks(spark):
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("f"), F.col("id") % 20_000).alias("fund"), F.col("id").alias("row_ord"),
+        (F.pmod(F.xxhash64("id"), F.lit(200)) + 1).cast("int").alias("n_tokens"))
+    blocks = stored_blocks(rows, ["fund"]).filter("rows IS NOT NULL")
+    assert blocks.count() <= 2 * 200_000 / packing.BLOCK_ROWS + 20_000
+    assert blocks.agg(F.sum(F.size("rows"))).first()[0] == 200_000
+    whole = pack_pieces(rows, ["fund"])
+    per_fund = whole.groupBy("fund").agg(F.sum(F.size("piece")).alias("n"), F.max("chunk_no").alias("last"), F.count("*").alias("chunks"))
+    assert per_fund.filter("n <> 10 OR last + 1 <> chunks").count() == 0 and per_fund.count() == 20_000
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = spark.range(300).select(F.lit("f").alias("fund"), F.col("id").alias("row_ord"), F.lit(1).alias("n_tokens"),
+                                   F.repeat(F.lit("x"), 10_000).alias("text"))
+    blocks = stored_blocks(rows, ["fund"], block_bytes=200_000).filter("rows IS NOT NULL")
+    assert blocks.agg(F.max(F.size("rows"))).first()[0] <= 20
+    packed = pack(rows, ["fund"], max_tokens=7, block_bytes=200_000).groupBy("chunk_no").count().collect()
+    assert sorted(r["count"] for r in packed) == [6] + [7] * 42
+
+
+def test_no_rows_give_no_chunks(spark):
+    assert pack_pieces(some_rows(spark).withColumn("n_tokens", F.lit(3)).limit(0), ["namespace", "fund"]).count() == 0
+
+
+def test_rows_are_sorted_once_and_blocks_never_shuffled(spark):
+    df = pack_pieces(some_rows(spark).withColumn("n_tokens", F.lit(3)), ["namespace", "fund"], block_rows=64)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    by_block = [line for line in plan.splitlines() if "Exchange hashpartitioning(_key" in line and "_block" in line]
-    assert len([line for line in by_block if "ReusedExchange" not in line]) == 1
-    assert len([line for line in by_block if "ReusedExchange" in line]) >= 2
+    assert "rangepartitioning" not in plan  # the blocks are read, not made again
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("chunk_no" in line or "group#" in line for line in exchanges), exchanges
     assert "Cartesian" not in plan and "NestedLoop" not in plan
