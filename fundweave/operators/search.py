@@ -1,31 +1,37 @@
 """Cosine top-k of many questions against many stored vectors.
 
-Exact search multiplies batches of stored vectors with a matrix of questions
-inside the scan tasks and keeps only the best few per question, so neither the
-vectors are shuffled nor any list of pairs is written. The question matrix is
-sent to the executors in slices whose size is checked; more questions than a
-few slices hold meet the vectors shard by shard instead.
-
-Approximate search hashes both sides to signature cells and searches only the
-cells a question looks into; a crowded cell is split over several tasks.
+Exact search stores the questions as blocks of files in the shared folder. Every
+scan task gathers its vectors into a bounded matrix, streams the blocks past it
+in one pass and keeps the best few per question; a two-level merge leaves the
+best of all tasks. The vectors are read once and never shuffled, the questions
+never pass through the driver, and there is one plan for any number of either.
+
+What a question demands of a vector (namespace, profit flag, any equality with
+a metadata field) is a bit mask over the distinct demands of its block.
+
+Approximate search stores vectors by signature cell, reads only the cells that
+some question looks into, and divides crowded ones over several tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
+from fundweave.session import scratch_path
 
 SCORE_PLACES = 6
-SLICE_BYTES = 64 * 1024 * 1024
-MOST_SLICES = 16
+#: Questions of a stored block, bytes of the vectors a task holds at once, rows of a shard of a crowded cell.
+BLOCK_QUESTIONS = 2_048
+MATRIX_BYTES = 64 * 1024 * 1024
 SHARD_ROWS = 20_000
 _CELLS_AT_ONCE = 4_000_000
 
@@ -43,33 +49,149 @@ def _ranked(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found[found.groupby("q").cumcount() < k]
 
 
+# --- demands as bit masks -----------------------------------------------------
+
+class _Stored:
+    """Vectors of one task, their metadata as dictionary codes."""
+
+    def __init__(self, table: pa.Table, dim: int, fields: list[str]):
+        self.ids = table["chunk_id"].to_numpy()
+        self.vectors = _matrix(table["embedding"], dim)
+        self.namespace = np.asarray(table["namespace"].to_pylist(), dtype=object)
+        self.codes: dict[str, tuple[dict, np.ndarray]] = {}
+        for name in fields:
+            coded = table[f"_{name}"].combine_chunks().dictionary_encode()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            values = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+            self.codes[name] = values, coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
+
+    def bits(self, demands: list[tuple[str, str]]) -> np.ndarray:
+        """Of each vector, a bit for each demand it meets. An absent value meets none."""
+        out = np.zeros((len(self.ids), -(-len(demands) // 64)), np.uint64)
+        for name, (values, codes) in self.codes.items():
+            met = np.zeros((len(values) + 1, out.shape[1]), np.uint64)
+            for k, (field, value) in enumerate(demands):
+                if field == name and value in values:
+                    met[values[value], k // 64] |= np.uint64(1 << k % 64)
+            out |= met[codes]
+        return out
+
+
+class _Asked:
+    """A block of questions: vectors, and for each the demands it makes as a mask."""
+
+    def __init__(self, ids, matrix: np.ndarray, demands: list[tuple[str, str]], mask: np.ndarray):
+        self.ids, self.matrix, self.demands, self.mask = ids, matrix, demands, mask
+        self.norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+
+    @classmethod
+    def of(cls, table: pa.Table, dim: int) -> _Asked:
+        """Vectors of another length are no questions. Checked here and not by a filter, which would move below a
+        deduplication and embed every repeated question."""
+        table = table.filter(pc.equal(pc.list_value_length(table["embedding"]), dim))
+        wanted = [[(e["key"], e["value"]) for e in entries] for entries in table["demands"].to_pylist()]
+        demands = sorted({pair for pairs in wanted for pair in pairs})
+        place = {pair: k for k, pair in enumerate(demands)}
+        mask = np.zeros((len(wanted), -(-len(demands) // 64)), np.uint64)
+        for row, pairs in enumerate(wanted):
+            for pair in pairs:
+                mask[row, place[pair] // 64] |= np.uint64(1 << place[pair] % 64)
+        return cls(table["question_id"], _matrix(table["embedding"], dim), demands, mask)
+
+
+def _demands(questions: DataFrame, fields: list[str]) -> Column:
+    """Field and value of each demand as a sorted map: namespace, profit flag, and the ``filters`` of the question."""
+    own = F.create_map(F.lit("namespace"), F.col("namespace"), F.lit("has_pl"), F.when(F.col("need_pl"), F.lit("true")))
+    if "filters" in questions.columns:
+        known = F.array(*map(F.lit, fields))
+        foreign = F.filter(F.map_keys("filters"), lambda name: ~F.array_contains(known, name))
+        checked = F.when(F.size(foreign) > 0, F.raise_error(F.concat(F.lit("no such field to filter by: "), F.get(foreign, F.lit(0)))).cast("map<string,string>"))
+        # A question may also filter by namespace or flag; where it says so twice, both count.
+        entries = F.concat(F.map_entries(own), F.coalesce(F.map_entries(F.coalesce(checked, F.col("filters"))), F.array()))
+    else:
+        entries = F.map_entries(own)
+    return F.array_sort(F.array_distinct(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def _pack(dim: int, size: int, schema: pa.Schema):
+    """Questions as rows of a block each: ids, matrix, demands, masks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                asked = _Asked.of(pa.Table.from_batches([batch.slice(start, size)]), dim)
+                if len(asked.matrix):
+                    yield pa.RecordBatch.from_pylist([{
+                        "ids": asked.ids.to_pylist(), "matrix": asked.matrix.tobytes(), "fields": [f for f, _ in asked.demands],
+                        "values": [v for _, v in asked.demands], "mask": asked.mask.tobytes()}], schema)
+
+    return pack
+
+
+def _store_questions(questions: DataFrame, dim: int, fields: list[str]) -> list[str]:
+    """Writes the questions as blocks below the shared folder; the files' names. Questions that demand the same come
+    together, so a block has few distinct demands."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = questions.sparkSession
+    asked = questions.select("question_id", F.col("embedding").cast("array<double>").alias("embedding"), _demands(questions, fields).alias("demands"))
+    kind = questions.schema["question_id"].dataType
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("matrix", T.BinaryType()), T.StructField("fields", T.ArrayType(T.StringType())),
+                           T.StructField("values", T.ArrayType(T.StringType())), T.StructField("mask", T.BinaryType())])
+    path = scratch_path(spark, "questions")
+    packed = asked.sortWithinPartitions("demands").mapInArrow(_pack(dim, BLOCK_QUESTIONS, to_arrow_schema(schema)), schema)
+    packed.write.option("parquet.block.size", 8 * 1024 * 1024).parquet(path)
+    return spark.read.schema(schema).parquet(path).inputFiles()
+
+
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def _stored_questions(files: list[str], dim: int) -> Iterator[_Asked]:
+    """The blocks, one at a time, from any file system that Arrow reads."""
+    for name in files:
+        scheme, _, rest = name.partition(":")
+        if scheme == "file":
+            system, path = fs.LocalFileSystem(), "/" + rest.lstrip("/").replace("%20", " ")
+        else:
+            system, path = fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+        with system.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(batch_size=1):
+                for row in batch.to_pylist():
+                    n = len(row["ids"])
+                    yield _Asked(pa.chunked_array([batch.column("ids").flatten()]), np.frombuffer(row["matrix"]).reshape(n, dim),
+                                 list(zip(row["fields"], row["values"])), np.frombuffer(row["mask"], np.uint64).reshape(n, -1))
+
+
+# --- scores -------------------------------------------------------------------
+
 class _Best:
-    """The best few stored vectors of each question seen so far in one task."""
+    """The best few stored vectors of each question of a block."""
 
-    def __init__(self, asked: dict, k: int, positive_only: bool):
-        self.matrix, self.norm = asked["matrix"], asked["norm"]
-        self.namespace, self.need_pl = asked["namespace"], asked["need_pl"]
-        self.k, self.positive_only = k, positive_only
-        self.floor = np.full(len(self.norm), -np.inf)
+    def __init__(self, asked: _Asked, k: int, positive_only: bool):
+        self.asked, self.k, self.positive_only = asked, k, positive_only
+        self.floor = np.full(len(asked.norm), -np.inf)
         self.found: list[pd.DataFrame] = []
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray, namespace: np.ndarray, has_pl: np.ndarray) -> None:
-        rows = max(1, _CELLS_AT_ONCE // max(1, len(self.norm)))
-        for start in range(0, len(ids), rows):
+    def offer(self, stored: _Stored) -> None:
+        bits = stored.bits(self.asked.demands)
+        rows = max(1, _CELLS_AT_ONCE // max(1, len(self.asked.norm)))
+        for start in range(0, len(stored.ids), rows):
             part = slice(start, start + rows)
-            self._offer(ids[part], vectors[part], namespace[part], has_pl[part])
+            self._offer(stored.ids[part], stored.vectors[part], stored.namespace[part], bits[part])
 
-    def _offer(self, ids, vectors, namespace, has_pl) -> None:
+    def _offer(self, ids, vectors, namespace, bits) -> None:
+        asked = self.asked
         norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (self.matrix @ vectors.T) / (self.norm[:, None] * norm[None, :])
+            scores = (asked.matrix @ vectors.T) / (asked.norm[:, None] * norm[None, :])
         scores = np.round(scores, SCORE_PLACES)
         allowed = np.isfinite(scores)
-        open_ns = self.namespace == ""
-        if not open_ns.all():
-            allowed &= open_ns[:, None] | (self.namespace[:, None] == namespace[None, :])
-        if self.need_pl.any():
-            allowed &= ~self.need_pl[:, None] | has_pl[None, :]
+        for word in range(asked.mask.shape[1]):
+            mask = asked.mask[:, word, None]
+            if mask.any():
+                allowed &= (bits[None, :, word] & mask) == mask
         if self.positive_only:
             allowed &= scores > 0
         scores[~allowed] = -np.inf
@@ -89,30 +211,16 @@ class _Best:
         full = full[full["size"] >= self.k]
         self.floor[full.index] = full["min"]
 
-    def columns(self, ids: np.ndarray, schema: pa.Schema) -> list[pa.Array]:
-        """The matches found, as columns of ``schema``."""
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        """The matches found."""
         if not self.found:
-            return [pa.array([], field.type) for field in schema]
+            return pa.RecordBatch.from_pylist([], schema)
         kept = self.found[0]
-        values = [ids[kept["q"].to_numpy()], kept["namespace"], kept["chunk_id"], kept["score"]]
-        return [pa.array(np.asarray(v), field.type) for v, field in zip(values, schema)]
-
-
-def _asked(table: pa.Table, dim: int) -> dict:
-    """Question columns as arrays; a vector of another length is no question.
-
-    Checked here and not by a filter, which would move below a deduplication and
-    embed every repeated question.
-    """
-    table = table.filter(pc.equal(pc.list_value_length(table["embedding"]), dim))
-    matrix = _matrix(table["embedding"], dim)
-    return {
-        "id": table["question_id"].to_numpy(),
-        "matrix": matrix,
-        "norm": np.sqrt(np.einsum("ij,ij->i", matrix, matrix)),
-        "namespace": np.asarray(table["namespace"].fill_null("").to_pylist(), dtype=object),
-        "need_pl": table["need_pl"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool),
-    }
+        ids = self.asked.ids.combine_chunks().take(pa.array(kept["q"].to_numpy()))
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        values = [ids, *(pa.array(np.asarray(kept[name]), schema.field(name).type) for name in ("namespace", "chunk_id", "score"))]
+        return pa.RecordBatch.from_arrays(values, schema=schema)
 
 
 def having(vectors: DataFrame, **fields) -> DataFrame:
@@ -122,32 +230,31 @@ def having(vectors: DataFrame, **fields) -> DataFrame:
     return vectors
 
 
-def _usable(df: DataFrame, dim: int) -> DataFrame:
-    """Vectors of the right length; others can match nothing."""
-    return df.filter(F.size("embedding") == dim)
-
+def _stored_columns(vectors: DataFrame, dim: int, fields: list[str], *more: str) -> DataFrame:
+    """What a search reads of stored vectors of the right length; others can match nothing."""
+    return vectors.filter(F.size("embedding") == dim).select(
+        "namespace", "chunk_id", "embedding", *(F.col(f).cast("string").alias(f"_{f}") for f in fields), *more)
 
-def _question_columns(questions: DataFrame) -> DataFrame:
-    return questions.select(
-        "question_id", F.col("embedding").cast("array<double>").alias("embedding"), "namespace", "need_pl")
 
+def _scan(files: list[str], k: int, dim: int, fields: list[str], positive_only: bool, schema: pa.Schema) -> Callable:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], max(1, MATRIX_BYTES // (8 * dim))
 
-def _vector_columns(vectors: DataFrame) -> DataFrame:
-    return vectors.select("namespace", "chunk_id", "embedding", "has_pl")
-
+        def matched() -> Iterator[pa.RecordBatch]:
+            stored = _Stored(pa.Table.from_batches(held), dim, fields)
+            held.clear()
+            for asked in _stored_questions(files, dim):
+                best = _Best(asked, k, positive_only)
+                best.offer(stored)
+                yield best.batch(schema)
 
-def _scan(shared, k: int, dim: int, positive_only: bool, schema: pa.Schema) -> Callable:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        best = _Best(asked, k, positive_only)
         for batch in batches:
-            best.offer(
-                batch.column("chunk_id").to_numpy(zero_copy_only=False),
-                _matrix(batch.column("embedding"), dim),
-                np.asarray(batch.column("namespace").to_pylist(), dtype=object),
-                batch.column("has_pl").fill_null(False).to_numpy(zero_copy_only=False).astype(bool),
-            )
-        yield pa.RecordBatch.from_arrays(best.columns(asked["id"], schema), schema=schema)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield from matched()
+        if held:
+            yield from matched()
 
     return search
 
@@ -162,52 +269,40 @@ def _match_schema(vectors: DataFrame, questions: DataFrame) -> T.StructType:
 
 
 def best_per_question(matches: DataFrame, k: int) -> DataFrame:
+    """The k best; each task drops what is not among its own k best before the shuffle."""
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "namespace", "chunk_id")
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _fields(vectors: DataFrame, filter_fields: tuple[str, ...]) -> list[str]:
+    return list(dict.fromkeys(["namespace", "has_pl", *filter_fields]))
+
+
 def top_k(
     vectors: DataFrame,
     questions: DataFrame,
     k: int | None = None,
     dim: int = fv.VECTOR_DIM,
     positive_only: bool = False,
-    slice_bytes: int = SLICE_BYTES,
+    filter_fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """``question_id, namespace, chunk_id, score, rank`` of the ``k`` best matches, exactly.
 
-    ``questions``: question_id, embedding, namespace (null: both), need_pl.
-    ``vectors``: namespace, chunk_id, embedding, has_pl; a row without the flag
-    never answers a question that needs it. Scores are compared at six places,
-    so equal vectors tie on every engine and the id decides.
+    ``questions``: question_id, embedding, namespace (null: both), need_pl, and maybe ``filters``, a map of metadata
+    fields among ``filter_fields`` to the text of the value that a vector must have. ``vectors``: namespace, chunk_id,
+    embedding, has_pl and those fields; a row without a value never answers a question that needs one. Scores are
+    compared at six places, so equal vectors tie on every engine and the id decides.
+
+    The questions are stored when this is called, in the folder of ``spark.checkpoint.dir``; the tasks read them there
+    (local or mounted folders, hdfs, s3, gs, abfs). The search itself is left to the caller's job.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     k = k or fv.TOP_K
-    spark = vectors.sparkSession
-    asked = _question_columns(questions)
+    fields = _fields(vectors, filter_fields)
+    files = _store_questions(questions, dim, fields)
     schema = _match_schema(vectors, questions)
-    arrow_schema = to_arrow_schema(schema)
-    n_asked = questions.count()
-    slices = max(1, math.ceil(n_asked * dim * 8 / slice_bytes))
-    if slices > MOST_SLICES:
-        stored = _vector_columns(_usable(vectors, dim))
-        shards = {
-            "cell": F.lit(0),
-            "v_shards": F.lit(max(1, math.ceil(stored.count() / SHARD_ROWS))),
-            "q_shards": F.lit(math.ceil(n_asked / SHARD_ROWS)),
-        }
-        found = _by_shards(stored.withColumns(shards), asked.withColumns(shards), k, dim, schema, positive_only)
-        return best_per_question(found, k)
-    found = None
-    for number in range(slices):
-        part = asked
-        if slices > 1:
-            part = asked.filter(F.expr(f"pmod(xxhash64(question_id), {slices}) = {number}"))
-        shared = spark.sparkContext.broadcast(_asked(part.toArrow(), dim))
-        stored = _vector_columns(_usable(vectors, dim))
-        rows = stored.mapInArrow(_scan(shared, k, dim, positive_only, arrow_schema), schema)
-        found = rows if found is None else found.unionByName(rows)
+    found = _stored_columns(vectors, dim, fields).mapInArrow(_scan(files, k, dim, fields, positive_only, to_arrow_schema(schema)), schema)
     return best_per_question(found, k)
 
 
@@ -219,53 +314,69 @@ def with_metadata(matches: DataFrame, vectors: DataFrame) -> DataFrame:
 
 # --- approximate ------------------------------------------------------------
 
-def _planes(dim: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(dim * 1000 + bits).standard_normal((dim, bits))
+def planes(dim: int, bits: int) -> np.ndarray:
+    """Normal vectors of the planes that divide the cells. A component is a sum of four whole numbers, each four hex
+    digits of the md5 of ``dimension:plane``, less their mean: nearly normal, and the same in every engine."""
+    import hashlib
+
+    def component(d: int, b: int) -> int:
+        digest = hashlib.md5(f"{d}:{b}".encode()).hexdigest()
+        return sum(int(digest[i:i + 4], 16) for i in range(0, 16, 4)) - 131_070
+
+    return np.array([[component(d, b) for b in range(bits)] for d in range(dim)], np.float64)
 
 
-def _cells_udf(dim: int, bits: int, probes: int):
-    """The cell of a vector, followed by the ``probes - 1`` cells next nearest to it, by the sum of the planes' distances."""
+def cells(embedding: Column, dim: int, bits: int, probes: int = 1) -> Column:
+    """The cell of a vector, followed by the ``probes - 1`` cells next nearest to it, by the sum of the planes' distances;
+    null for a vector of another length."""
 
     @F.pandas_udf("array<int>")
-    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes, weights = _planes(dim, bits), 1 << np.arange(bits)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        normal, weights = planes(dim, bits), 1 << np.arange(bits)
         flips = (np.arange(1 << bits) >> np.arange(bits)[:, None] & 1).astype(float)  # planes x changes of sides
         for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            sides = np.stack([np.asarray(v, np.float64) for v in batch]) @ planes
-            home = (sides > 0) @ weights
-            found = np.empty((len(home), probes), np.int32)
-            for i in range(0, len(home), 64):  # all cells of a few vectors at once
-                far = np.abs(sides[i:i + 64]) @ flips
-                nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                found[i:i + 64] = home[i:i + 64, None] ^ nearest
-            yield pd.Series(list(found))
-
-    return cells
-
-
-def _cell_search(k: int, dim: int, positive_only: bool, schema: pa.Schema):
+            fits = np.array([v is not None and len(v) == dim for v in batch], bool)
+            out = [None] * len(batch)
+            if fits.any():
+                sides = np.stack([np.asarray(v, np.float64) for v in batch[fits]]) @ normal
+                home = (sides > 0) @ weights
+                found = np.empty((len(home), probes), np.int32)
+                for i in range(0, len(home), 64):  # all cells of a few vectors at once
+                    far = np.abs(sides[i:i + 64]) @ flips
+                    nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                    found[i:i + 64] = home[i:i + 64, None] ^ nearest
+                for place, row in zip(np.flatnonzero(fits), found):
+                    out[place] = row
+            yield pd.Series(out, dtype=object)
+
+    return find(embedding)
+
+
+def _checked(bits: int, probes: int = 1) -> None:
+    if not 1 <= bits <= 16:
+        raise ValueError("bits must lie between 1 and 16: a row per cell is broadcast")
+    if not 1 <= probes <= 1 << bits:
+        raise ValueError("probes must lie between 1 and the number of cells")
+
+
+def with_cells(vectors: DataFrame, dim: int = fv.VECTOR_DIM, bits: int = 8) -> DataFrame:
+    """Stored vectors with their ``cell``, to be written partitioned by namespace and cell."""
+    _checked(bits)
+    return vectors.filter(F.size("embedding") == dim).withColumn("cell", F.get(cells(F.col("embedding"), dim, bits), F.lit(0)))
+
+
+def _cell_search(k: int, dim: int, fields: list[str], schema: pa.Schema):
     def search(stored: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(stored) or not len(asked):
             return schema.empty_table()
-        questions = _asked(asked, dim)
-        best = _Best(questions, k, positive_only)
-        best.offer(
-            stored["chunk_id"].to_numpy(),
-            _matrix(stored["embedding"], dim),
-            np.asarray(stored["namespace"].to_pylist(), dtype=object),
-            stored["has_pl"].fill_null(False).to_numpy().astype(bool),
-        )
-        return pa.table(best.columns(questions["id"], schema), schema=schema)
+        best = _Best(_Asked.of(asked, dim), k, False)
+        best.offer(_Stored(stored, dim, fields))
+        return pa.Table.from_batches([best.batch(schema)])
 
     return search
 
 
-def _by_shards(
-    stored: DataFrame, asked: DataFrame, k: int, dim: int, schema: T.StructType, positive_only: bool = False,
-) -> DataFrame:
+def _by_shards(stored: DataFrame, asked: DataFrame, k: int, dim: int, fields: list[str], schema: T.StructType) -> DataFrame:
     """Candidates from vectors and questions of the same ``cell``.
 
     Both sides say into how many shards their cell is divided (``v_shards`` of
@@ -284,7 +395,7 @@ def _by_shards(
         "v": F.explode(F.sequence(F.lit(0), v_shards - 1)),
     }).drop("v_shards", "q_shards")
     return stored.groupBy("cell", "v", "q").cogroup(asked.groupBy("cell", "v", "q")).applyInArrow(
-        _cell_search(k, dim, positive_only, to_arrow_schema(schema)), schema)
+        _cell_search(k, dim, fields, to_arrow_schema(schema)), schema)
 
 
 def _cell_shards(df: DataFrame, name: str, rows: int) -> DataFrame:
@@ -292,30 +403,40 @@ def _cell_shards(df: DataFrame, name: str, rows: int) -> DataFrame:
 
 
 def approximate_top_k(
-    vectors: DataFrame,
+    stored: DataFrame,
     questions: DataFrame,
     k: int | None = None,
     dim: int = fv.VECTOR_DIM,
     bits: int = 8,
     probes: int = 12,
     cell_rows: int = SHARD_ROWS,
+    filter_fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """Like :func:`top_k`, but a question only sees the vectors of the ``probes`` cells it looks into.
 
-    There are ``2 ** bits`` cells; more bits make them smaller, more probes the result closer to exact, and as many
-    probes as cells exact.
+    ``stored`` has the ``cell`` of each vector (:func:`with_cells` with the same ``bits``); where it is a table
+    partitioned by namespace and cell, only partitions that some question looks into are read. There are ``2 ** bits``
+    cells; more bits make them smaller, more probes the result closer to exact, and as many probes as cells exact.
     """
-    if not 1 <= probes <= 1 << bits:
-        raise ValueError("probes must lie between 1 and the number of cells")
-    if not 1 <= bits <= 16:
-        raise ValueError("bits must lie between 1 and 16: a row per cell is broadcast")
+    _checked(bits, probes)
+    spark = stored.sparkSession
     k = k or fv.TOP_K
-    schema = _match_schema(vectors, questions)
-    stored = _vector_columns(_usable(vectors, dim)).withColumn(
-        "cell", F.get(_cells_udf(dim, bits, 1)("embedding"), F.lit(0)))
-    asked = _question_columns(_usable(questions, dim)).withColumn(
-        "cell", F.explode(_cells_udf(dim, bits, probes)("embedding")))
+    fields = _fields(stored, filter_fields)
+    schema = _match_schema(stored, questions)
+    asked = questions.filter(F.size("embedding") == dim).select(
+        "question_id", F.col("embedding").cast("array<double>").alias("embedding"), _demands(questions, fields).alias("demands"),
+        "namespace", F.explode(cells(F.col("embedding"), dim, bits, probes)).alias("cell"))
+    path = scratch_path(spark, "probes")
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    wanted = asked.agg(F.collect_set("cell").alias("cells"), F.collect_set("namespace").alias("names"),
+                       F.count_if(F.col("namespace").isNull()).alias("open")).first()  # at most 2 ** bits cells
+    stored = stored.filter(F.col("cell").isin(wanted["cells"]))
+    if not wanted["open"]:
+        stored = stored.filter(F.col("namespace").isin(wanted["names"]))
+    stored = _stored_columns(stored, dim, fields, "cell")
+    asked = asked.drop("namespace")
     sizes = F.broadcast(  # at most 2 ** bits rows
         _cell_shards(stored, "v_shards", cell_rows).join(_cell_shards(asked, "q_shards", cell_rows), "cell"))
-    found = _by_shards(stored.join(sizes, "cell"), asked.join(sizes, "cell"), k, dim, schema)
+    found = _by_shards(stored.join(sizes, "cell"), asked.join(sizes, "cell"), k, dim, fields, schema)
     return best_per_question(found, k)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
 from fundweave.functions.vectors import Embedder, hashed_counts, wrong_length
+from fundweave.operators import search
 
 KEYS = ["namespace", "chunk_id"]
 
@@ -94,6 +95,20 @@ def write_snapshot(vectors: DataFrame, path: str, namespaces: list[str] | None =
     )
 
 
+def write_cells(vectors: DataFrame, path: str, dim: int = fv.VECTOR_DIM, bits: int = 8) -> None:
+    """Stores vectors by namespace and signature cell, for approximate search; replaces what is there. Cells are brought
+    together for few files; adaptive execution splits crowded ones."""
+    placed = search.with_cells(vectors, dim, bits).hint("rebalance", "namespace", "cell")  # few files, crowded cells split
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "namespace", "cell").parquet(path)
+
+
+def open_cells(spark: SparkSession, path: str, schema: T.StructType = SCHEMA) -> DataFrame:
+    """The stored vectors with their cell. Vectors of a wrong length are not in it."""
+    fields = [f for f in schema.fields if f.name != "namespace"]
+    return spark.read.schema(T.StructType([*fields, schema["namespace"], T.StructField("cell", T.IntegerType())])).parquet(path)
+
+
 # --- changed sources ---------------------------------------------------------
 
 def fingerprints(rows: DataFrame) -> DataFrame:

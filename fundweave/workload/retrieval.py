@@ -14,7 +14,7 @@ from fundweave.workload.catalog import VIEWS, query
 _DIM = 64
 
 VIEWS["scored_v"] = """
-  select q.question_id, v.namespace, v.chunk_id, v.fund, v.file,
+  select q.question_id, v.namespace, v.chunk_id, v.fund, v.file, v.has_pl,
     round(list_dot_product(q.embedding, v.embedding)
           / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(v.embedding, v.embedding))), 6) as score
   from vector_questions_v q join vectors_v v
@@ -99,6 +99,22 @@ def metadata_filter(spark, sf_dir):
     return search.having(views.vectors(spark, sf_dir), has_pl=True, fund="3").select("chunk_id", "fund", "has_pl")
 
 
+@query("p10_filters_per_question", """
+select question_id, cast(rank as integer) as rank, namespace, chunk_id, score from (
+  select s.*, row_number() over (partition by question_id order by score desc, namespace, chunk_id) as rank from scored_v s
+  where (question_id % 4 <> 1 or fund = cast(question_id % 10 as varchar)) and (question_id % 4 <> 2 or file = 'trades')
+    and (question_id % 4 <> 3 or (fund = cast(question_id % 7 as varchar) and has_pl))) where rank <= 10""")
+def filters_per_question(spark, sf_dir):
+    """Every question has equality filters of its own."""
+    def fund(n):
+        return F.create_map(F.lit("fund"), (F.col("question_id") % n).cast("string"))
+    kind = F.col("question_id") % 4
+    filters = F.when(kind == 1, fund(10)).when(kind == 2, F.create_map(F.lit("file"), F.lit("trades"))).when(
+        kind == 3, F.map_concat(fund(7), F.create_map(F.lit("has_pl"), F.lit("true"))))
+    asked = views.vector_questions(spark, sf_dir).withColumn("filters", filters)
+    return search.top_k(views.vectors(spark, sf_dir), asked, dim=_DIM, filter_fields=("fund", "file")).select(*_MATCH_COLUMNS)
+
+
 @query("p11_namespace_filter", "select chunk_id, file from vectors_v where namespace = 'trades'")
 def namespace_filter(spark, sf_dir):
     """Reads one partition folder of a stored table."""
@@ -169,11 +185,54 @@ def chunk_contexts(spark, sf_dir):
     return cx.chunk_contexts(found.withColumn("text", F.concat(F.lit("vector "), F.col("chunk_id").cast("string"))))
 
 
-# No SQL: which cells a vector falls into is defined by the random planes.
-@query("r13_approximate_top_k")
-def approximate_top_k(spark, sf_dir):
+# --- approximate: the cells are sums over digits, so SQL finds the same ones ---
+
+_BITS, _PROBES = 6, 12
+
+VIEWS["planes_v"] = f"""
+  select d, b, sum(cast('0x' || substr(md5(d || ':' || b), g * 4 + 1, 4) as bigint)) - 131070 as normal
+  from range({_DIM}) r(d), range({_BITS}) s(b), range(4) t(g) group by d, b"""
+VIEWS["sides_v"] = """
+  select vec_id, b, sum(x * normal) as side
+  from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as d from embeddings)
+    join planes_v using (d) group by vec_id, b"""
+VIEWS["cells_v"] = "select vec_id, cast(sum(case when side > 0 then 1 << b else 0 end) as bigint) as cell from sides_v group by vec_id"
+VIEWS["probes_v"] = f"""
+  select vec_id, xor(cell, flip) as cell from (
+    select vec_id, flip, row_number() over (partition by vec_id order by far, flip) as place from (
+      select vec_id, flip, sum(case when flip & (1 << b) > 0 then abs(side) else 0 end) as far
+      from sides_v, range({1 << _BITS}) f(flip) group by vec_id, flip)) join cells_v using (vec_id)
+  where place <= {_PROBES}"""
+VIEWS["near_matches_v"] = """
+  select * from (select s.*, row_number() over (partition by question_id order by score desc, namespace, chunk_id) as rank
+    from scored_v s join probes_v p on p.vec_id = question_id join cells_v c on c.vec_id = chunk_id and c.cell = p.cell)
+  where rank <= 10"""
+
+
+def near_matches(spark, sf_dir):
+    """Top-k out of a table stored by namespace and cell."""
+    path = scratch_path(spark, "cells")
+    vectors = views.vectors(spark, sf_dir)
+    vt.write_cells(vectors, path, _DIM, _BITS)
     return search.approximate_top_k(
-        views.vectors(spark, sf_dir), views.vector_questions(spark, sf_dir), dim=_DIM)
+        vt.open_cells(spark, path, vectors.schema), views.vector_questions(spark, sf_dir), dim=_DIM, bits=_BITS, probes=_PROBES)
+
+
+@query("r13_approximate_top_k", f"{_MATCHES} near_matches_v")
+def approximate_top_k(spark, sf_dir):
+    return near_matches(spark, sf_dir).select(*_MATCH_COLUMNS)
+
+
+@query("r13_recall", """
+select count(*) as matches, count(n.chunk_id) as found, round(count(n.chunk_id) / count(*)::double, 9) as recall
+from matches_v m left join near_matches_v n using (question_id, chunk_id)""")
+def recall(spark, sf_dir):
+    """How many of the exact matches the approximate search finds."""
+    exact = search.top_k(views.vectors(spark, sf_dir), views.vector_questions(spark, sf_dir), dim=_DIM)
+    near = near_matches(spark, sf_dir).select("question_id", "chunk_id", F.lit(True).alias("_found"))
+    both = exact.join(near, ["question_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("matches"), F.count("_found").alias("found")).withColumn(
+        "recall", F.round(F.col("found") / F.col("matches"), 9))
 
 
 # --- hashed text vectors: benchmark passages asked of whole documents ---

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fundweave.functions.vectors import cosine, hashed_counts
 from fundweave.operators import relevance as rv, search
+from fundweave.sources import vector_table as vt
 
 DIM = 16
 
@@ -52,23 +53,48 @@ def as_lists(df):
     return found
 
 
-@pytest.mark.parametrize("slice_bytes", [search.SLICE_BYTES, 10 * DIM * 8])
-def test_top_k_is_exact(data, slice_bytes, monkeypatch):
+@pytest.mark.parametrize(("block", "matrix"), [(2048, 1 << 26), (7, 8 * DIM * 50)])
+def test_top_k_is_exact(data, block, matrix, monkeypatch):
     rows, questions, vectors, asked = data
     monkeypatch.setattr(search, "_CELLS_AT_ONCE", 900)
-    found = as_lists(search.top_k(vectors, asked, 7, DIM, slice_bytes=slice_bytes))
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", block)
+    monkeypatch.setattr(search, "MATRIX_BYTES", matrix)
+    found = as_lists(search.top_k(vectors, asked, 7, DIM))
     expected = {q: m for q, m in brute(rows, questions, 7).items() if m}
     assert found == expected
 
 
-def test_many_questions_meet_vectors_by_shards(data, monkeypatch):
+def test_vectors_are_read_once_for_any_number_of_blocks(data, spark, monkeypatch, tmp_path):
+    _, _, vectors, asked = data
+    vectors.write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", 1)
+    files = search._store_questions(asked, DIM, ["namespace", "has_pl"])
+    assert sum(1 for _ in search._stored_questions(files, DIM)) == 40
+    df = search.top_k(stored, asked, 5, DIM)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1
+    assert "Broadcast" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_each_question_has_its_own_filters(data, spark):
+    """More distinct demands than a word has bits, absent fields and empty maps."""
     rows, questions, vectors, asked = data
-    monkeypatch.setattr(search, "MOST_SLICES", 1)
-    monkeypatch.setattr(search, "SHARD_ROWS", 90)
-    df = search.top_k(vectors, asked, 7, DIM, slice_bytes=10 * DIM * 8)
-    assert as_lists(df) == {q: m for q, m in brute(rows, questions, 7).items() if m}
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    tagged = vectors.withColumn("tag", F.expr("concat('t', int(split(chunk_id, '_')[1]) % 90)")).withColumn("year", F.when(F.col("fund") != "f4", F.lit(2021)))
+    filters = F.when(F.col("question_id") % 4 == 1, F.create_map(F.lit("fund"), F.concat(F.lit("f"), F.col("question_id") % 5))).when(
+        F.col("question_id") % 4 == 2, F.create_map(F.lit("tag"), F.concat(F.lit("t"), F.col("question_id") * 2), F.lit("year"), F.lit("2021"))).when(
+        F.col("question_id") % 4 == 3, F.expr("map('fund', 'nowhere')"))
+    many = asked.unionAll(asked.withColumn("question_id", F.col("question_id") + 40)).withColumn("filters", filters)
+    found = as_lists(search.top_k(tagged, many, 6, DIM, filter_fields=("fund", "tag", "year")))
+    for q in range(80):
+        kept = [r for r in rows if {
+            0: lambda r: True, 1: lambda r, q=q: r[4] == f"f{q % 5}", 3: lambda r: False,
+            2: lambda r, q=q: int(r[1].split("_")[1]) % 90 == q * 2 and r[4] != "f4"}[q % 4](r)]
+        own = [(q, *questions[q % 40][1:])]
+        assert found.get(q, []) == brute(kept, own, 6)[q]
+    with pytest.raises(Exception, match="no such field"):
+        search.top_k(tagged, many, 6, DIM, filter_fields=("fund",)).collect()
 
 
 def test_zero_k_means_default(data):
@@ -92,7 +118,7 @@ def test_approximate_finds_most(data):
     rows, questions, vectors, asked = data
     exact = brute(rows, questions, 5)
     for cell_rows in (20_000, 30):  # the second setting splits every crowded cell
-        found = as_lists(search.approximate_top_k(vectors, asked, 5, DIM, bits=4, probes=6, cell_rows=cell_rows))
+        found = as_lists(search.approximate_top_k(search.with_cells(vectors, DIM, 4), asked, 5, DIM, bits=4, probes=6, cell_rows=cell_rows))
         hits = sum(len({c for c, _ in exact[q]} & {c for c, _ in found.get(q, [])}) for q in exact)
         assert hits / sum(map(len, exact.values())) > 0.8
         assert all(len({c for c, _ in m}) == len(m) for m in found.values())
@@ -100,10 +126,24 @@ def test_approximate_finds_most(data):
 
 def test_approximate_with_all_cells_is_exact(data):
     rows, questions, vectors, asked = data
-    found = as_lists(search.approximate_top_k(vectors, asked, 5, DIM, bits=2, probes=4, cell_rows=50))
+    found = as_lists(search.approximate_top_k(search.with_cells(vectors, DIM, 2), asked, 5, DIM, bits=2, probes=4, cell_rows=50))
     assert found == {q: m for q, m in brute(rows, questions, 5).items() if m}
 
 
+def test_only_probed_cells_and_asked_namespaces_are_read(data, spark, tmp_path):
+    _, _, vectors, asked = data
+    path = str(tmp_path / "cells")
+    vt.write_cells(vectors, path, DIM, 4)
+    stored = vt.open_cells(spark, path, vectors.schema)
+    only = asked.filter("question_id < 3").withColumns({"namespace": F.lit("trades"), "need_pl": F.lit(False)})
+    df = search.approximate_top_k(stored, only, 5, DIM, bits=4, probes=2)
+    assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pruned = [line for line in plan.splitlines() if "PartitionFilters" in line and "ReadSchema" in line and "namespace" in line]
+    assert pruned and all("cell#" in line and "trades" in line for line in pruned)
+    assert df.filter("namespace <> 'trades'").count() == 0
+
+
 def test_hashed_counts_and_cosine(spark):
     df = spark.createDataFrame([("The fund, the FUND!",), ("",), (None,)], "t string").select(hashed_counts(8)("t").alias("v"))
     vectors = [r["v"] for r in df.collect()]
