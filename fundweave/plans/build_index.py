@@ -17,13 +17,12 @@ def build(
     embed: Embedder | None = None,
     **packing,
 ) -> DataFrame:
-    """Write the vectors of both tables below ``path`` and return their statistics. A table without rows empties its
-    namespace."""
+    """Publish the vectors of both tables below ``path`` and return their statistics. A table without rows empties its
+    namespace, one that isn't given keeps its vectors. Until all rows are written, readers see the index as it was."""
     made = ch.build_chunks(holdings, trades, **packing)
     named = [name for name, df in ((fv.HOLDINGS, holdings), (fv.TRADES, trades)) if df is not None]
-    vt.write_snapshot(vt.to_vectors(made, embed), path, named)
-    spark = made.sparkSession
-    return vt.table_stats(spark.read.schema(vt.SCHEMA).parquet(path))
+    vt.publish(vt.to_vectors(made, embed), path, named)
+    return vt.table_stats(vt.published(made.sparkSession, path))
 
 
 def renew(
@@ -44,4 +43,4 @@ def renew(
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(vt.SCHEMA).parquet(path).filter(F.col("embedding").isNotNull())
+    return vt.published(spark, path).filter(F.col("embedding").isNotNull())

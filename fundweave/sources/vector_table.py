@@ -1,12 +1,16 @@
 """The stored vector table: create, replace, delete, count.
 
-Snapshots are plain DataFrames. A changed table is written to a new folder or
-replaces whole namespaces; a folder that is being read is never written over.
+Snapshots are plain DataFrames. A published table is a new folder for each build
+and a row of pointers for each namespace; a folder that is being read is never
+written over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
@@ -83,16 +87,80 @@ def table_stats(stored: DataFrame) -> DataFrame:
 
 
 def write_snapshot(vectors: DataFrame, path: str, namespaces: list[str] | None = None) -> None:
-    """Replaces the namespaces that occur in ``vectors``, and those named, which are empty afterwards if they don't occur;
-    leaves others as they are."""
+    """Replaces the namespaces that occur in ``vectors``; those named that don't occur are empty afterwards; others stay as
+    they are. Nothing is removed before the new rows are written. For a table that has readers, see :func:`publish`."""
     spark = vectors.sparkSession
-    for namespace in namespaces or []:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/namespace={namespace}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    named = list(namespaces or [])
+    seen = Observation()
+    counts = [F.count_if(F.col("namespace") == name).alias(f"n{i}") for i, name in enumerate(named)]
+    watched = vectors.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
     (
-        vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        watched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("namespace").parquet(path)
     )
+    for i, name in enumerate(named):
+        if not seen.get[f"n{i}"]:
+            _remove(spark, f"{path.rstrip('/')}/namespace={name}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# --- published versions --------------------------------------------------------
+
+_POINTERS = "version long, namespace string, folder string"
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """All pointers, newest first; a row for each namespace of each build."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/pointers")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    rows = spark.read.schema(_POINTERS).parquet(folder.toString()).collect()
+    return sorted((tuple(r) for r in rows), reverse=True)
+
+
+def publish(vectors: DataFrame, path: str, namespaces: list[str]) -> int:
+    """Writes the named namespaces of ``vectors`` as a new version below ``path`` and then switches to it.
+
+    The rows go to a folder of their own; one small file of pointers, written last, makes them the current ones. If
+    anything fails before, readers keep what they have. Other namespaces stay at their version, a named one without rows
+    is empty. One build at a time may publish to a path. Returns the version.
+    """
+    spark = vectors.sparkSession
+    before = _pointers(spark, path)
+    version = before[0][0] + 1 if before else 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    vectors.filter(F.col("namespace").isin(namespaces)).write.partitionBy("namespace").parquet(f"{path.rstrip('/')}/{folder}")
+    pointer = spark.createDataFrame([(version, name, folder) for name in namespaces], _POINTERS).coalesce(1)
+    pointer.write.mode("append").parquet(f"{path.rstrip('/')}/pointers")
+    return version
+
+
+def published(spark: SparkSession, path: str, schema: T.StructType = SCHEMA) -> DataFrame:
+    """The current rows of every namespace. A filter on the namespace reads that folder only."""
+    newest: dict[str, str] = {}
+    for _, name, folder in _pointers(spark, path):
+        newest.setdefault(name, folder)
+    parts = [spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{folder}").filter(F.col("namespace") == name)
+             for name, folder in sorted(newest.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def retire(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Deletes the folders of all but the newest ``keep`` versions of every namespace; the deleted ones. Readers of the
+    kept versions are not disturbed."""
+    kept: dict[str, list[str]] = {}
+    for _, name, folder in _pointers(spark, path):
+        if len(kept.setdefault(name, [])) < keep:
+            kept[name].append(folder)
+    used = {folder for folders in kept.values() for folder in folders}
+    old = sorted({folder for _, _, folder in _pointers(spark, path)} - used)
+    for folder in old:
+        _remove(spark, f"{path.rstrip('/')}/{folder}")
+    return old
 
 
 def write_cells(vectors: DataFrame, path: str, dim: int = fv.VECTOR_DIM, bits: int = 8) -> None:
@@ -111,21 +179,57 @@ def open_cells(spark: SparkSession, path: str, schema: T.StructType = SCHEMA) ->
 
 # --- changed sources ---------------------------------------------------------
 
+#: A prime below 2^31, so that a product of two remainders fits a long, and two bases.
+_PRIME, _BASES = 2_147_483_647, (1_103_515_245, 1_566_083_941)
+_PIECE_ROWS = 65_536
+
+
+def _chained(parts: Column) -> Column:
+    """Ordered parts (n, a, b, pa, pb) to one: the hash of a sequence is the earlier one times a power of the base, by the
+    later one's length, plus the later one. So any division of a sequence gives the same."""
+    def following(was: Column, part: Column) -> Column:
+        step = [F.pmod(was[h] * part[p] + part[h], F.lit(_PRIME)).alias(h) for h, p in (("a", "pa"), ("b", "pb"))]
+        powers = [F.pmod(was[p] * part[p], F.lit(_PRIME)).alias(p) for p in ("pa", "pb")]
+        return F.struct((was["n"] + part["n"]).alias("n"), *step, *powers)
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("a"), zero.alias("b"), one.alias("pa"), one.alias("pb"))
+    return F.aggregate(parts, start, following)
+
+
+def _by_position(rows: DataFrame) -> DataFrame:
+    """``namespace, fund, rows, mark``: for each file, the hash of the fund's rows in it, in their order.
+
+    Hashes of short pieces of a split are chained to files, pieces being runs of lines, so the place of split borders
+    and what other funds or files hold make no difference. A file counts by its name, not by its folder.
+    """
+    content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund", "row_ord")]
+    line, split = F.col("row_ord.line"), F.col("row_ord.split_start")
+    piece = F.struct(split.alias("split"), F.floor(line / _PIECE_ROWS).alias("at"))
+    one = F.lit(1).cast("long")
+    hashed = F.struct(
+        line.alias("line"), one.alias("n"), *(F.pmod(F.xxhash64(F.lit(base), *content), F.lit(_PRIME)).alias(h) for h, base in zip("ab", _BASES)),
+        *(F.lit(base).cast("long").alias(p) for p, base in zip(("pa", "pb"), _BASES)))
+    keys = ["namespace", "fund", "_file"]
+    pieces = rows.withColumns({"_file": F.col("row_ord.file"), "_piece": piece, "_row": hashed}).groupBy(*keys, "_piece").agg(
+        _chained(F.sort_array(F.collect_list("_row"))).alias("_chain"))
+    files = pieces.groupBy(*keys).agg(_chained(F.transform(
+        F.sort_array(F.collect_list(F.struct("_piece", "_chain"))), lambda p: p["_chain"])).alias("_chain"))
+    name = F.element_at(F.split("_file", "/"), -1)
+    return files.select("namespace", "fund", F.col("_chain.n").alias("_n"), F.xxhash64(name, "_chain").alias("_mark"))
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """Count and content hash per fund. Only content and row order count; where order is a place in a file, it is
-    the file's name and the place inside it, so other files, or a folder that moved, change nothing."""
-    content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund")]
+    """Count and content hash per fund. Only the content and order of its own rows count; where order is a place in a
+    file, so does the file's name, but neither other files or funds, nor how files are split or which folder they are in."""
     if "row_ord" in rows.columns and isinstance(rows.schema["row_ord"].dataType, T.StructType):
-        name = F.element_at(F.split("row_ord.file", "/"), -1)
-        rows = rows.withColumns({"_file": name, "_split": F.col("row_ord.split_start"), "_line": F.col("row_ord.line")})
-        starts = rows.groupBy("_file", "_split").agg(F.min("_line").alias("_first"))
-        rows = rows.join(starts, ["_file", "_split"])
-        content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund", "row_ord", "_line", "_first")]
-        content.append(F.col("_line") - F.col("_first"))
-    line = F.xxhash64(*content)
-    return rows.groupBy("namespace", "fund").agg(
-        F.count("*").alias("rows"), F.bit_xor(line).alias("mark"),
-        F.sum(line.cast("decimal(38,0)")).alias("total"),
+        marks = _by_position(rows)
+    else:
+        content = [F.col(c) for c in rows.columns if c not in ("namespace", "fund")]
+        marks = rows.select("namespace", "fund", F.lit(1).cast("long").alias("_n"), F.xxhash64(*content).alias("_mark"))
+    return marks.groupBy("namespace", "fund").agg(
+        F.sum("_n").alias("rows"), F.bit_xor("_mark").alias("mark"),
+        F.sum(F.col("_mark").cast("decimal(38,0)")).alias("total"),
     )
 
 

@@ -314,8 +314,8 @@ _search_views("asked", "all_asked_v")
 def index(spark, sf_dir):
     """The stored vectors of every fund's chunks, built once for the query."""
     path = scratch_path(spark, "index")
-    vt.write_snapshot(vt.to_vectors(chunking.fund_chunks(spark, sf_dir)), path)
-    return spark.read.schema(vt.SCHEMA).parquet(path)
+    vt.publish(vt.to_vectors(chunking.fund_chunks(spark, sf_dir)), path, [fv.HOLDINGS, fv.TRADES])
+    return vt.published(spark, path)
 
 
 @query("r7_retrieved_contexts", f"""

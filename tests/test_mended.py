@@ -30,9 +30,9 @@ def test_all_cells_are_exact_for_every_number_of_planes(spark):
     vectors = spark.createDataFrame(rows, "chunk_id string, namespace string, embedding array<float>, fund string, file string, has_pl boolean, text string")
     asked = vectors.limit(20).select(F.col("chunk_id").alias("question_id"), "embedding", F.lit(None).cast("string").alias("namespace"), F.lit(False).alias("need_pl"))
     key = lambda df: sorted((r["question_id"], r["chunk_id"]) for r in df.collect())
-    assert key(search.approximate_top_k(vectors, asked, 5, 8, bits=4, probes=16)) == key(search.top_k(vectors, asked, 5, 8))
+    assert key(search.approximate_top_k(search.with_cells(vectors, 8, 4), asked, 5, 8, bits=4, probes=16)) == key(search.top_k(vectors, asked, 5, 8))
     with pytest.raises(ValueError):
-        search.approximate_top_k(vectors, asked, 5, 8, bits=2, probes=5)
+        search.approximate_top_k(search.with_cells(vectors, 8, 2), asked, 5, 8, bits=2, probes=5)
 
 
 def test_fingerprints_do_not_depend_on_other_files(spark, tmp_path):
@@ -53,6 +53,38 @@ def test_fingerprints_do_not_depend_on_other_files(spark, tmp_path):
     assert [tuple(r) for r in vt.changed_funds(before, marks("moved")).collect()] == [("trades", "Gamma", "new")]
 
 
+def test_fingerprints_depend_on_a_funds_own_rows_alone(spark, tmp_path):
+    header = "TradeDate,TradeTypeName,PortfolioName,Quantity,Price,Principal,TotalCash,AllocationCash,SettleDate,SecurityType,Name,Strategy1Name,CustodianName,Counterparty"
+
+    def write(name, rows):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join([header, *(f"01/08/23,Buy,{fund},{k},1,1,1,1,01/08/23,S,N{k},T,C,P" for fund, k in rows)]))
+        return str(path)
+
+    def marks(*paths, split="128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            found = vt.fingerprints(ch.trades_rows(ct.load_trades(spark, list(paths))))
+            return spark.createDataFrame(found.collect(), found.schema)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    def change(before, after):
+        return sorted((r["fund"], r["change"]) for r in vt.changed_funds(before, after).collect())
+
+    large = [("Alpha" if k % 3 else "Beta", k) for k in range(3000)]
+    one = write("a/one.csv", large)
+    before = marks(one)
+    assert change(before, marks(one, split="9000")) == []  # other split borders
+    assert change(before, marks(one, write("a/two.csv", [("Gamma", 1)]), split="20000")) == [("Gamma", "new")]
+    assert change(before, marks(one, write("b/one.csv", [("Gamma", 1)]))) == [("Gamma", "new")]  # the same name elsewhere
+    assert change(before, marks(write("c/one.csv", [("Delta", 7), *large]))) == [("Delta", "new")]  # rows of others between
+    swapped = [*large[:10], large[11], large[10], *large[12:]]
+    assert change(before, marks(write("d/one.csv", swapped))) == [("Alpha", "changed")]
+    assert change(before, marks(write("e/one.csv", large[:-1]))) == [(large[-1][0], "changed")]
+
+
 def test_upsert_keeps_one_row_of_a_key(spark):
     stored = spark.createDataFrame([("n", "1", "old"), ("n", "2", "stays")], "namespace string, chunk_id string, text string")
     incoming = spark.createDataFrame([("n", "1", "a"), ("n", "1", "b")], stored.schema)
@@ -66,7 +98,34 @@ def test_a_build_empties_a_namespace(spark, tmp_path):
     path = str(tmp_path / "index")
     vt.write_snapshot(vectors.unionAll(vectors.withColumn("namespace", F.lit("trades"))), path)
     vt.write_snapshot(vectors, path, ["holdings", "trades"])
-    assert [(r["namespace"], len(r["text"])) for r in build_index.open_index(spark, path).collect()] == [("holdings", 1200)]
+    assert [(r["namespace"], len(r["text"])) for r in spark.read.schema(vt.SCHEMA).parquet(path).collect()] == [("holdings", 1200)]
+    both = vectors.unionAll(vectors.withColumn("namespace", F.lit("trades")))
+    shown = lambda: sorted((r["namespace"], len(r["text"])) for r in build_index.open_index(spark, str(tmp_path / "p")).collect())
+    assert shown() == []
+    assert vt.publish(both, str(tmp_path / "p"), ["holdings", "trades"]) == 1
+    vt.publish(vectors.limit(0), str(tmp_path / "p"), ["trades"])
+    assert shown() == [("holdings", 1200)]  # the other namespace stays at its version
+    vt.publish(both, str(tmp_path / "p"), ["trades"])
+    assert shown() == [("holdings", 1200), ("trades", 1200)]
+    assert len(vt.retire(spark, str(tmp_path / "p"), keep=1)) == 1 and shown() == [("holdings", 1200), ("trades", 1200)]
+
+
+def test_a_failed_build_leaves_the_old_index(spark, tmp_path):
+    def broken(text):
+        return F.raise_error(F.concat(F.lit("no model for "), text)).cast("array<float>")
+
+    rows = [(f"01/08/23,Buy,Alpha,{k},1,1,1,1,01/08/23,S,N{k},T,C,P") for k in range(5)]
+    header = "TradeDate,TradeTypeName,PortfolioName,Quantity,Price,Principal,TotalCash,AllocationCash,SettleDate,SecurityType,Name,Strategy1Name,CustodianName,Counterparty"
+    (tmp_path / "t.csv").write_text("\n".join([header, *rows]))
+    trades = ct.load_trades(spark, str(tmp_path / "t.csv"))
+    path = str(tmp_path / "index")
+    build_index.build(None, trades, path)
+    before = [tuple(r) for r in build_index.open_index(spark, path).collect()]
+    with pytest.raises(Exception, match="no model"):
+        build_index.build(None, trades, path, embed=broken)
+    with pytest.raises(Exception, match="no model"):
+        vt.write_snapshot(vt.published(spark, path).withColumn("embedding", broken(F.col("text"))), str(tmp_path / "index"), ["trades"])
+    assert [tuple(r) for r in build_index.open_index(spark, path).collect()] == before and len(before) == 1
 
 
 def test_a_missing_text_has_no_vector(spark):
