@@ -93,6 +93,7 @@ TRADE_WORDS = ["trade", "buy", "sell", "transaction", "purchase"]
 HOLDING_WORDS = ["holding", "position", "quantity held", "owns"]
 
 # --- fixed values: messages -----------------------------------------------
+UNKNOWN_TYPE = "unknown"
 REFUSAL = "Sorry, I cannot find the answer in the provided data"
 NO_ANSWER = "Sorry, I could not generate an answer."
 NO_AGGREGATES = "No aggregation data available."

@@ -71,6 +71,12 @@ def chunk_contexts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("question_id").agg(F.array_join(parts, "\n").alias("context"))
 
 
+def contexts_for(questions: DataFrame, matches: DataFrame) -> DataFrame:
+    """``question_id, context`` of every question; the fixed notice where nothing was found."""
+    found = questions.select("question_id").join(chunk_contexts(matches), "question_id", "left")
+    return found.select("question_id", or_no_chunks(F.col("context")).alias("context"))
+
+
 def or_no_chunks(context: Column) -> Column:
     return F.coalesce(context, F.lit(fv.NO_CHUNKS))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fundweave.functions.answers import says_sorry
+from fundweave.operators.stats import FUND, top_funds
 
 
 def answered(answer: Column) -> Column:
@@ -22,6 +23,12 @@ def mentions_expected(answers: DataFrame, expected: DataFrame) -> DataFrame:
         "passed", F.coalesce(F.col("answer").contains(F.col("expected")), F.lit(False)))
 
 
+def top_fund_expected(questions: DataFrame, by_fund: DataFrame, measure: str = "pl_ytd") -> DataFrame:
+    """``question_id, expected``: the name of the best fund, for questions that ask for it."""
+    best = top_funds(by_fund, measure, 1).select(F.col(FUND).alias("expected"))
+    return questions.select("question_id").join(F.broadcast(best), F.lit(True))  # one row
+
+
 def namespace_passes(found: Column, expected: Column) -> Column:
     """A namespace check also passes where none was chosen."""
     return found.isNull() | found.eqNullSafe(expected)

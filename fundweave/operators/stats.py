@@ -117,9 +117,17 @@ def trade_type_matrix(trades: DataFrame, types: list[str]) -> DataFrame:
     return counted.groupBy(FUND).pivot("TradeTypeName", types).count().na.fill(0, types)
 
 
-def trade_type_counts(trades: DataFrame, types: list[str]) -> DataFrame:
-    """Long zero-filled form of the matrix."""
-    return trade_type_matrix(trades, types).unpivot(FUND, types, "TradeTypeName", "trades")
+def trade_type_counts(trades: DataFrame) -> DataFrame:
+    """Long zero-filled form of the matrix: each fund with trades of a known type, and each type, however many there are.
+
+    The types are listed once and repeated for each fund; what was counted is joined to that. Nothing is pivoted, and
+    nothing runs before the result is asked for.
+    """
+    known = _with_fund(trades).where(F.col("TradeTypeName").isNotNull())
+    counted = known.groupBy(FUND, "TradeTypeName").agg(F.count("*").alias("trades"))
+    types = counted.agg(F.collect_set("TradeTypeName").alias("_types"))
+    every = counted.select(FUND).distinct().join(types, F.lit(True)).select(FUND, F.explode("_types").alias("TradeTypeName"))
+    return every.join(counted, [FUND, "TradeTypeName"], "left").na.fill(0, ["trades"])
 
 
 def fund_summary(holdings: DataFrame, trades: DataFrame, fund: str | None = None) -> DataFrame:

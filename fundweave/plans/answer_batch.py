@@ -33,16 +33,26 @@ def retrieve(
     return rv.drop_near_repeats(search.with_metadata(valid, vectors))
 
 
+def _asked_id() -> Column:
+    """What a question is searched by: the hash of its text and of where it looks."""
+    return F.md5(F.to_json(F.struct("question", "namespace", "need_pl")))
+
+
+def reply_text(answer: Column) -> Column:
+    """The text that leaves the service."""
+    return tx.clean_reply(tx.clean_answer(answer))
+
+
 def search_contexts(routed: DataFrame, vectors: DataFrame, **options) -> DataFrame:
     """Routed questions with the ``context`` found for them, null where too little was.
 
     A batch repeats itself, so each different question is searched once.
     """
     different = ["question", "namespace", "need_pl"]
-    asked = routed.select(*different).distinct().withColumn("question_id", F.to_json(F.struct(*different)))
+    asked = routed.select(*different).distinct().withColumn("question_id", _asked_id())
     contexts = cx.chunk_contexts(retrieve(asked, vectors, **options)).withColumnRenamed("question_id", "_asked")
     return (
-        routed.withColumn("_asked", F.to_json(F.struct(*different)))
+        routed.withColumn("_asked", _asked_id())
         .join(contexts, "_asked", "left").drop("_asked")
     )
 

@@ -327,18 +327,18 @@ def _as_csv(trades, path):
 
 
 @query("s10_changed_csv", """
-select 'trades' as namespace, PortfolioName as fund, case PortfolioName when 'CHINA' then 'new' else 'changed' end as change
-from trades_v where PortfolioName = 'CHINA' or (PortfolioName = 'FRANCE' and TradeTypeName = 'Sell') group by PortfolioName""")
+select 'trades' as namespace, PortfolioName as fund, case PortfolioName when 'NATION_3' then 'new' else 'changed' end as change
+from trades_v where PortfolioName = 'NATION_3' or (PortfolioName = 'NATION_7' and TradeTypeName = 'Sell') group by PortfolioName""")
 def changed_csv(spark, sf_dir):
-    """Trades dropped as CSV twice: China's file is there the second time only, France's sales were taken out. Files of
-    other funds, folders and splits are different too, and change nothing."""
+    """Trades dropped as CSV twice: one fund's file is there the second time only, another one's sales were taken out. The
+    folder and the splits are different too, and change nothing."""
     trades = views.trades(spark, sf_dir)
-    rest, china = trades.filter("PortfolioName <> 'CHINA'"), trades.filter("PortfolioName = 'CHINA'")
+    rest, new = trades.filter("PortfolioName <> 'NATION_3'"), trades.filter("PortfolioName = 'NATION_3'")
     before, after = scratch_path(spark, "before-csv"), scratch_path(spark, "after-csv")
-    same = rest.filter("PortfolioName <> 'FRANCE'")
-    france = rest.filter("PortfolioName = 'FRANCE'")
-    first = [_as_csv(same, f"{before}/others"), _as_csv(france.coalesce(1), f"{before}/france")]
-    second = [_as_csv(france.filter("TradeTypeName <> 'Sell'").coalesce(1), f"{after}/france"), _as_csv(china, f"{after}/china")]
+    same = rest.filter("PortfolioName <> 'NATION_7'")
+    edited = rest.filter("PortfolioName = 'NATION_7'")
+    first = [_as_csv(same, f"{before}/others"), _as_csv(edited, f"{before}/edited")]
+    second = [_as_csv(edited.filter("TradeTypeName <> 'Sell'"), f"{after}/edited"), _as_csv(new, f"{after}/new")]
 
     def marks(paths):
         return vt.fingerprints(ch.trades_rows(ct.load_trades(spark, paths)))

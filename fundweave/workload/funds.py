@@ -78,8 +78,7 @@ select PortfolioName, 'Buy' as TradeTypeName, buy_trades as trades from traded_v
 union all select PortfolioName, 'Sell', sell_trades from traded_v
 union all select PortfolioName, 'Short', trade_count - buy_trades - sell_trades from traded_v""")
 def trade_type_counts(spark, sf_dir):
-    trades = views.trades(spark, sf_dir)
-    return stats.trade_type_counts(trades, stats.trade_types(trades))
+    return stats.trade_type_counts(views.trades(spark, sf_dir))
 
 
 @query("a7_total_cash", "select PortfolioName, total_cash from traded_v")

@@ -250,6 +250,26 @@ def mentions_expected(spark, sf_dir):
     return _mentions(spark, sf_dir).select("question_id", "passed")
 
 
+VIEWS["top_answers_v"] = """
+  select question_id, case when question_id % 5 = 0 then null when question_id % 3 = 0 then 'The best fund is ' || top || '.'
+    else 'It is ' || asked_fund || '.' end as answer, top as expected
+  from routed_v,
+    (select PortfolioName as top from held_v order by pl_ytd desc, PortfolioName limit 1)
+  where query_type = 'aggregation'"""
+
+
+@query("e3_mentions_top_fund", "select question_id, coalesce(contains(answer, expected), false) as passed from top_answers_v")
+def mentions_top_fund(spark, sf_dir):
+    """Answers to ranking questions have to name the fund that is really the best."""
+    asked = routed(spark, sf_dir).filter("query_type = 'aggregation'")
+    wanted = ev.top_fund_expected(asked, stats.holdings_by_fund(views.holdings(spark, sf_dir, securities=False)))
+    number = F.col("question_id")
+    given = asked.join(wanted, "question_id").select("question_id", F.when(number % 5 == 0, F.lit(None)).when(
+        number % 3 == 0, F.concat(F.lit("The best fund is "), "expected", F.lit("."))).otherwise(
+        F.concat(F.lit("It is "), "asked_fund", F.lit("."))).alias("answer"))
+    return ev.mentions_expected(given, wanted).select("question_id", "passed")
+
+
 @query("j7_expected_values", "select question_id, answer, expected from answers_v join expected_v using (question_id)")
 def expected_values(spark, sf_dir):
     return _mentions(spark, sf_dir).select("question_id", "answer", "expected")

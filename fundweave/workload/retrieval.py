@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fundweave import fixed_values as fv
 from fundweave.functions import vectors as vec
 from fundweave.operators import context as cx, relevance as rv, search
-from fundweave.plans import answer_batch as ab
+from fundweave.plans import answer_batch as ab, plain_retrieval as pr
 from fundweave.session import scratch_path
 from fundweave.sources import vector_table as vt
 from fundweave.workload import chunking, views
@@ -185,6 +185,18 @@ def chunk_contexts(spark, sf_dir):
     return cx.chunk_contexts(found.withColumn("text", F.concat(F.lit("vector "), F.col("chunk_id").cast("string"))))
 
 
+@query("c9_empty_contexts", f"""
+, found as (select question_id, string_agg('=== Chunk ' || no || ' (Fund: ' || fund || ', Source: ' || file || ', Relevance: '
+    || format('{{:.2f}}', score) || ') ===' || chr(10) || body || chr(10), chr(10) order by no) as context
+  from (select d.*, 'vector ' || chunk_id as body, row_number() over (partition by question_id order by rank) as no
+    from deduplicated_v d) group by question_id)
+select question_id, coalesce(context, '{fv.NO_CHUNKS}') as context from vector_questions_v left join found using (question_id)""")
+def empty_contexts(spark, sf_dir):
+    """A context for every question, also for those that nothing was found for."""
+    found = deduplicated(spark, sf_dir).withColumn("text", F.concat(F.lit("vector "), F.col("chunk_id").cast("string")))
+    return cx.contexts_for(views.vector_questions(spark, sf_dir), found)
+
+
 # --- approximate: the cells are sums over digits, so SQL finds the same ones ---
 
 _BITS, _PROBES = 6, 12
@@ -371,6 +383,35 @@ select question_id, case when error is null then query_type else '' end as query
 from ({_LENGTHS})"""
 
 
+_CLEAN_PROMPT = len(fv.SYSTEM_PROMPT) - len("{context}{question}")
+
+
+@query("s11_plain_answers", f"""
+select question_id, error, md5(case when error is null then context else '' end) as digest,
+  case when error is not null then error
+       when chars % 10 = 7 then '{fv.RATE_LIMIT_MESSAGE}'
+       when chars % 10 = 3 then '{fv.REFUSAL}'
+       else chr(9) || ' The prompt has ' || chars || ' characters.' || chr(13) || chr(10) end as answer
+from (select question_id, context, case when context is null then '{fv.REFUSAL}' end as error,
+    length(context) + length(question) + {_CLEAN_PROMPT} as chars
+  from routed_v left join asked_found_v using (question))""")
+def plain_answers(spark, sf_dir):
+    """Every question by search alone; answers that are too short give way to the refusal."""
+    done = pr.answers(views.questions(spark, sf_dir), index(spark, sf_dir), _short_echo)
+    return done.select("question_id", F.md5("context").alias("digest"), "answer", "error")
+
+
+def _short_echo():
+    ask = _echo()
+    return lambda prompt: " no " if len(prompt) % 10 == 3 else ask(prompt)
+
+
+@query("s11_replies", f"select question_id, answer, case when query_type = '' then '' else query_type end as query_type, error from ({_RESULTS})")
+def replies(spark, sf_dir):
+    """The batch's answers as they leave the service."""
+    return pr.replies(ab.results(ab.generate(ab.prompts(gathered(spark, sf_dir)), _echo)))
+
+
 @query("u3_generator_hook", _RESULTS)
 @query("s11_batch_results", _RESULTS)
 def batch_results(spark, sf_dir):
