@@ -113,6 +113,8 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndar
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     repeated = len(starts) < len(ids)
     floors = np.full(len(queries), -np.inf) if floors is None else floors
+    longest = np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+    rounding = 8 * (x.shape[1] + 1) * np.finfo(np.float64).eps * longest  # of a product, for a query of length 1
     for i in range(0, len(queries), 256):
         part = slice(i, i + 256)
         for query_id, query, floor, near in zip(query_ids[part], queries[part], floors[part], queries[part] @ x.T, strict=True):
@@ -121,7 +123,7 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndar
             take = min(k, len(of_ids))
             least = np.partition(of_ids, len(of_ids) - take)[len(of_ids) - take]
             least = max(least, floor)
-            slack = 1e-9 * (1 + np.abs(least)) if np.isfinite(least) else 0
+            slack = rounding * np.sqrt(query @ query)
             own = np.flatnonzero((near >= least - slack) & (near > -np.inf))
             score = (x[own] * query).sum(axis=1)
             own, score = own[score >= floor], score[score >= floor]

@@ -15,8 +15,6 @@ from fundweave.llm import words as W
 
 #: Labelled rows that the network is fitted on, at most, as many of each language as there are.
 SAMPLE = 3000
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 200
 #: Bytes of a window. The last one of a text is filled with zeros.
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -92,11 +90,13 @@ def _labelled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit(docs: DataFrame, fold: tuple[int, int], bound: int = SAMPLE, steps: int = 500, seed: int = 5) -> Network | None:
     """A network from text and lang of at most `bound` rows outside the fold, trained in numpy by Adam on batches drawn
-    evenly from the languages. None if no row can be learned from."""
+    evenly from the languages, every one of which is learned. Where an id has several, its largest counts. None if no row
+    can be learned from."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     learnable = ~training.held_out(fold) & F.col("text").isNotNull()
-    picked, totals = training.sample(docs.where(F.col("text").isNotNull()), "lang", learnable, bound, LANGUAGES)
+    picked, totals = training.sample(docs.where(F.col("text").isNotNull()), "lang", learnable, bound, kind="string")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    rows = texts.mapInArrow(_labelled_windows, "doc_id long, label string, window binary").toArrow()
+    rows = texts.mapInArrow(_labelled_windows, f"doc_id {kind}, label string, window binary").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("window", "ascending")])

@@ -95,9 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], b
     """A factorisation machine for `label` (0 or 1) from at most `bound` labelled rows outside the fold. Each word of a
     text is a feature of value 4 / (number of words), each statistic one of its standard score. Classes are weighted as
     frequent as they are among all labelled rows. Without labelled rows every score is a half."""
-    picked, totals = training.sample(labels, label, ~training.held_out(fold), bound, 2)
+    known = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked, totals = training.sample(known, label, ~training.held_out(fold), bound)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _with_chars(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text", "n_chars")
-    schema = "doc_id long, label int, buckets array<int>, times array<int>, statistics array<double>"
+    schema = f"doc_id {kind}, label int, buckets array<int>, times array<int>, statistics array<double>"
     rows = texts.mapInArrow(_features, schema).toArrow().sort_by("doc_id")
     y = rows["label"].to_numpy().astype(np.float32)
     width = BUCKETS + len(STATISTICS)

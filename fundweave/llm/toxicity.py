@@ -92,16 +92,17 @@ def _within(bags: DataFrame, buckets: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int = SAMPLE, dimension: int = 8,
-        rounds: int = 80, seed: int = 7, buckets: int = BAG_BUCKETS) -> Model:
+        rounds: int = 80, seed: int = 7, buckets: int = BAG_BUCKETS, one_in: int = 200) -> Model:
     """A model of `label` (0 or 1) from at most `bound` labelled rows outside the fold, of at most `buckets` buckets in all;
-    one row of each class is taken whatever its size. Their texts are turned to bags of buckets by Spark; embeddings and softmax are fitted together in numpy. Both classes weigh the same. Buckets of fewer
-    than ten of these texts are left out, as they would be learned by heart. Without labelled rows every score is a half;
+    one row of each class is taken whatever its size. Their texts are turned to bags of buckets by Spark; embeddings and softmax are fitted together in numpy. Both classes weigh the same. Buckets
+    that fewer than one in `one_in` of either class's texts have are left out, as they would be learned by heart. Without labelled rows every score is a half;
     with one class it is that class's."""
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     learnable = labels.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked, _ = training.sample(learnable, label, ~training.held_out(fold), bound, 2)
+    picked, _ = training.sample(learnable, label, ~training.held_out(fold), bound)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    bags = shared.stored(texts.mapInArrow(_bags, "doc_id long, label int, buckets array<int>, weights array<float>"), "bags")
+    bags = shared.stored(texts.mapInArrow(_bags, f"doc_id {kind}, label int, buckets array<int>, weights array<float>"), "bags")
     kept = _within(bags, buckets)
     rows = bags.join(F.broadcast(kept), ["doc_id", "label"], "left_semi").toArrow()
     shared.dropped(bags)
@@ -110,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], b
     if not len(y):
         return Model(np.zeros((BUCKETS, 2), np.float32), np.zeros(2, np.float32))
     columns, weights = (list(rows[name].to_numpy()[order]) for name in ("buckets", "weights"))
-    seen = np.zeros(BUCKETS, np.int64)
-    for own in columns:
-        seen[own] += 1
-    used = np.flatnonzero(seen >= min(10, len(y)))
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for own, c in zip(columns, y, strict=True):
+        seen[c, own] += 1
+    used = np.flatnonzero((seen >= np.maximum(1, -(-np.bincount(y, minlength=2) // one_in))[:, None]).any(axis=0))
     new = np.full(BUCKETS, -1, np.int32)
     new[used] = np.arange(len(used))
     for k, own in enumerate(columns):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,19 +13,21 @@ def held_out(fold: tuple[int, int], id_column: str = "doc_id") -> Column:
     return F.coalesce(rest == fold[1], F.lit(True))
 
 
-def sample(labels: DataFrame, label: str, learnable: Column, bound: int, classes: int) -> tuple[DataFrame, dict]:
-    """(doc_id, label) of at most `bound` rows, as many of each class where there are enough, and the number of labelled
-    rows of each class. The rows are those with the smallest hashes of their ids. Where an id repeats, its largest label
-    counts; null labels and ids don't. Of more than `classes` classes the most frequent are learned."""
-    known = labels.select("doc_id", F.col(label).alias("label")).where(learnable & F.col("doc_id").isNotNull())
+def sample(labels: DataFrame, label: str, learnable: Column, bound: int, classes: int | None = None,
+           kind: str = "int") -> tuple[DataFrame, dict]:
+    """(doc_id, label as `kind`) of at most `bound` rows, as many of each class where there are enough but one at least, and
+    the number of labelled rows of each class. The rows are those with the smallest hashes of their ids. Where an id
+    repeats, its largest label counts; null labels and ids don't. Ids may be of any type, classes any number; of more than
+    `classes` classes, if that is given, the most frequent ones."""
+    known = labels.select("doc_id", F.col(label).cast(kind).alias("label")).where(learnable & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(F.col("label").isNotNull())
-    totals = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect()
-    totals = {row["label"]: row["count"] for row in totals}
-    picked = None
-    for value in totals:
-        own = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // len(totals))
-        picked = own if picked is None else picked.unionAll(own)
-    return (known.limit(0) if picked is None else picked), totals
+    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label")  # a row for each class
+    counts = counts if classes is None else counts.limit(classes)
+    totals = {row["label"]: row["count"] for row in counts.collect()}
+    known = known if classes is None else known.join(F.broadcast(counts.select("label")), "label", "left_semi")
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    each = max(1, bound // max(1, len(totals)))
+    return known.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= each).drop("_place"), totals
 
 
 class Bags:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fundweave.llm import (
     ann_forest, decontamination, html_extract, language_id, ngram_jaccard, packing, quality, suffix_dedup, token_counts,
@@ -455,3 +456,63 @@ def test_repeated_strings_of_no_rows(spark):
 def test_cleaned_texts_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "abcdefgh unique", "a"), (2, "other abcdefgh", "b"), (3, None, "c")], "doc_id long, text string, key string")
     assert rows_of(suffix_dedup.clean(docs, 8)) == [(1, " unique", "a"), (2, "other ", "b"), (3, None, "c")]
+
+
+# ---------------------------------------------------------------- types, few labels, many classes
+def test_ids_and_labels_of_other_types_are_learned_from(spark):
+    texts = ["kind words of praise " * 3, "x9 zz qq junk " * 4]
+    docs = spark.createDataFrame([(f"doc {i}", texts[i % 2] + str(i)) for i in range(120)], "doc_id string, text string")
+    for kind in ("long", "boolean", "string"):
+        labels = docs.select("doc_id", (F.split("doc_id", " ")[1].cast("int") % 2).cast(kind if kind != "boolean" else "boolean").alias("quality"))
+        if kind == "string":
+            labels = labels.withColumn("quality", F.col("quality").cast("int").cast("string"))
+        labels = labels.unionAll(labels.withColumn("doc_id", F.concat(F.lit("gone "), "doc_id")))
+        for module in (quality, toxicity):
+            model = module.fit(docs, labels, "quality", (5, 0))
+            found = {r["doc_id"]: r["score"] for r in module.score(docs, model).collect()}
+            assert all((score > 0.5) == (int(name.split(" ")[1]) % 2 == 1) for name, score in found.items()), (module, kind)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"d{i}", f"{chr(0x100 + i % 210) * 40}", f"l{i % 210:03}") for i in range(840)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"), (4, 2), steps=2)
+    assert len(net.languages) == 210
+
+
+def test_words_of_few_toxic_texts_are_learned(spark):
+    rows = [(i, f"plain text number {i} about many things") for i in range(1500)] + [(2000 + i, "vile slur here") for i in range(13)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") >= 2000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels, "toxic", (3, 1))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert min(s for i, s in scores.items() if i >= 2000) > 0.7 > 0.5 > max(s for i, s in scores.items() if i < 2000)
+
+
+def test_long_vectors_at_right_angles_are_ranked_exactly():
+    draw = np.random.default_rng(1)
+    query = draw.normal(size=64)
+    rows = draw.normal(size=(400, 64))
+    rows -= (rows @ query / (query @ query))[:, None] * query
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True) * 5e8 + query * draw.normal(size=(400, 1)) * 1e-9
+    found = ann_forest.best(np.arange(400), rows, np.array([-1]), query[None], 20)[0]
+    exact = (rows * query).sum(axis=1)
+    assert found[1].tolist() == sorted(range(400), key=lambda i: (-exact[i], i))[:20]
+
+
+def test_removed_strings_of_400_bytes_are_those_of_brute_force(spark):
+    """Documents of the driver's table, every string of 400 bytes."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    seen = Counter()
+    for _, text in rows:
+        data = (text or "").encode()
+        seen.update(hash(data[k:k + 400]) for k in range(len(data) - 399))
+    found = {r["doc_id"]: r for r in suffix_dedup.digest(spark.createDataFrame(rows, DOCS), 400).collect()}
+    for i, text in rows:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 399):
+            if seen[hash(data[k:k + 400])] > 1:
+                gone[k:k + 400] = True
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()
+        assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(data), int(gone.sum()), runs, kept)
