@@ -1,35 +1,30 @@
-"""A filter of fixed size for long keys: it lets every wanted key through, and few others."""
+"""A filter of bounded size for long keys: it lets every wanted key through, and few others."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2^24 bits, 2 MB, whatever the number of keys. With very many keys it lets more through; what follows has to be exact.
+#: 2^24 bits in at most 2^18 rows of 64, whatever the number of keys. With very many keys it lets more through; what
+#: follows has to be exact.
 BITS = 24
 
 
-def likely_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A function from a column of longs to whether they may be among keys[column]. Runs a job that gathers one bit for
-    each key: at most 2^18 rows reach the driver."""
-    spark = keys.sparkSession
-    place = F.pmod(F.xxhash64(column), F.lit(1 << BITS))
-    rows = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
-    table = np.zeros(1 << BITS - 6, np.uint64)
-    table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    known = spark.sparkContext.broadcast(table)
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << BITS))
+
 
-    @F.pandas_udf("boolean")
-    def may_be(places: pd.Series) -> pd.Series:
-        at = places.to_numpy().astype(np.uint64)
-        return pd.Series((known.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1)
+def marked(df: DataFrame, key: Column, wanted: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column `name`: whether its key, a long, may be among wanted[column]. The bits of the wanted keys are
+    broadcast as rows of 64, so nothing of df is shuffled or leaves the JVM."""
+    word, bit, bits = f"{name}_word", f"{name}_bit", f"{name}_bits"
+    known = wanted.select(_place(F.col(column)).alias(bit)).groupBy(F.shiftright(bit, 6).alias(word)).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST({bit} & 63 AS INT))")).alias(bits))
+    placed = df.withColumn(bit, _place(key)).withColumn(word, F.shiftright(bit, 6))
+    is_set = F.coalesce(F.expr(f"shiftrightunsigned({bits}, CAST({bit} & 63 AS INT)) & 1L = 1L"), F.lit(False))
+    return placed.join(F.broadcast(known), word, "left").withColumn(name, is_set).drop(word, bit, bits)
 
-    def test(wanted: Column) -> Column:
-        return may_be(F.pmod(F.xxhash64(wanted), F.lit(1 << BITS)))
 
-    return test
+def likely(df: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose key may be among wanted[column]."""
+    return marked(df, key, wanted, column, "_likely").where("_likely").drop("_likely")

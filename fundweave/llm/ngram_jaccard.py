@@ -298,8 +298,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     left = classes.join(unshared, "key", "left").where(100 * F.coalesce("unshared", F.lit(0)) <= (100 - percent) * F.col("n"))
     left = shared.stored(left.select("key", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("one_id")), "left")
 
-    likely = membership.likely_in(left, "text_hash")
-    wanted = texts.where(likely(F.col("text_hash"))).alias("t").join(
+    wanted = membership.likely(texts, F.col("text_hash"), left, "text_hash").alias("t").join(
         left.alias("l"), (F.col("t.text_hash") == F.col("l.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("l.one_id")), "left_semi")
     sets = wanted.select("text").mapInArrow(_whole_sets(size), "key long, n long, grams array<long>").dropDuplicates(["key"])
     sets = shared.stored(sets, "sets")

@@ -23,22 +23,25 @@ def folder(spark: SparkSession) -> str:
     return _local[0]
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch while a table is stored. Texts of thousands of rows wait on both sides of the pipe to Python.
-BATCH_ROWS = 2_000
+#: Bounds of an Arrow batch while a table is stored, in rows and in bytes: texts of thousands of rows, or a few very long
+#: ones, wait on both sides of the pipe to Python. A row beyond the bytes is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: later steps start there, whatever executors are lost. The session's
-    bound of rows in a batch is lowered during the write, and is as it was afterwards."""
+    bounds of a batch are lowered during the write, and are as they were afterwards."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS)
+    was = {name: spark.conf.get(name) for name in BATCH}
+    for name, most in BATCH.items():
+        own = was[name].removesuffix("b").removesuffix("B")
+        spark.conf.set(name, min(most, int(own)) if own.isdigit() and int(own) > 0 else most)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, was)
+        for name, own in was.items():
+            spark.conf.set(name, own)
     return spark.read.schema(df.schema).parquet(path)
 
 

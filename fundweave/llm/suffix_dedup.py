@@ -149,8 +149,7 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
     samples = shared.stored(texts.where(F.octet_length("text") >= length).select(key, "text").mapInArrow(
         _intervals(length), "key long, low long, high long, sample long, whole long, looped boolean"), "samples")
     again = shared.stored(_repeated(samples, "sample", F.max("looped")), "ranks")
-    likely = membership.likely_in(again, "sample")
-    rest = samples.where(likely(F.col("sample"))).join(again, "sample", "left_semi").dropDuplicates(["key", "low"])
+    rest = membership.likely(samples, F.col("sample"), again, "sample").join(again, "sample", "left_semi").dropDuplicates(["key", "low"])
     rest = shared.stored(rest.join(copied.select("key", "copied"), "key", "left"), "rest")
     shared.dropped(samples, again)
 
@@ -165,8 +164,8 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
     lists = single.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("intervals"))
     lists = shared.stored(lists.join(known.groupBy("key").agg(F.min("one_id").alias("one_id")), "key"), "intervals")
 
-    likely = membership.likely_in(lists, "key")
-    needed = texts.select("doc_id", key, "text").where((F.octet_length("text") >= length) & likely(F.col("key"))).alias("t").join(
+    long_enough = texts.select("doc_id", key, "text").where(F.octet_length("text") >= length)
+    needed = membership.likely(long_enough, F.col("key"), lists, "key").alias("t").join(
         lists.alias("l"), (F.col("t.key") == F.col("l.key")) & F.col("t.doc_id").eqNullSafe(F.col("l.one_id")))
     pairs = shared.stored(needed.select("t.key", "t.text", "l.intervals").mapInArrow(_pairs(length), "pair long, key long, low long, high long"), "pairs")
     fine = pairs.join(_repeated(pairs.where("pair IS NOT NULL"), "pair"), "pair", "left_semi")
@@ -182,12 +181,11 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
 def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with a column _ranges from repeated_starts, null for texts without any. Only texts that may have some are
     shuffled."""
-    likely = membership.likely_in(found, "key")
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    may_have = likely(F.col("_key"))
-    hit = keyed.where(may_have).join(found.select(F.col("key").alias("_key"), F.col("ranges").alias("_ranges")), "_key", "left")
-    none = keyed.where(~may_have).withColumn("_ranges", F.lit(None).cast(found.schema["ranges"].dataType))
-    return hit.unionByName(none).drop("_key")
+    keyed = membership.marked(keyed, F.col("_key"), found, "key", "_may_have")
+    hit = keyed.where("_may_have").join(found.select(F.col("key").alias("_key"), F.col("ranges").alias("_ranges")), "_key", "left")
+    none = keyed.where("NOT _may_have").withColumn("_ranges", F.lit(None).cast(found.schema["ranges"].dataType))
+    return hit.unionByName(none).drop("_key", "_may_have")
 
 
 def spans(ranges: list | np.ndarray | None, length: int) -> list[tuple[int, int]]:
