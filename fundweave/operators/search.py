@@ -22,11 +22,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
 from fundweave.session import scratch_path
+from fundweave.sources.shared_files import opened
 
 SCORE_PLACES = 6
 #: Questions of a stored block, bytes of the vectors a task holds at once, rows of a shard of a crowded cell.
@@ -145,18 +145,10 @@ def _store_questions(questions: DataFrame, dim: int, fields: list[str]) -> list[
     return spark.read.schema(schema).parquet(path).inputFiles()
 
 
-_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
-
-
 def _stored_questions(files: list[str], dim: int) -> Iterator[_Asked]:
     """The blocks, one at a time, from any file system that Arrow reads."""
     for name in files:
-        scheme, _, rest = name.partition(":")
-        if scheme == "file":
-            system, path = fs.LocalFileSystem(), "/" + rest.lstrip("/").replace("%20", " ")
-        else:
-            system, path = fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
-        with system.open_input_file(path) as file:
+        with opened(name) as file:
             for batch in pq.ParquetFile(file).iter_batches(batch_size=1):
                 for row in batch.to_pylist():
                     n = len(row["ids"])

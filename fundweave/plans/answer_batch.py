@@ -79,16 +79,39 @@ def gather_contexts(questions: DataFrame, vectors: DataFrame, holdings: DataFram
     return aggregated.unionByName(searched)
 
 
+def gather_keyed(questions: DataFrame, vectors: DataFrame | None, holdings_stats: DataFrame, trades_stats: DataFrame,
+                 path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """As gather_contexts, for any number of funds: the questions, and the stored lines of the aggregation context.
+
+    The lines are written once, to ``path``. An aggregation question has their ``context_key`` and no context; ``generate``
+    with these lines puts the text in when its prompt is sent. Without ``vectors`` only aggregation questions are kept.
+    """
+    routed = route(questions)
+    lines = cx.store_lines(cx.context_lines(holdings_stats, trades_stats), path)
+    none = F.lit(None).cast("string")
+    asked = routed.filter("query_type = 'aggregation'").join(F.broadcast(cx.context_keys(lines)), "wants_cash").select(
+        "question_id", "question", "query_type", none.alias("context"), none.alias("error"), "wants_cash", "context_key", "chars")
+    if vectors is None:
+        return asked, lines
+    searched = search_contexts(routed.filter("query_type = 'specific'"), vectors, **options).select(
+        "question_id", "question", "query_type", "context", _refusal_without("context").alias("error"))
+    return asked.unionByName(searched, allowMissingColumns=True), lines
+
+
 def prompts(contexts: DataFrame) -> DataFrame:
     """Adds the filled-in prompt; a question without a context gets none."""
     return contexts.withColumn("prompt", cx.prompt(F.col("query_type"), F.col("context"), F.col("question")))
 
 
-def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], pause: float = 0.0) -> DataFrame:
+def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], pause: float = 0.0,
+             lines: DataFrame | None = None) -> DataFrame:
     """Adds ``answer`` and ``failure`` by calling ``load()`` once per task and its result per prompt.
 
-    No generator is supplied. ``pause`` seconds pass between the calls of a task.
+    No generator is supplied. ``pause`` seconds pass between the calls of a task. A row with a ``context_key`` gets its
+    prompt from the stored ``lines`` (of gather_keyed) just before it is sent; the text is in no row.
     """
+    keyed = lines is not None
+    files = lines.inputFiles() if lines is not None else []
     schema = T.StructType(prompted.schema.fields + [
         T.StructField("answer", T.StringType()), T.StructField("failure", T.StringType())])
 
@@ -97,9 +120,13 @@ def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], paus
 
         ask: Any = load()
         called = False
+        stored = cx.StoredContext(files)
         for batch in batches:
             answers, failures = [], []
-            for prompt in batch["prompt"]:
+            keys = batch["context_key"] if keyed else [None] * len(batch)
+            for row, (prompt, key) in enumerate(zip(batch["prompt"], keys)):
+                if key is not None:
+                    prompt = stored.prompt(bool(batch["wants_cash"].iloc[row]), batch["question"].iloc[row])
                 if prompt is None:
                     answers.append(None)
                     failures.append(None)

@@ -248,3 +248,36 @@ def contexts(spark, sf_dir):
 @query("c8_aggregation_context", "select * from contexts_v")
 def aggregation_context(spark, sf_dir):
     return contexts(spark, sf_dir)
+
+
+VIEWS["context_lines_v"] = """
+  select 0 as section, 0 as position, '=== COMPLETE Fund Performance Rankings (Yearly P&L) ===' || chr(10)
+    || 'This includes ALL funds in the dataset:' || chr(10) as line
+  union all select 1, 0, chr(10) || chr(10) || '=== Holdings Count by Fund ==='
+  union all select 2, 0, chr(10) || chr(10) || '=== Trade Count by Fund ==='
+  union all select 3, 0, chr(10) || chr(10) || '=== Total Cash by Fund ==='
+  union all select 0, count(*) + 1, chr(10) || 'Total Funds: ' || count(*) from held_v
+  union all select 0, r, r || '. ' || PortfolioName || ': $' || format('{:,.2f}', pl_ytd)
+    from (select *, row_number() over (order by pl_ytd desc, PortfolioName) as r from held_v)
+  union all select 1, row_number() over (order by holdings_count desc, PortfolioName),
+    '  ' || PortfolioName || ': ' || holdings_count || ' holdings' from held_v
+  union all select 2, row_number() over (order by trade_count desc, PortfolioName),
+    '  ' || PortfolioName || ': ' || trade_count || ' trades' from traded_v
+  union all select 3, row_number() over (order by total_cash desc, PortfolioName),
+    '  ' || PortfolioName || ': $' || format('{:,.2f}', total_cash) from traded_v"""
+VIEWS["context_keys_v"] = """
+  select wants_cash, md5(concat_ws('-', count(*), sum(cast('0x' || substr(digest, 1, 15) as bigint)),
+      sum(cast('0x' || substr(digest, 16, 15) as bigint)))) as context_key,
+    cast(sum(length(line) + 1) - 1 as bigint) as chars
+  from (select *, md5(section || ':' || position || ':' || line) as digest from context_lines_v)
+    join (select unnest([false, true]) as wants_cash) on wants_cash or section < 3 group by wants_cash"""
+
+
+@query("c8_context_lines", "select * from context_lines_v")
+def context_lines(spark, sf_dir):
+    return cx.context_lines(_held(spark, sf_dir), _traded(spark, sf_dir))
+
+
+@query("c8_context_keys", "select * from context_keys_v")
+def context_keys(spark, sf_dir):
+    return cx.context_keys(context_lines(spark, sf_dir))

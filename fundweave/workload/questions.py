@@ -1,11 +1,14 @@
 """Routing, text clean-up and answer-scoring queries."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from fundweave import fixed_values as fv
 from fundweave.functions import answers as an, routing, text as tx
 from fundweave.operators import context as cx, evaluate as ev, stats
 from fundweave.plans import answer_batch as ab
+from fundweave.session import scratch_path
 from fundweave.workload import funds, views
 from fundweave.workload.catalog import VIEWS, query
 
@@ -102,6 +105,29 @@ def aggregation_prompts(spark, sf_dir):
     return built.select("question_id", F.char_length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("digest"))
 
 
+def keyed(spark, sf_dir):
+    """Aggregation questions with the key of their context, and its stored lines."""
+    return ab.gather_keyed(
+        views.questions(spark, sf_dir), None, funds._held(spark, sf_dir), funds._traded(spark, sf_dir), scratch_path(spark, "context"))
+
+
+@query("j5_keyed_contexts", """
+select question_id, context_key, chars from routed_v join context_keys_v using (wants_cash) where query_type = 'aggregation'""")
+def keyed_contexts(spark, sf_dir):
+    return keyed(spark, sf_dir)[0].select("question_id", "context_key", "chars")
+
+
+def _digest(prompt):
+    return hashlib.md5(prompt.encode()).hexdigest()
+
+
+@query("c10_rendered_prompts", f"select question_id, md5({_AGG_PROMPT}) as digest from aggregated_v")
+def rendered_prompts(spark, sf_dir):
+    """The prompts as a generator gets them, from stored lines of the context."""
+    asked, lines = keyed(spark, sf_dir)
+    return ab.generate(ab.prompts(asked), lambda: _digest, lines=lines).select("question_id", F.col("answer").alias("digest"))
+
+
 @query("c10_document_prompts", f"""
 select doc_id, md5({_sql_template(fv.RETRIEVAL_PROMPT, "text", "source")}) as retrieval,
   md5({_sql_template(fv.SYSTEM_PROMPT, "text", "source")}) as system
