@@ -314,21 +314,68 @@ def _score(nodes: list[_Node]) -> _Node | None:
     return max(ranked, key=lambda node: node.points, default=None)
 
 
+def _article(best: _Node) -> _Node | None:
+    """The article that the best container is or lies in, or else the main element."""
+    main = None
+    node: _Node | None = best
+    while node:
+        if node.tag == "article":
+            return node
+        if node.tag == "main" and main is None:
+            main = node
+        node = node.parent
+    return main
+
+
+def _unlinked(x: _Node | str) -> bool:
+    if x.__class__ is str:
+        return bool(x.strip())
+    return x.chars > 0 and not x.links and not x.doubtful
+
+
+def _like(x: _Node | str, best: _Node, points: float, first: bool) -> bool:
+    """Whether a sibling of the best container looks like a part of the article by its own score or text."""
+    if x.__class__ is str:
+        return False
+    own = (x.points or 0) + (points * 0.2 if x.names and x.names == best.names else 0)
+    density = _density(x)
+    text = x.tag in ("p", "pre", "blockquote") and (x.chars > 80 and density < 0.25 or x.chars > 0 and density == 0 and x.commas > 0)
+    return x.points is not None and own >= max(10, points * 0.2) or text or x.tag in _HEADINGS and first and density < 0.5
+
+
 def _kept(best: _Node) -> list[_Node | str]:
-    """The best container and those of its siblings that look like parts of the article, in page order."""
-    if best.parent is None:
-        return [best]
-    least, out = max(10, best.points * 0.2), []
-    for x in best.parent.inner:
-        if x is best:
-            out.append(x)
-        elif x.__class__ is _Node:
-            points = (x.points or 0) + (best.points * 0.2 if x.names and x.names == best.names else 0)
-            density = _density(x)
-            text = x.tag in ("p", "pre", "blockquote") and (x.chars > 80 and density < 0.25 or x.chars > 0 and density == 0 and x.commas > 0)
-            if x.points is not None and points >= least or text or x.tag in _HEADINGS and out == [] and density < 0.5:
-                out.append(x)
-    return out
+    """What the article consists of, in page order. In an <article> that is the whole of it and those of its siblings that look
+    like parts of it; in a <main> without, the whole of that. On other pages it is the best container with such siblings and,
+    where they share an element of their own, all siblings without links, however short; cousins in which something scores like
+    a part of the article, and whatever has no links between two parts."""
+    points = best.points
+    whole = _article(best)
+    if whole and whole.tag == "main" or (whole or best).parent is None:
+        return [whole or best]
+    node, climbs = whole or best, whole is None
+    before: list[list[_Node | str]] = []
+    after: list[_Node | str] = [node]
+    while node.parent is not None:
+        inner, near = node.parent.inner, climbs and node is best and node.parent.parent is not None
+        at = next(k for k, x in enumerate(inner) if x is node)
+        found: list[int] = []
+        for k, x in enumerate(inner):
+            if k == at or near and _unlinked(x):
+                found.append(k)
+            elif not climbs or node is best:
+                if _like(x, node, points, not found):
+                    found.append(k)
+            elif climbs and x.__class__ is _Node and _density(x) < 0.25 and max(y.points or 0 for y in _in_order(x)) >= max(10, points * 0.2):
+                found.append(k)
+        if climbs:
+            parts = set(found)
+            found = [k for k in range(found[0], found[-1] + 1) if k in parts or _unlinked(inner[k])]
+        before.append([inner[k] for k in found if k < at])
+        after += [inner[k] for k in found if k > at]
+        if not climbs:
+            break
+        node = node.parent
+    return [x for level in reversed(before) for x in level] + after
 
 
 def _menu(node: _Node) -> bool:

@@ -280,8 +280,40 @@ def test_linked_text_of_an_article_stays(html, text):
     assert html_extract.main_text(html) == text
 
 
+SECTION = f"<section><h2>A</h2><p>{LONG}</p><p>{LONG}</p></section>"
+A = f"A {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+@pytest.mark.parametrize(("before", "after", "text"), [
+    ("<p>Short intro.</p>", "", f"Short intro. {A}"),
+    ("", "<section><h2>B</h2><p>Closing words.</p></section>", f"{A} B Closing words."),
+    ("", "<div>The end.</div>", f"{A} The end."),
+    ("<ul><li>One</li><li>Two</li></ul>", "", f"One Two {A}"),
+    ("", "<table><tr><td>1</td><td>2</td></tr></table>", f"{A} 1 2"),
+    ("<figure><img src=x><figcaption>A view</figcaption></figure>", "", f"A view {A}"),
+    ("Loose text", "more of it", f"Loose text {A} more of it"),
+    ("", f"<div><div><p>{STORY}</p></div></div>", f"{A} {STORY}"),
+    ("<p><a href=/>One link</a></p>", "", f"One link {A}"),
+])
+def test_short_parts_of_an_article_stay(around, before, after, text):
+    page = f"<body><div>Site</div><div class='w'><{around}>{before}{SECTION}{after}</{around}></div><div class='sidebar'><p>{LONG}</p></div><div>Imprint</div></body>"
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize(("inner", "text"), [
+    (f"<p>Short intro.</p>{SECTION}<div>The end.</div>", f"Short intro. {A} The end."),
+    (f"<div>{SECTION}</div><div><p>{LONG}</p></div>", f"{A} {LONG}"),
+    (f"<div><div>{SECTION}</div></div><h2>B</h2><p>So it was.</p><div><div><p>{LONG}</p></div></div>", f"{A} B So it was. {LONG}"),
+    (f"<div>{SECTION}</div><div><a href=/>Elsewhere</a></div>", A),
+])
+def test_short_parts_stay_on_pages_without_article(inner, text):
+    assert html_extract.main_text(f"<body><div>Site</div><div>{inner}</div><div>Imprint</div></body>") == text
+
+
 def test_odd_markup_takes_linear_time():
-    for html in ("<" * 200_000, "<a " * 100_000, '<div class="' * 50_000, "</p>" * 100_000, "<!-- " * 100_000, "<b><p>" * 20_000):
+    for html in ("<" * 200_000, "<a " * 100_000, '<div class="' * 50_000, "</p>" * 100_000, "<!-- " * 100_000, "<b><p>" * 20_000,
+                 f"<div>a<p>{STORY}</p>" * 10_000):
         html_extract.main_text(html)
 
 
