@@ -16,16 +16,29 @@ FUND = "PortfolioName"
 
 
 def money_sum(name: str) -> Column:
-    """Exact sum of a column of amounts, the same whatever the order of rows.
+    """Sum of a column of amounts, the same whatever the order of rows.
 
-    One rule for every group: an amount counts with all its digits, as it is
-    written, up to 18 of them behind the point. NaN counts as missing. What can't be
-    an amount, 10^20 or more or infinite, raises an error that names the column.
+    An amount counts with all its digits, as it is written, up to 18 of them behind the point. NaN counts as missing.
+    Amounts from 10^9 on, whose 17 digits leave eight behind the point, are added apart, so many of them fit. Infinite
+    amounts and those of 10^20 or more are added as doubles to what the others make: an infinite one gives an infinite
+    sum, two of unlike sign NaN. Only several finite ones of 10^20 or more can differ in their last digits with the
+    order of rows.
     """
-    value = F.nanvl(F.col(name).cast("double"), F.lit(None))
-    exact = value.try_cast("decimal(38,18)")
-    unfit = F.raise_error(F.concat(F.lit(f"{name} is no amount: "), value.cast("string"))).cast("decimal(38,18)")
-    return F.sum(F.when(value.isNotNull() & exact.isNull(), unfit).otherwise(exact)).cast("double")
+    value = "nanvl(cast(`" + name.replace("`", "``") + "` as double), null)"
+
+    def exact_sum(kind: str, which: str) -> Column:
+        """Of some values as decimals. The filter keeps others from touching the sum, the case from being cast."""
+        return F.expr(f"sum(case when {which} then try_cast({value} as {kind}) end) filter (where {which})")
+
+    small = exact_sum("decimal(38,18)", f"abs({value}) < 1e9D")
+    large = exact_sum("decimal(28,8)", f"abs({value}) >= 1e9D and abs({value}) < 1e20D")
+    vast = F.expr(f"sum({value}) filter (where abs({value}) >= 1e20D)")
+    some, many = F.coalesce(small, F.lit(0)), F.coalesce(large, F.lit(0))
+    narrow = (some.cast("decimal(37,18)") + many.cast("decimal(37,18)")).cast("double")
+    # Of a sum of 10^18 or more, six places decide the nearest double.
+    wide = (some.cast("decimal(38,6)") + many.cast("decimal(38,6)")).cast("double")
+    total = F.when((F.abs(some) < 1e18) & (F.abs(many) < 1e18), narrow).otherwise(wide)
+    return F.when(vast.isNotNull(), vast + total).when(small.isNotNull() | large.isNotNull(), total)
 
 
 def _with_fund(df: DataFrame) -> DataFrame:
