@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def in_file_order(df: DataFrame) -> DataFrame:
     """Adds row_ord, the place of a row in all files of the table, in the order of their paths. The rows of each file are
-    counted from its footer; what stands before a file is one row for each."""
+    counted from its footer; what stands before a file is one row for each, sent to all tasks: a shuffle by file would bring
+    the rows of a file into one."""
     df = df.withColumns({"_file": F.col("_metadata.file_path"), "_index": F.col("_metadata.row_index")})
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
         "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return df.join(files, "_file").withColumn("row_ord", F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
+    return df.join(F.broadcast(files), "_file").withColumn("row_ord", F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
 
 
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
