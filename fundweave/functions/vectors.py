@@ -34,6 +34,13 @@ class _Buckets(dict):
         return bucket
 
 
+def _counted(text: str, buckets: _Buckets) -> np.ndarray:
+    """Word counts of one text. Words of a whole batch at once would take many times its bytes."""
+    words = text.lower().encode().translate(_BLANKED).split()
+    found = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
+    return np.bincount(found, minlength=buckets.dim).astype("float32")
+
+
 def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
     """Word counts in ``dim`` buckets: first seven hex digits of the word's md5, modulo ``dim``.
 
@@ -46,13 +53,7 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
         buckets = _Buckets(dim)
         for texts in batches:
             known = texts.notna().to_numpy()
-            own = [text.lower().encode().translate(_BLANKED).split() for text in texts[known]]
-            row = np.repeat(np.arange(len(own)), [len(words) for words in own])
-            codes, distinct = pd.factorize(np.array([word for words in own for word in words], object))
-            bucket = np.fromiter(map(buckets.__getitem__, distinct), np.int64, len(distinct))[codes]
-            counts = np.bincount(row * dim + bucket, minlength=len(own) * dim).reshape(-1, dim)
-            vectors = iter(counts.astype("float32"))
-            yield pd.Series([next(vectors) if is_text else None for is_text in known], dtype=object)
+            yield pd.Series([_counted(text, buckets) if is_text else None for text, is_text in zip(texts, known)], dtype=object)
 
     return embed.asNondeterministic()
 

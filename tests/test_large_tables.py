@@ -2,9 +2,12 @@
 
 import contextlib
 import io
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from fundweave.functions import vectors as vec
 from fundweave.workload import views
 
 
@@ -26,3 +29,17 @@ def test_row_numbers_are_joined_without_a_shuffle_by_file(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert found == list(enumerate([*range(5), *range(200, 207), *range(300, 303)]))
+
+
+def test_words_of_a_batch_are_not_held_together(spark):
+    texts = pd.Series([" ".join(f"w{k * 7 % 997}" for k in range(j, j + 3000)) for j in range(400)])
+    embed = vec.hashed_counts().func
+    next(embed(iter([texts[:1]])))
+    tracemalloc.start()
+    try:
+        found = next(embed(iter([texts])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 400 and all(v.sum() == 3000 for v in found)
+    assert peak < 8 * 1024 * 1024  # 0.6 MB of vectors, 6 MB of texts, 1.2 million words
