@@ -5,9 +5,11 @@ import io
 import tracemalloc
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fundweave.functions import vectors as vec
+from fundweave.operators.packing import stored_blocks
 from fundweave.workload import views
 
 
@@ -43,3 +45,20 @@ def test_words_of_a_batch_are_not_held_together(spark):
         tracemalloc.stop()
     assert len(found) == 400 and all(v.sum() == 3000 for v in found)
     assert peak < 8 * 1024 * 1024  # 0.6 MB of vectors, 6 MB of texts, 1.2 million words
+
+
+def test_stored_blocks_lie_in_small_row_groups(spark, tmp_path):
+    """A reader decodes a whole row group at once, nested rows and all."""
+    rows = spark.range(100_000).select(
+        F.lit("A").alias("fund"), F.col("id").alias("row_ord"), F.lit(90).alias("n_tokens"),
+        F.concat(*(F.sha2(F.concat("id", F.lit(f"-{k}")), 256) for k in range(6))).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        blocks = stored_blocks(rows, ["fund"])
+        files = [name.removeprefix("file://") for name in blocks.inputFiles()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    footers = [pq.ParquetFile(name).metadata for name in files]
+    sizes = [f.row_group(k).total_byte_size for f in footers for k in range(f.num_row_groups)]
+    assert sum(sizes) > 36 * 1024 * 1024  # 38 MB of texts in one partition
+    assert max(sizes) < 20 * 1024 * 1024
