@@ -27,18 +27,24 @@ def field_text(column: Column, data_type: T.DataType) -> Column:
     return F.coalesce(column.cast("string"), F.lit("nan"))
 
 
-def render(template: str, df: DataFrame) -> Column:
-    """Fill ``{Column}`` and ``{Column:,.2f}`` places of a row template from ``df``'s columns."""
+def places(template: str) -> list[str]:
+    """The columns that a row template names."""
+    return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(template) if name is not None))
+
+
+def render(template: str, df: DataFrame, inside: str = "") -> Column:
+    """Fill ``{Column}`` and ``{Column:,.2f}`` places of a row template from ``df``'s columns; ``inside`` ("row.") is where
+    they lie by the time the text is made."""
     pieces: list[Column] = []
     for literal, name, spec, _ in Formatter().parse(template):
         if literal:
             pieces.append(F.lit(literal))
         if name is None:
             continue
-        column = F.col(name)
+        column = F.col(inside + name)
         if spec:
-            places = int(spec.removeprefix(",.").removesuffix("f"))
-            text = F.coalesce(number_text(column.cast("double"), places), F.lit("nan"))
+            digits = int(spec.removeprefix(",.").removesuffix("f"))
+            text = F.coalesce(number_text(column.cast("double"), digits), F.lit("nan"))
         else:
             text = field_text(column, df.schema[name].dataType)
         pieces.append(text)
@@ -56,12 +62,12 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*pieces)
 
 
-def holdings_text(df: DataFrame) -> Column:
-    return render(fv.HOLDINGS_ROW, df)
+def holdings_text(df: DataFrame, inside: str = "") -> Column:
+    return render(fv.HOLDINGS_ROW, df, inside)
 
 
-def trades_text(df: DataFrame) -> Column:
-    return render(fv.TRADES_ROW, df)
+def trades_text(df: DataFrame, inside: str = "") -> Column:
+    return render(fv.TRADES_ROW, df, inside)
 
 
 def stored_text(text: Column, chars: int | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fundweave import fixed_values as fv
@@ -12,50 +15,96 @@ from fundweave.operators.packing import add_overlap, pack, pack_pieces
 KEYS = ["namespace", "fund"]
 
 
-def _optional(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+def _optional(df: DataFrame, name: str, kind: str, inside: str = "") -> Column:
+    return F.col(inside + name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _holdings_columns(holdings: DataFrame, inside: str = "") -> dict[str, Column]:
+    """The text of a position and what the chunk metadata needs, out of its columns."""
+    return {
+        "text": tx.holdings_text(holdings, inside),
+        "security_type": _optional(holdings, "SecurityTypeName", "string", inside),
+        "trade_type": F.lit(None).cast("string"),
+        "pl_row": F.col(f"{inside}PL_YTD") != 0,
+        "row_year": F.year(_optional(holdings, "AsOfDate", "date", inside)),
+    }
+
+
+def _trades_columns(trades: DataFrame, inside: str = "") -> dict[str, Column]:
+    """The same for a trade."""
+    return {
+        "text": tx.trades_text(trades, inside),
+        "security_type": _optional(trades, "SecurityType", "string", inside),
+        "trade_type": _optional(trades, "TradeTypeName", "string", inside),
+        "pl_row": F.lit(None).cast("boolean"),
+        "row_year": F.lit(None).cast("int"),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def holdings_rows(holdings: DataFrame) -> DataFrame:
     """One text per position together with what the chunk metadata needs."""
     return holdings.filter("PortfolioName is not null").select(
-        F.lit(fv.HOLDINGS).alias("namespace"),
-        F.col("PortfolioName").alias("fund"),
-        "row_ord",
-        tx.holdings_text(holdings).alias("text"),
-        _optional(holdings, "SecurityTypeName", "string").alias("security_type"),
-        F.lit(None).cast("string").alias("trade_type"),
-        (F.col("PL_YTD") != 0).alias("pl_row"),
-        F.year(_optional(holdings, "AsOfDate", "date")).alias("row_year"),
-    )
+        F.lit(fv.HOLDINGS).alias("namespace"), F.col("PortfolioName").alias("fund"), "row_ord", *_named(_holdings_columns(holdings)))
 
 
 def trades_rows(trades: DataFrame, fund: str = "PortfolioName") -> DataFrame:
     """The same for trades; ``fund`` names the column they are packed by."""
     return trades.filter(F.col(fund).isNotNull()).select(
-        F.lit(fv.TRADES).alias("namespace"),
-        F.col(fund).alias("fund"),
-        "row_ord",
-        tx.trades_text(trades).alias("text"),
-        _optional(trades, "SecurityType", "string").alias("security_type"),
-        _optional(trades, "TradeTypeName", "string").alias("trade_type"),
-        F.lit(None).cast("boolean").alias("pl_row"),
-        F.lit(None).cast("int").alias("row_year"),
-    )
+        F.lit(fv.TRADES).alias("namespace"), F.col(fund).alias("fund"), "row_ord", *_named(_trades_columns(trades)))
+
+
+Late = Callable[[DataFrame], DataFrame]
+
+
+def _unrendered(df: DataFrame, namespace: str, fund: str, names: list[str], columns: Callable[..., dict[str, Column]]) -> tuple[DataFrame, Late]:
+    used = F.struct(*(name for name in dict.fromkeys(names) if name in df.columns))
+    rows = df.filter(F.col(fund).isNotNull()).select(
+        F.lit(namespace).alias("namespace"), F.col(fund).alias("fund"), "row_ord", used.alias("_cells"))
+    return rows, lambda sorted_rows: sorted_rows.select(
+        *(c for c in sorted_rows.columns if c != "_cells"), *_named(columns(df, "_cells.")))
+
+
+def unrendered_holdings(holdings: DataFrame) -> tuple[DataFrame, Late]:
+    """The positions before their text is made, and what makes it: together holdings_rows.
+
+    Packing sorts rows by range, which runs all that stands before it twice and in no more tasks than the files give. Texts
+    are made after it, once.
+    """
+    names = [*tx.places(fv.HOLDINGS_ROW), "SecurityTypeName", "PL_YTD", "AsOfDate"]
+    return _unrendered(holdings, fv.HOLDINGS, "PortfolioName", names, _holdings_columns)
+
+
+def unrendered_trades(trades: DataFrame, fund: str = "PortfolioName") -> tuple[DataFrame, Late]:
+    """The same for trades."""
+    return _unrendered(trades, fv.TRADES, fund, [*tx.places(fv.TRADES_ROW), "SecurityType", "TradeTypeName"], _trades_columns)
 
 
 def _counted(rows: DataFrame, count_tokens: TokenCounter) -> DataFrame:
     return rows.withColumn("n_tokens", count_tokens(F.col("text")))
 
 
+def _finish(count_tokens: TokenCounter, late: Late | None, needed: list[str] | None = None) -> Late:
+    """Texts and tokens are made after the sort; a tokenizer would run twice before it. Rows keep what is ``needed`` of them."""
+    def finish(rows: DataFrame) -> DataFrame:
+        counted = _counted(late(rows) if late else rows, count_tokens)
+        return counted if needed is None else counted.select(*KEYS, "row_ord", "n_tokens", *needed)
+
+    return finish
+
+
 def pack_rows(
     rows: DataFrame,
     overlap_tokens: int = fv.OVERLAP_TOKENS,
     count_tokens: TokenCounter = estimate_tokens,
+    late: Late | None = None,
     **packing,
 ) -> DataFrame:
-    """Rows with their token and chunk numbers."""
-    return add_overlap(pack(_counted(rows, count_tokens), KEYS, **packing), KEYS, overlap_tokens)
+    """Rows with their token and chunk numbers. ``late`` makes the texts of unrendered rows."""
+    return add_overlap(pack(rows, KEYS, late=_finish(count_tokens, late), **packing), KEYS, overlap_tokens)
 
 
 def _types(piece: Column, name: str, most: int | None) -> Column:
@@ -64,46 +113,55 @@ def _types(piece: Column, name: str, most: int | None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
-def describe(pieces: DataFrame, most_types: int | None = None) -> DataFrame:
-    """One row per chunk: text in row order and metadata."""
+#: What each column that describes a chunk needs of its rows; the others need nothing but their number and tokens.
+_NEEDED = {"text": "text", "security_types": "security_type", "trade_types": "trade_type", "has_pl": "pl_row", "year": "row_year"}
+
+
+def describe(pieces: DataFrame, most_types: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """One row per chunk: text in row order and metadata, or only those ``columns`` of it."""
     piece = F.col("piece")
     is_holdings = F.col("namespace") == fv.HOLDINGS
-    return pieces.select(
-        *KEYS, "chunk_no",
-        tx.chunk_id(F.col("namespace"), F.col("fund"), F.col("chunk_no")).alias("chunk_id"),
-        F.array_join(F.transform(piece, lambda r: r["text"]), "\n").alias("text"),
-        F.aggregate(piece, F.lit(0).cast("bigint"), lambda n, r: n + r["n_tokens"]).alias("n_tokens"),
-        F.size(piece).cast("bigint").alias("row_count"),
-        _types(piece, "security_type", most_types).alias("security_types"),
-        F.when(~is_holdings, _types(piece, "trade_type", most_types)).alias("trade_types"),
-        F.when(is_holdings, F.exists(piece, lambda r: F.coalesce(r["pl_row"], F.lit(False)))).alias("has_pl"),
-        F.when(is_holdings, F.coalesce(F.get(piece, F.lit(0))["row_year"], F.lit(fv.DEFAULT_YEAR))).alias("year"),
-    )
+    described = {
+        "chunk_id": lambda: tx.chunk_id(F.col("namespace"), F.col("fund"), F.col("chunk_no")),
+        "text": lambda: F.array_join(F.transform(piece, lambda r: r["text"]), "\n"),
+        "n_tokens": lambda: F.aggregate(piece, F.lit(0).cast("bigint"), lambda n, r: n + r["n_tokens"]),
+        "row_count": lambda: F.size(piece).cast("bigint"),
+        "security_types": lambda: _types(piece, "security_type", most_types),
+        "trade_types": lambda: F.when(~is_holdings, _types(piece, "trade_type", most_types)),
+        "has_pl": lambda: F.when(is_holdings, F.exists(piece, lambda r: F.coalesce(r["pl_row"], F.lit(False)))),
+        "year": lambda: F.when(is_holdings, F.coalesce(F.get(piece, F.lit(0))["row_year"], F.lit(fv.DEFAULT_YEAR))),
+    }
+    return pieces.select(*KEYS, "chunk_no", *(made().alias(name) for name, made in described.items() if columns is None or name in columns))
 
 
 def chunk_rows(
     rows: DataFrame,
     overlap_tokens: int = fv.OVERLAP_TOKENS,
     count_tokens: TokenCounter = estimate_tokens,
+    late: Late | None = None,
+    columns: list[str] | None = None,
     **packing,
 ) -> DataFrame:
-    """Pack prepared rows and describe the chunks."""
+    """Pack prepared rows, or unrendered ones with their ``late``, and describe the chunks. Given ``columns``, only these are
+    described, and no more is stored of the rows than they need: Spark can't see through the packing what is used later."""
     if overlap_tokens <= 0:
-        return describe(pack_pieces(_counted(rows, count_tokens), KEYS, **packing))
-    packed = pack_rows(rows, overlap_tokens, count_tokens, **packing)
+        needed = None if columns is None else [name for column, name in _NEEDED.items() if column in columns]
+        return describe(pack_pieces(rows, KEYS, late=_finish(count_tokens, late, needed), **packing), columns=columns)
+    packed = pack_rows(rows, overlap_tokens, count_tokens, late, **packing)
     whole_row = F.struct(*(c for c in packed.columns if c not in (*KEYS, "chunk_no")))
-    return describe(packed.groupBy(*KEYS, "chunk_no").agg(F.sort_array(F.collect_list(whole_row)).alias("piece")))
+    pieces = packed.groupBy(*KEYS, "chunk_no").agg(F.sort_array(F.collect_list(whole_row)).alias("piece"))
+    return describe(pieces, columns=columns)
 
 
 def build_chunks(holdings: DataFrame | None, trades: DataFrame | None, **packing) -> DataFrame:
     """Chunks of every fund in both tables."""
     parts = []
     if holdings is not None:
-        parts.append(holdings_rows(holdings))
+        parts.append(unrendered_holdings(holdings))
     if trades is not None:
-        parts.append(trades_rows(trades))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return chunk_rows(rows, **packing)
+        parts.append(unrendered_trades(trades))
+    # each by itself: both texts in one compiled method are more than the JVM compiles, and ten times slower
+    return reduce(DataFrame.unionByName, (chunk_rows(rows, late=late, **packing) for rows, late in parts))
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:

@@ -21,17 +21,16 @@ grouped afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
 from fundweave.session import scratch_path
@@ -239,21 +238,23 @@ def _cut_blocks(n_keys: int, limit: int, block_rows: int, block_bytes: int, fiel
 
 
 def stored_blocks(rows: DataFrame, keys: list[str], order: str = "row_ord", tokens: str = "n_tokens",
-                  max_tokens: int = fv.CHUNK_TOKENS, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  max_tokens: int = fv.CHUNK_TOKENS, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES,
+                  late: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Blocks of consecutive rows of one fund, and a row of what each partition hands on (``rows`` null), stored.
 
-    There are at most ``rows / block_rows`` blocks more than funds and partitions together, besides those that are
+    ``late`` adds columns row by row, ``tokens`` among them, once the rows are sorted: what makes them before is run twice,
+    in as few tasks as the files give. There are at most ``rows / block_rows`` blocks more than funds and partitions together, besides those that are
     full in bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = rows.sparkSession
-    payload = [c for c in rows.columns if c not in (*keys, order)]
-    placed = rows.filter(reduce(and_, (F.col(k).isNotNull() for k in (*keys, order)))).select(
-        *keys, F.col(order).alias("_order"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_tokens"),
-        F.struct(F.col(order), *payload).alias("_row"))
-    ordered = placed.repartitionByRange(*keys, "_order").sortWithinPartitions(*keys, "_order")
-    ordered = ordered.select(*keys, "_tokens", "_row")
+    placed = rows.filter(reduce(and_, (F.col(k).isNotNull() for k in (*keys, order))))
+    ordered = placed.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    ordered = late(ordered) if late else ordered
+    payload = [c for c in ordered.columns if c not in (*keys, order)]
+    ordered = ordered.select(
+        *keys, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_tokens"), F.struct(order, *payload).alias("_row"))
     row = ordered.schema["_row"].dataType
     fields = T.StructType([
         *(ordered.schema[k] for k in keys), T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
@@ -329,31 +330,34 @@ def _entering(items: DataFrame, places: int, limit: int, schema: T.StructType) -
         upper = grouped.groupBy("group").applyInArrow(_fold(limit, to_arrow_schema(items.schema)), items.schema)
         outer = _entering(upper, -(-places // FAN), limit, schema)
     else:
-        outer = items.sparkSession.createDataFrame([], schema)
+        outer = items.filter(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     outer = outer.withColumnRenamed("pos", "group")
     return grouped.groupBy("group").cogroup(outer.groupBy("group")).applyInArrow(_hand_down(limit, to_arrow_schema(schema)), schema)
 
 
 def _cuts_udf(limit: int):
-    """Where a block is cut: chunk number, first row, row count, and whether the chunk is complete."""
-
-    @F.pandas_udf("array<struct<chunk_no:bigint,start:int,rows:int,whole:boolean>>")
-    def cut(blocks: pd.Series, held: pd.Series, base: pd.Series, prefix: pd.DataFrame, ends: pd.Series) -> pd.Series:
-        placed = []
-        for tokens, own, number, total, before, last in zip(blocks, held, base, prefix["total"], prefix.to_dict("records"), ends):
-            if not pd.isna(total):  # what entered the partition passes the blocks before this one
-                own, opened = after(_read(before), int(own), limit)
+    """Where a block is cut: the number of its first chunk, the first rows of all, and whether the first one begins here and
+    the last one ends here."""
+
+    @F.arrow_udf("struct<first:bigint,starts:array<int>,begins:boolean,ends:boolean>")
+    def cut(blocks: pa.Array, held: pa.Array, base: pa.Array, prefix: pa.Array, ends: pa.Array) -> pa.Array:
+        first, starts, begins, closed = [], [], [], []
+        for k, own, number, before, last in zip(range(len(blocks)), held.to_pylist(), base.to_pylist(), prefix, ends.to_pylist()):
+            if before.is_valid:  # what entered the partition passes the blocks before this one
+                own, opened = after(_read(before.as_py()), own, limit)
                 number += int(opened)
-            starts = chunk_starts(np.asarray(tokens, np.int64), limit, int(own))
-            continued = not len(starts) or starts[0] > 0
-            if continued:
-                starts, number = np.append(0, starts), number - 1
-            sizes = np.diff(np.append(starts, len(tokens)))
-            whole = np.ones(len(starts), bool)
-            whole[0], whole[-1] = not continued, last and (len(starts) > 1 or not continued)
-            placed.append([{"chunk_no": number + i, "start": s + 1, "rows": n, "whole": bool(w)}
-                           for i, (s, n, w) in enumerate(zip(starts.tolist(), sizes.tolist(), whole))])
-        return pd.Series(placed)
+            at = chunk_starts(blocks[k].values.to_numpy().astype(np.int64), limit, int(own))
+            begins.append(bool(len(at) and at[0] == 0))
+            if not begins[-1]:
+                at, number = np.append(0, at), number - 1
+            first.append(number)
+            starts.append(at)
+            closed.append(last and (len(at) > 1 or begins[-1]))
+        bounds = np.concatenate([[0], np.cumsum([len(at) for at in starts])])
+        flat = np.concatenate([np.zeros(0, np.int32), *starts])
+        listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+        names = ["first", "starts", "begins", "ends"]
+        return pa.StructArray.from_arrays([pa.array(first, pa.int64()), listed, pa.array(begins, pa.bool_()), pa.array(closed, pa.bool_())], names)
 
     return cut
 
@@ -366,14 +370,15 @@ def pack_pieces(
     max_tokens: int = fv.CHUNK_TOKENS,
     block_rows: int = BLOCK_ROWS,
     block_bytes: int = BLOCK_BYTES,
+    late: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``keys, chunk_no, piece``: the rows of each chunk as an array in ``order``, one row per chunk.
 
     ``order`` must be unique within ``keys``; a row without a key or an order belongs to no chunk, and one without
-    tokens counts none. The blocks are stored when this is called; cutting them is left to the caller's job.
+    tokens counts none. The blocks are stored when this is called; cutting them is left to the caller's job. ``late`` as in
+    stored_blocks.
     """
-    spark = rows.sparkSession
-    blocks = stored_blocks(rows, keys, order, tokens, max_tokens, block_rows, block_bytes)
+    blocks = stored_blocks(rows, keys, order, tokens, max_tokens, block_rows, block_bytes, late)
     edges = blocks.filter("edge IS NOT NULL").select(F.col("part").alias("pos"), F.struct(*keys).alias("key"), "fixed", "edge")
     entry = T.StructType([edges.schema["pos"], edges.schema["key"], T.StructField("held", T.LongType()), T.StructField("base", T.LongType())])
     places = (edges.agg(F.max("pos")).first()[0] or 0) + 1
@@ -386,14 +391,27 @@ def pack_pieces(
     held = F.when(goes_on, F.col("_held")).when(unknown, F.lit(fresh(max_tokens))).otherwise(F.col("held"))
     base = F.when(goes_on, F.col("_base")).when(unknown, F.lit(0)).otherwise(F.col("base"))
     cuts = _cuts_udf(max_tokens)(F.col("tokens"), held.cast("long"), base.cast("long"), F.col("prefix"), F.col("ends"))
-    pieces = known.select(*keys, "rows", cuts.alias("_cuts")).select(*keys, F.inline(F.transform("_cuts", lambda c: F.struct(
-        c["chunk_no"].alias("chunk_no"), c["whole"].alias("whole"), F.slice("rows", c["start"], c["rows"]).alias("piece")))))
+    cut = known.select(*keys, "rows", cuts.alias("_cuts"))
+    starts, count = F.col("_cuts.starts"), F.size("_cuts.starts")
+
+    def piece(number: Column) -> Column:
+        start = F.get(starts, number)
+        stop = F.coalesce(F.get(starts, number + 1), F.size("rows"))
+        return F.struct((F.col("_cuts.first") + number).alias("chunk_no"), F.slice("rows", start + 1, stop - start).alias("piece"))
+
+    def pieces(numbers: Column) -> DataFrame:
+        return cut.select(*keys, F.inline(F.transform(numbers, piece)))
+
+    def begins_and_ends(number: Column) -> Column:
+        return (F.col("_cuts.begins") | (number > 0)) & (F.col("_cuts.ends") | (number < count - 1))
+
+    edge = F.filter(F.array_distinct(F.array(F.lit(0), count - 1)), lambda n: ~begins_and_ends(n))
     parts = F.sort_array(F.collect_list(F.struct(F.get("piece", F.lit(0))[order].alias("at"), F.col("piece").alias("piece"))))
     joined = (
-        pieces.filter("not whole").groupBy(*keys, "chunk_no")
+        pieces(edge).groupBy(*keys, "chunk_no")
         .agg(F.flatten(F.transform(parts, lambda p: p["piece"])).alias("piece"))
     )
-    return pieces.filter("whole").drop("whole").unionByName(joined)
+    return pieces(F.filter(F.sequence(F.lit(0), count - 1), begins_and_ends)).unionByName(joined)
 
 
 def pack(rows: DataFrame, keys: list[str], **options) -> DataFrame:

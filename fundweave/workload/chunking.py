@@ -96,12 +96,12 @@ def fund_rows(spark, sf_dir):
     return ch.holdings_rows(views.holdings(spark, sf_dir)).unionByName(ch.trades_rows(views.trades(spark, sf_dir)))
 
 
-def fund_chunks(spark, sf_dir):
-    return ch.build_chunks(views.holdings(spark, sf_dir), views.trades(spark, sf_dir))
+def fund_chunks(spark, sf_dir, columns=None):
+    return ch.build_chunks(views.holdings(spark, sf_dir), views.trades(spark, sf_dir), columns=columns)
 
 
-def document_chunks(spark, sf_dir):
-    return ch.chunk_rows(document_rows(spark, sf_dir))
+def document_chunks(spark, sf_dir, columns=None):
+    return ch.chunk_rows(document_rows(spark, sf_dir), columns=columns)
 
 
 @query("c1_holdings_text", "select row_ord, text from holding_rows_v")
@@ -117,8 +117,8 @@ def trades_text(spark, sf_dir):
 @query("c3_packed_holdings", """
 select fund, row_ord, chunk_no from fund_packed_v where namespace = 'holdings'""")
 def packed_holdings(spark, sf_dir):
-    packed = ch.pack_rows(ch.holdings_rows(views.holdings(spark, sf_dir)))
-    return packed.select("fund", "row_ord", "chunk_no")
+    rows, late = ch.unrendered_holdings(views.holdings(spark, sf_dir))
+    return ch.pack_rows(rows, late=late).select("fund", "row_ord", "chunk_no")
 
 
 @query("c3_packed_documents", "select fund, row_ord, chunk_no, n_tokens from doc_packed_v")
@@ -135,8 +135,8 @@ _packed_views("customer", "customer_rows_v", chunks=False)
 @query("c3_packed_by_customer", "select fund, row_ord, chunk_no, n_tokens from customer_packed_v")
 def packed_by_customer(spark, sf_dir):
     """Very many funds whose rows are far apart: every customer is one."""
-    rows = ch.trades_rows(views.trades(spark, sf_dir), fund="Name")
-    return ch.pack_rows(rows).select("fund", "row_ord", "chunk_no", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    rows, late = ch.unrendered_trades(views.trades(spark, sf_dir), fund="Name")
+    return ch.pack_rows(rows, late=late).select("fund", "row_ord", "chunk_no", F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
 _OVERLAP = 150
@@ -157,7 +157,7 @@ select namespace, fund, chunk_no, n_tokens, row_count, md5(text) as digest from
 @query("o3_all_chunks", """
 select namespace, fund, chunk_no, n_tokens, row_count, md5(text) as digest from fund_chunks_v""")
 def all_chunks(spark, sf_dir):
-    return fund_chunks(spark, sf_dir).select(
+    return fund_chunks(spark, sf_dir, ["text", "n_tokens", "row_count"]).select(
         "namespace", "fund", "chunk_no", "n_tokens", "row_count", F.md5("text").alias("digest"))
 
 
@@ -189,21 +189,21 @@ select namespace, fund, chunk_no, row_count, array_to_string(security_types, ','
   array_to_string(trade_types, ',') as trade_types, has_pl, cast(year as integer) as year
 from fund_chunks_v""")
 def chunk_metadata(spark, sf_dir):
-    return fund_chunks(spark, sf_dir).select(
+    return fund_chunks(spark, sf_dir, ["row_count", "security_types", "trade_types", "has_pl", "year"]).select(
         "namespace", "fund", "chunk_no", "row_count", F.array_join("security_types", ",").alias("security_types"),
         F.array_join("trade_types", ",").alias("trade_types"), "has_pl", "year")
 
 
 @query("a15_chunk_texts", "select fund, chunk_no, text from doc_chunks_v")
 def chunk_texts(spark, sf_dir):
-    return document_chunks(spark, sf_dir).select("fund", "chunk_no", "text")
+    return document_chunks(spark, sf_dir, ["text"]).select("fund", "chunk_no", "text")
 
 
 @query("a16_chunk_totals", """
 select namespace, count(*) as chunks from (select distinct namespace, fund, chunk_no from fund_walk_v)
 group by rollup (namespace)""")
 def chunk_totals(spark, sf_dir):
-    return ch.chunk_totals(fund_chunks(spark, sf_dir))
+    return ch.chunk_totals(fund_chunks(spark, sf_dir, []))
 
 
 @query("e4_chunk_quality", """
@@ -220,7 +220,7 @@ _NUMBERED = "select namespace, fund, chunk_no, namespace || '_' || fund || '_' |
 @query("w2_chunk_numbers", _NUMBERED.format("doc"))
 @query("p14_chunk_ids", _NUMBERED.format("doc"))
 def chunk_numbers(spark, sf_dir):
-    return document_chunks(spark, sf_dir).select("namespace", "fund", "chunk_no", "chunk_id")
+    return document_chunks(spark, sf_dir, ["chunk_id"]).select("namespace", "fund", "chunk_no", "chunk_id")
 
 
 @query("p13_stored_text", "select doc_id, substr(text, 1, 1000) as text from documents")

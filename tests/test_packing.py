@@ -153,3 +153,42 @@ def test_rows_are_sorted_once_and_blocks_never_shuffled(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert all("chunk_no" in line or "group#" in line for line in exchanges), exchanges
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_tokens_are_counted_once_a_row(spark):
+    """What stands before the range sort is run twice: the sort samples it first."""
+    from pyspark.sql import functions as F
+
+    from fundweave.operators import chunks as ch
+
+    rows = spark.range(400, numPartitions=4).select(
+        F.lit("documents").alias("namespace"), (F.col("id") % 3).cast("string").alias("fund"), F.col("id").alias("row_ord"),
+        F.repeat(F.lit("word "), (F.col("id") % 90).cast("int")).alias("text"), F.lit(None).cast("string").alias("security_type"),
+        F.lit(None).cast("string").alias("trade_type"), F.lit(None).cast("boolean").alias("pl_row"), F.lit(None).cast("int").alias("row_year"))
+    counted = spark.sparkContext.accumulator(0)
+
+    def hook(text):
+        @F.udf("int")
+        def count(value):
+            counted.add(1)
+            return -(-len(value) // 4)
+
+        return count(text)
+
+    made = {(r["fund"], r["chunk_no"]): r["text"] for r in ch.chunk_rows(rows, count_tokens=hook, columns=["text"]).collect()}
+    assert counted.value == 400
+    assert made == {(r["fund"], r["chunk_no"]): r["text"] for r in ch.chunk_rows(rows).collect()}
+
+
+def test_rows_are_rendered_after_the_sort_as_before_it(spark):
+    from pyspark.sql import functions as F
+
+    from fundweave.operators import chunks as ch
+
+    trades = spark.range(300, numPartitions=3).select(
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("F"), F.col("id") % 4)).alias("PortfolioName"), F.col("id").alias("row_ord"),
+        *(F.when(F.col("id") % 7 > 0, F.concat(F.lit(f"{name} "), F.col("id") % 5)).alias(name)
+          for name in ("TradeTypeName", "Name", "SecurityType", "TradeDate", "Strategy1Name", "CustodianName", "Counterparty")),
+        *(F.when(F.col("id") % 5 > 0, F.col("id") * 1234.5).alias(name) for name in ("Quantity", "Price", "TotalCash", "Principal")))
+    late = {tuple(map(str, r)) for r in ch.build_chunks(None, trades).collect()}
+    assert late and late == {tuple(map(str, r)) for r in ch.chunk_rows(ch.trades_rows(trades)).collect()}
