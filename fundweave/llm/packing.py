@@ -15,6 +15,8 @@ from fundweave.llm import shared
 from fundweave.llm import words as W
 from fundweave.llm.memo import Memo
 
+#: Bytes of text that are tokenised at once. Arrays over them take some 50 times as much, in each worker of an executor.
+BLOCK_BYTES = 1 << 18
 #: Ranks of one length are counted in so many shares, so that no length is ranked in one task.
 SHARES = 64
 
@@ -106,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 4
     fields = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in W.blocks(batches, "text"):
+        for block in W.blocks(batches, "text", BLOCK_BYTES):
             data, at = W.raw(W.column(block, "text"))
             flat, ids_at = token_ids(data, at, tokenizer_path)
             n = np.diff(ids_at) + 1

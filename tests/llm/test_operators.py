@@ -548,3 +548,26 @@ def test_removed_strings_of_400_bytes_are_those_of_brute_force(spark):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()
         assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(data), int(gone.sum()), runs, kept)
+
+
+def test_packing_tokenises_in_small_blocks():
+    """Two workers of an executor hold these arrays next to its heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fundweave.llm import packing, words as W
+    from fundweave.llm.queries import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = pa.record_batch({"text": [" ".join(f"word{(7 * i + k) % 500}" for k in range(300)) for i in range(2_000)]})
+    packing.token_ids(*W.raw(W.column(texts.slice(0, 1), "text")), path)  # the tokenizer itself
+    W._powers.clear()
+    tracemalloc.start()
+    try:
+        for block in W.blocks(iter([texts]), "text", packing.BLOCK_BYTES):
+            packing.token_ids(*W.raw(W.column(block, "text")), path)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 24e6, peak
