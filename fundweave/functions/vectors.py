@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from fundweave import fixed_values as fv
@@ -41,19 +42,33 @@ def _counted(text: str, buckets: _Buckets) -> np.ndarray:
     return np.bincount(found, minlength=buckets.dim).astype("float32")
 
 
+def _listed(vectors: list[np.ndarray | None], dim: int) -> pa.Array:
+    """Vectors of ``dim`` numbers as a list array; None is null."""
+    known = [v for v in vectors if v is not None]
+    missing = np.array([v is None for v in vectors], bool)
+    ends = np.append(0, np.cumsum(~missing)) * dim
+    flat = np.concatenate([np.zeros(0, np.float32), *known])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(missing))
+
+
 def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
     """Word counts in ``dim`` buckets: first seven hex digits of the word's md5, modulo ``dim``.
 
     Counts are whole numbers, so dot products of two such vectors are exact.
-    Spark is told not to move or repeat the call, as if it were not deterministic.
+    Spark is told not to move or repeat the call, as if it were not deterministic. Vectors leave a task as an Arrow array:
+    of a series of arrays Spark makes lists of number objects, which takes longer than the counting. Called on series,
+    outside Spark, the function gives series.
     """
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = _Buckets(dim)
         for texts in batches:
-            known = texts.notna().to_numpy()
-            yield pd.Series([_counted(text, buckets) if is_text else None for text, is_text in zip(texts, known)], dtype=object)
+            if isinstance(texts, pd.Series):
+                known = texts.notna().to_numpy()
+                yield pd.Series([_counted(text, buckets) if is_text else None for text, is_text in zip(texts, known)], dtype=object)
+            else:
+                yield _listed([_counted(text.as_py(), buckets) if text.is_valid else None for text in texts], dim)
 
     return embed.asNondeterministic()
 

@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fundweave import fixed_values as fv
-from fundweave.session import scratch_path
+from fundweave.session import scratch_path, settings
 
 #: Rows and bytes of a block, and of the row groups that blocks are stored in: a reader decodes a whole group at once.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 1024 * 1024
 _GROUP_BYTES, _GROUP_CHECK = 8 * 1024 * 1024, 8
+#: Shuffled bytes that a task sorts and cuts: many more as texts, so tasks of Spark's usual 64 MB take long, and are few.
+_SORTED_BYTES = 16 * 1024 * 1024
 #: Neighbours in the tree that one task composes.
 FAN = 32
 
@@ -263,8 +265,9 @@ def stored_blocks(rows: DataFrame, keys: list[str], order: str = "row_ord", toke
         T.StructField("edge", T._parse_datatype_string(_SUMMARY)),
         T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("rows", T.ArrayType(row))])
     path = scratch_path(spark, "blocks")
-    ordered.mapInArrow(_cut_blocks(len(keys), max_tokens, block_rows, block_bytes, to_arrow_schema(fields)), fields).write.option(
-        "parquet.block.size", _GROUP_BYTES).option("parquet.page.size.row.check.min", _GROUP_CHECK).parquet(path)
+    blocks = ordered.mapInArrow(_cut_blocks(len(keys), max_tokens, block_rows, block_bytes, to_arrow_schema(fields)), fields)
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes=_SORTED_BYTES):
+        blocks.write.option("parquet.block.size", _GROUP_BYTES).option("parquet.page.size.row.check.min", _GROUP_CHECK).parquet(path)
     return spark.read.schema(fields).parquet(path)
 
 

@@ -299,7 +299,14 @@ def top_k(
 
 
 def with_metadata(matches: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Fund, source and stored text of the few matches that are left."""
+    """Fund, source and stored text of the few matches that are left.
+
+    The matches are stored when this is called. So Spark knows how many there are before it plans the join: where they are
+    few, they go to the vectors, whose texts are not shuffled.
+    """
+    spark, path = matches.sparkSession, scratch_path(matches.sparkSession, "matches")
+    matches.write.parquet(path)
+    matches = spark.read.schema(matches.schema).parquet(path)
     wanted = [c for c in ("fund", "file", "has_pl", "text") if c in vectors.columns]
     return matches.join(vectors.select("namespace", "chunk_id", *wanted), ["namespace", "chunk_id"])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever written over."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: object) -> Iterator[None]:
+    """Session settings for the jobs that run inside; ``a__b`` is written for ``a.b``. Those that are set already stay."""
+    names = [name for name in (k.replace("__", ".") for k in conf) if spark.conf.get(name, None) is None]
+    try:
+        for name in names:
+            spark.conf.set(name, str(conf[name.replace(".", "__")]))
+        yield
+    finally:
+        for name in names:
+            spark.conf.unset(name)

@@ -16,6 +16,7 @@ from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
 from fundweave.functions.vectors import Embedder, hashed_counts, wrong_length
 from fundweave.operators import search
+from fundweave.session import settings
 
 KEYS = ["namespace", "chunk_id"]
 
@@ -111,6 +112,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 # --- published versions --------------------------------------------------------
 
 _POINTERS = "version long, namespace string, folder string"
+#: Bytes of stored blocks that a task makes vectors of: decoded, with texts and vectors, they are some thirty times as many.
+_SPLIT_BYTES = 16 * 1024 * 1024
 
 
 def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
@@ -128,12 +131,15 @@ def publish(vectors: DataFrame, path: str, namespaces: list[str]) -> int:
     The rows go to a folder of their own; one small file of pointers, written last, makes them the current ones. If
     anything fails before, readers keep what they have. Other namespaces stay at their version, a named one without rows
     is empty. One build at a time may publish to a path. Returns the version.
+
+    A task keeps a file open for each namespace, so its texts and vectors need no sort by it.
     """
     spark = vectors.sparkSession
     before = _pointers(spark, path)
     version = before[0][0] + 1 if before else 1
     folder = f"v{version}-{uuid.uuid4().hex}"
-    vectors.filter(F.col("namespace").isin(namespaces)).write.partitionBy("namespace").parquet(f"{path.rstrip('/')}/{folder}")
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters=len(namespaces) + 1, spark__sql__files__maxPartitionBytes=_SPLIT_BYTES):
+        vectors.filter(F.col("namespace").isin(namespaces)).write.partitionBy("namespace").parquet(f"{path.rstrip('/')}/{folder}")
     pointer = spark.createDataFrame([(version, name, folder) for name in namespaces], _POINTERS).coalesce(1)
     pointer.write.mode("append").parquet(f"{path.rstrip('/')}/pointers")
     return version
