@@ -18,6 +18,8 @@ Embedder = Callable[[Column], Column]
 # Words are what remains between ASCII characters that are neither letter nor digit.
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _CACHED_WORDS = 500_000
+#: Characters and number of texts whose words are found at once, and the share of different words up to which that pays.
+_GROUP_CHARS, _GROUP_TEXTS, _FEW_WORDS = 512 * 1024, 1024, 1 / 8
 
 
 class _Buckets(dict):
@@ -35,19 +37,64 @@ class _Buckets(dict):
         return bucket
 
 
+def _blanked(text: str) -> bytes:
+    return text.lower().encode().translate(_BLANKED)
+
+
 def _counted(text: str, buckets: _Buckets) -> np.ndarray:
-    """Word counts of one text. Words of a whole batch at once would take many times its bytes."""
-    words = text.lower().encode().translate(_BLANKED).split()
+    """Word counts of one text, word by word."""
+    words = _blanked(text).split()
     found = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
     return np.bincount(found, minlength=buckets.dim).astype("float32")
 
 
-def _listed(vectors: list[np.ndarray | None], dim: int) -> pa.Array:
-    """Vectors of ``dim`` numbers as a list array; None is null."""
-    known = [v for v in vectors if v is not None]
-    missing = np.array([v is None for v in vectors], bool)
+def _counted_together(texts: list[str], buckets: _Buckets) -> tuple[np.ndarray, float]:
+    """The same, a row for each text, and the share of different words. Words are found and told apart as bytes of one array;
+    only different ones become objects."""
+    blanked = [_blanked(text) for text in texts]
+    joined = np.frombuffer(b"".join(piece for text in blanked for piece in (b" ", text)) + b" ", np.uint8)
+    solid = joined != 32
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # where words begin and end, in turn
+    begins, ends = edges[::2], edges[1::2]
+    offsets = np.append(0, np.cumsum(ends - begins)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(joined[solid])]).dictionary_encode()
+    places = np.fromiter(map(buckets.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    bounds = np.append(0, np.cumsum([len(text) + 1 for text in blanked]))
+    rows = np.repeat(np.arange(len(texts)) * buckets.dim, np.diff(np.searchsorted(begins, bounds)))
+    found = np.bincount(rows + places[words.indices.to_numpy()], minlength=len(texts) * buckets.dim)
+    return found.astype("float32").reshape(len(texts), buckets.dim), len(places) / max(1, len(begins))
+
+
+def _groups(texts: Iterator[str | None]) -> Iterator[list[str]]:
+    """The texts that are there, some at a time: what is made of their words is several times as long."""
+    group, chars = [], 0
+    for text in texts:
+        if text is not None:
+            group.append(text)
+            chars += len(text)
+        if chars >= _GROUP_CHARS or len(group) >= _GROUP_TEXTS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
+def _all_counted(texts: Iterator[str | None], buckets: _Buckets) -> list[np.ndarray]:
+    """Word counts of the texts that are there, in either way as their words repeat themselves or not."""
+    out, share = [], 0.0
+    for k, group in enumerate(_groups(texts)):
+        if share <= _FEW_WORDS or k % 16 == 0:
+            counts, share = _counted_together(group, buckets)
+            out.append(counts)
+        else:
+            out += [_counted(text, buckets) for text in group]
+    return out
+
+
+def _listed(vectors: list[np.ndarray], missing: np.ndarray, dim: int) -> pa.Array:
+    """The vectors of ``dim`` numbers of those that are not missing as a list array; the others are null."""
     ends = np.append(0, np.cumsum(~missing)) * dim
-    flat = np.concatenate([np.zeros(0, np.float32), *known])
+    flat = np.concatenate([np.zeros(0, np.float32), *(rows.ravel() for rows in vectors)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(missing))
 
 
@@ -68,7 +115,8 @@ def hashed_counts(dim: int = fv.VECTOR_DIM) -> Embedder:
                 known = texts.notna().to_numpy()
                 yield pd.Series([_counted(text, buckets) if is_text else None for text, is_text in zip(texts, known)], dtype=object)
             else:
-                yield _listed([_counted(text.as_py(), buckets) if text.is_valid else None for text in texts], dim)
+                missing = texts.is_null().to_numpy(zero_copy_only=False)
+                yield _listed(_all_counted((text.as_py() for text in texts), buckets), missing, dim)
 
     return embed.asNondeterministic()
 

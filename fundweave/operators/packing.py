@@ -16,7 +16,8 @@ through one number: the tokens held by the open chunk. So
 
 A fund holding a third of all rows lies in a third of the partitions; many small
 funds share one. Rows are shuffled once; only chunks across a block's edge are
-grouped afterwards.
+grouped afterwards, from the rows that can belong to them, which a block also
+holds apart.
 """
 
 from __future__ import annotations
@@ -175,8 +176,11 @@ class _Cutter:
         table = pa.Table.from_batches(self.parts)
         keys = {name: table[name][0] for name in self.schema.names[:self.n_keys]}
         summary = summarise(table["_tokens"].to_numpy().astype(np.int64), self.limit)
+        rows, tokens = table["_row"].combine_chunks(), table["_tokens"].combine_chunks()
+        head, tail = self.margins(tokens.to_numpy().astype(np.int64), ends)
         block = {**keys, "part": self.part, "seq": self.seq, "ends": ends, "prefix": self.prefix, "held": self.held, "base": self.base,
-                 "rows": table["_row"].combine_chunks(), "tokens": table["_tokens"].combine_chunks(), "edge": None, "fixed": None}
+                 "head": None if head is None else rows.slice(0, head), "tail": None if tail is None else rows.slice(tail),
+                 "rows": rows, "tokens": tokens, "edge": None, "fixed": None}
         if self.prefix is not None:
             self.prefix = compose(self.prefix, summary, self.limit)
         held, opened = after(summary, self.held, self.limit)
@@ -184,18 +188,30 @@ class _Cutter:
         self.parts, self.rows, self.bytes, self.seq = [], 0, 0, self.seq + 1
         return block
 
+    def margins(self, tokens: np.ndarray, ends: bool) -> tuple[int | None, int | None]:
+        """How many of the first rows, and from which on the last rows can belong to a chunk across the block's edge: those
+        that fit a chunk together, one at least. None where there is no such chunk, or where the first rows are all."""
+        if ends and self.prefix is None and not self.base:  # the whole fund
+            return None, None
+        totals = np.cumsum(tokens)
+        head = max(1, int(np.searchsorted(totals, self.limit, side="right")))
+        if ends or head == len(tokens):
+            return head, None
+        before = totals - tokens
+        return head, min(len(tokens) - 1, int(np.searchsorted(before, totals[-1] - self.limit, side="left")))
+
     def edge(self, keys: dict) -> dict:
         """What the partition hands on: the state of its last fund, or, if that is its only one, its summary."""
         known = Summary(_NONE, np.array([self.held]), np.array([self.base]), 0)
         return {**keys, "part": self.part, "seq": -1, "ends": None, "prefix": None, "held": None, "base": None, "rows": None, "tokens": None,
-                "edge": known if self.prefix is None else self.prefix, "fixed": self.prefix is None}
+                "head": None, "tail": None, "edge": known if self.prefix is None else self.prefix, "fixed": self.prefix is None}
 
 
 def _as_batch(blocks: list[dict], fields: pa.Schema) -> pa.RecordBatch:
     columns = []
     for field in fields:
         values = [b[field.name] for b in blocks]
-        if field.name in ("rows", "tokens"):
+        if field.name in ("rows", "tokens", "head", "tail"):
             at = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
             missing = pa.array([v is None for v in values])
             flat = [v for v in values if v is not None]
@@ -245,7 +261,8 @@ def stored_blocks(rows: DataFrame, keys: list[str], order: str = "row_ord", toke
     """Blocks of consecutive rows of one fund, and a row of what each partition hands on (``rows`` null), stored.
 
     ``late`` adds columns row by row, ``tokens`` among them, once the rows are sorted: what makes them before is run twice,
-    in as few tasks as the files give. There are at most ``rows / block_rows`` blocks more than funds and partitions together, besides those that are
+    in as few tasks as the files give. So are joins before it; one whose shuffled smaller side turns out to fit is not made by
+    sorting all rows, twice. There are at most ``rows / block_rows`` blocks more than funds and partitions together, besides those that are
     full in bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -263,10 +280,11 @@ def stored_blocks(rows: DataFrame, keys: list[str], order: str = "row_ord", toke
         T.StructField("ends", T.BooleanType()), T.StructField("held", T.LongType()), T.StructField("base", T.LongType()),
         T.StructField("prefix", T._parse_datatype_string(_SUMMARY)), T.StructField("fixed", T.BooleanType()),
         T.StructField("edge", T._parse_datatype_string(_SUMMARY)),
-        T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("rows", T.ArrayType(row))])
+        T.StructField("tokens", T.ArrayType(T.LongType())), *(T.StructField(name, T.ArrayType(row)) for name in ("head", "tail", "rows"))])
     path = scratch_path(spark, "blocks")
     blocks = ordered.mapInArrow(_cut_blocks(len(keys), max_tokens, block_rows, block_bytes, to_arrow_schema(fields)), fields)
-    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes=_SORTED_BYTES):
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes=_SORTED_BYTES,
+                  spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=_SORTED_BYTES):
         blocks.write.option("parquet.block.size", _GROUP_BYTES).option("parquet.page.size.row.check.min", _GROUP_CHECK).parquet(path)
     return spark.read.schema(fields).parquet(path)
 
@@ -388,22 +406,29 @@ def pack_pieces(
     entering = _entering(edges, places, max_tokens, entry).select(
         F.col("pos").alias("part"), F.col("key").alias("_key"), F.col("held").alias("_held"), F.col("base").alias("_base"))
 
-    known = blocks.filter("rows IS NOT NULL").join(F.broadcast(entering), "part", "left")  # a row per partition
+    known = blocks.filter("seq >= 0").join(F.broadcast(entering), "part", "left")  # a row per partition
     goes_on = F.col("prefix").isNotNull() & F.coalesce(reduce(and_, (F.col(f"_key.{k}") == F.col(k) for k in keys)), F.lit(False))
     unknown = F.col("prefix").isNotNull()
     held = F.when(goes_on, F.col("_held")).when(unknown, F.lit(fresh(max_tokens))).otherwise(F.col("held"))
     base = F.when(goes_on, F.col("_base")).when(unknown, F.lit(0)).otherwise(F.col("base"))
     cuts = _cuts_udf(max_tokens)(F.col("tokens"), held.cast("long"), base.cast("long"), F.col("prefix"), F.col("ends"))
-    cut = known.select(*keys, "rows", cuts.alias("_cuts"))
-    starts, count = F.col("_cuts.starts"), F.size("_cuts.starts")
+    cut = known.select(*keys, "tokens", "head", "tail", "rows", cuts.alias("_cuts"))
+    starts, count, size = F.col("_cuts.starts"), F.size("_cuts.starts"), F.size("tokens")
+
+    def piece(number: Column, taken: Callable[[Column, Column], Column]) -> Column:
+        start, stop = F.get(starts, number), F.coalesce(F.get(starts, number + 1), size)
+        return F.struct((F.col("_cuts.first") + number).alias("chunk_no"), taken(start, stop - start).alias("piece"))
+
+    def pieces(numbers: Column, taken: Callable[[Column, Column], Column]) -> DataFrame:
+        return cut.select(*keys, F.inline(F.transform(numbers, lambda number: piece(number, taken))))
 
-    def piece(number: Column) -> Column:
-        start = F.get(starts, number)
-        stop = F.coalesce(F.get(starts, number + 1), F.size("rows"))
-        return F.struct((F.col("_cuts.first") + number).alias("chunk_no"), F.slice("rows", start + 1, stop - start).alias("piece"))
+    def inside(start: Column, length: Column) -> Column:
+        return F.slice("rows", start + 1, length)
 
-    def pieces(numbers: Column) -> DataFrame:
-        return cut.select(*keys, F.inline(F.transform(numbers, piece)))
+    def margin(start: Column, length: Column) -> Column:
+        """Of the first rows, or else the last ones; the block's own rows are not read for it."""
+        return F.when((start == 0) | F.col("tail").isNull(), F.slice("head", start + 1, length)).otherwise(
+            F.slice("tail", start - size + F.size("tail") + 1, length))
 
     def begins_and_ends(number: Column) -> Column:
         return (F.col("_cuts.begins") | (number > 0)) & (F.col("_cuts.ends") | (number < count - 1))
@@ -411,10 +436,10 @@ def pack_pieces(
     edge = F.filter(F.array_distinct(F.array(F.lit(0), count - 1)), lambda n: ~begins_and_ends(n))
     parts = F.sort_array(F.collect_list(F.struct(F.get("piece", F.lit(0))[order].alias("at"), F.col("piece").alias("piece"))))
     joined = (
-        pieces(edge).groupBy(*keys, "chunk_no")
+        pieces(edge, margin).groupBy(*keys, "chunk_no")
         .agg(F.flatten(F.transform(parts, lambda p: p["piece"])).alias("piece"))
     )
-    return pieces(F.filter(F.sequence(F.lit(0), count - 1), begins_and_ends)).unionByName(joined)
+    return pieces(F.filter(F.sequence(F.lit(0), count - 1), begins_and_ends), inside).unionByName(joined)
 
 
 def pack(rows: DataFrame, keys: list[str], **options) -> DataFrame:

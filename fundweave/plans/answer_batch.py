@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fundweave import fixed_values as fv
 from fundweave.functions import text as tx
@@ -33,7 +33,7 @@ def retrieve(
     return rv.drop_near_repeats(search.with_metadata(valid, vectors))
 
 
-def _asked_id() -> Column:
+def asked_id() -> Column:
     """What a question is searched by: the hash of its text and of where it looks."""
     return F.md5(F.to_json(F.struct("question", "namespace", "need_pl")))
 
@@ -43,28 +43,32 @@ def reply_text(answer: Column) -> Column:
     return tx.clean_reply(tx.clean_answer(answer))
 
 
-def search_contexts(routed: DataFrame, vectors: DataFrame, **options) -> DataFrame:
-    """Routed questions with the ``context`` found for them, null where too little was.
+def different_contexts(routed: DataFrame, vectors: DataFrame, **options) -> DataFrame:
+    """``_asked, context``: the context of each different question for which enough is found.
 
     A batch repeats itself, so each different question is searched once.
     """
     different = ["question", "namespace", "need_pl"]
-    asked = routed.select(*different).distinct().withColumn("question_id", _asked_id())
-    contexts = cx.chunk_contexts(retrieve(asked, vectors, **options)).withColumnRenamed("question_id", "_asked")
+    asked = routed.select(*different).distinct().withColumn("question_id", asked_id())
+    return cx.chunk_contexts(retrieve(asked, vectors, **options)).withColumnRenamed("question_id", "_asked")
+
+
+def search_contexts(routed: DataFrame, vectors: DataFrame, **options) -> DataFrame:
+    """Routed questions with the ``context`` found for them, null where too little was."""
     return (
-        routed.withColumn("_asked", _asked_id())
-        .join(contexts, "_asked", "left").drop("_asked")
+        routed.withColumn("_asked", asked_id())
+        .join(different_contexts(routed, vectors, **options), "_asked", "left").drop("_asked")
     )
 
 
-def _refusal_without(context: str) -> Column:
+def refusal_without(context: str) -> Column:
     return F.when(F.col(context).isNull(), F.lit(fv.REFUSAL))
 
 
 def retrieve_and_validate(questions: DataFrame, vectors: DataFrame, auto_classify: bool = True, **options) -> DataFrame:
     """``question_id, context, error``: the numbered chunk texts, or the refusal."""
     found = search_contexts(route(questions, auto_classify), vectors, **options)
-    return found.select("question_id", "context", _refusal_without("context").alias("error"))
+    return found.select("question_id", "context", refusal_without("context").alias("error"))
 
 
 def gather_contexts(questions: DataFrame, vectors: DataFrame, holdings: DataFrame, trades: DataFrame, **options) -> DataFrame:
@@ -75,7 +79,7 @@ def gather_contexts(questions: DataFrame, vectors: DataFrame, holdings: DataFram
         cx.aggregation_contexts(stats.holdings_by_fund(holdings), stats.trades_by_fund(trades)),
     ).select("question_id", "question", "query_type", "context", F.lit(None).cast("string").alias("error"))
     searched = search_contexts(routed.filter("query_type = 'specific'"), vectors, **options).select(
-        "question_id", "question", "query_type", "context", _refusal_without("context").alias("error"))
+        "question_id", "question", "query_type", "context", refusal_without("context").alias("error"))
     return aggregated.unionByName(searched)
 
 
@@ -94,7 +98,7 @@ def gather_keyed(questions: DataFrame, vectors: DataFrame | None, holdings_stats
     if vectors is None:
         return asked, lines
     searched = search_contexts(routed.filter("query_type = 'specific'"), vectors, **options).select(
-        "question_id", "question", "query_type", "context", _refusal_without("context").alias("error"))
+        "question_id", "question", "query_type", "context", refusal_without("context").alias("error"))
     return asked.unionByName(searched, allowMissingColumns=True), lines
 
 
@@ -108,14 +112,14 @@ def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], paus
     """Adds ``answer`` and ``failure`` by calling ``load()`` once per task and its result per prompt.
 
     No generator is supplied. ``pause`` seconds pass between the calls of a task. A row with a ``context_key`` gets its
-    prompt from the stored ``lines`` (of gather_keyed) just before it is sent; the text is in no row.
+    prompt from the stored ``lines`` (of gather_keyed) just before it is sent; the text is in no row. Prompts alone go to
+    Python, answers and failures alone come back; contexts and other columns stay where they are.
     """
-    keyed = lines is not None
     files = lines.inputFiles() if lines is not None else []
-    schema = T.StructType(prompted.schema.fields + [
-        T.StructField("answer", T.StringType()), T.StructField("failure", T.StringType())])
+    keyed = ["context_key", "wants_cash", "question"] if lines is not None else []
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("answer string, failure string")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import time
 
         ask: Any = load()
@@ -123,10 +127,10 @@ def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], paus
         stored = cx.StoredContext(files)
         for batch in batches:
             answers, failures = [], []
-            keys = batch["context_key"] if keyed else [None] * len(batch)
-            for row, (prompt, key) in enumerate(zip(batch["prompt"], keys)):
-                if key is not None:
-                    prompt = stored.prompt(bool(batch["wants_cash"].iloc[row]), batch["question"].iloc[row])
+            for row in batch:
+                prompt = row["prompt"].as_py()
+                if keyed and row["context_key"].is_valid:
+                    prompt = stored.prompt(bool(row["wants_cash"].as_py()), row["question"].as_py())
                 if prompt is None:
                     answers.append(None)
                     failures.append(None)
@@ -140,9 +144,11 @@ def generate(prompted: DataFrame, load: Callable[[], Callable[[str], str]], paus
                 except Exception as problem:  # a failed call is a result, not a failed job
                     answers.append(None)
                     failures.append(str(problem))
-            yield batch.assign(answer=answers, failure=failures)
+            said = [pa.array(answers, pa.string()), pa.array(failures, pa.string())]
+            yield pa.StructArray.from_arrays(said, ["answer", "failure"])
 
-    return prompted.mapInPandas(answer, schema)
+    said = prompted.withColumn("_said", answer.asNondeterministic()(F.struct("prompt", *keyed)))
+    return said.select(*prompted.columns, "_said.answer", "_said.failure")
 
 
 def results(generated: DataFrame) -> DataFrame:

@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from fundweave import fixed_values as fv
 from fundweave.functions import answers as an
+from fundweave.functions.routing import route
 from fundweave.operators import context as cx
 from fundweave.plans import answer_batch as ab
 
 
 def contexts(questions: DataFrame, vectors: DataFrame, auto_classify: bool = True, **options) -> DataFrame:
     """``question_id, question, context, error, prompt``: what is found for each question, in the strict prompt; the refusal
-    and no prompt where too little was."""
-    found = ab.retrieve_and_validate(questions, vectors, auto_classify, **options)
-    asked = questions.select("question_id", "question").join(found, "question_id")
-    return asked.withColumn("prompt", cx.system_prompt(F.col("context"), F.col("question")))
+    and no prompt where too little was.
+
+    Questions meet by their ids before they meet their contexts, which are many times as long and are of few different
+    questions: so no context is shuffled or sorted for each question.
+    """
+    routed = route(questions, auto_classify)
+    asked = questions.select("question_id", "question").join(routed.select("question_id", ab.asked_id().alias("_asked")), "question_id")
+    found = asked.join(ab.different_contexts(routed, vectors, **options), "_asked", "left").drop("_asked")
+    return found.withColumns({
+        "error": ab.refusal_without("context"), "prompt": cx.system_prompt(F.col("context"), F.col("question"))})
 
 
 def answers(questions: DataFrame, vectors: DataFrame, load: Callable[[], Callable[[str], str]], auto_classify: bool = True,

@@ -51,14 +51,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _set_value(spark: SparkSession, name: str) -> str | None:
+    """What the session says of a setting; None where it says nothing, or just repeats Spark's default."""
+    value = spark.conf.get(name, None)
+    return None if value == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(name) else value
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: object) -> Iterator[None]:
-    """Session settings for the jobs that run inside; ``a__b`` is written for ``a.b``. Those that are set already stay."""
-    names = [name for name in (k.replace("__", ".") for k in conf) if spark.conf.get(name, None) is None]
+    """Session settings for the jobs that run inside; ``a__b`` is written for ``a.b``. Those that are set already stay, unless
+    to what is the default anyway."""
+    names = [name for name in (k.replace("__", ".") for k in conf) if _set_value(spark, name) is None]
+    before = {name: spark.conf.get(name, None) for name in names}
     try:
         for name in names:
             spark.conf.set(name, str(conf[name.replace(".", "__")]))
         yield
     finally:
-        for name in names:
-            spark.conf.unset(name)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

@@ -73,3 +73,55 @@ def test_settings_hold_for_the_jobs_inside_only(spark):
         assert spark.conf.get(name) in ("2m", "2097152b")
     finally:
         spark.conf.unset(name)
+
+
+def test_settings_hold_where_the_default_was_set_by_name(spark):
+    """Who sets a value back to what was read before says no more than Spark does; it is set back again."""
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, spark.conf.get(name))
+    try:
+        with settings(spark, spark__sql__files__maxPartitionBytes=1 << 20):
+            assert spark.conf.get(name) in ("1048576", "1048576b")
+        assert spark.conf.get(name) == "134217728b"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_rows_before_the_range_sort_are_not_sorted_for_a_join(spark, monkeypatch):
+    """What stands before the range sort is run twice, the sort of a join with it."""
+    from fundweave.operators import packing
+
+    seen, write = [], DataFrameWriter.parquet
+
+    def planned(self, *args, **options):
+        self._df.collect()
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", planned)
+    rows = spark.range(4000).select(F.lit("f").alias("fund"), F.col("id").alias("row_ord"), (F.col("id") % 50).alias("k"), F.lit(3).alias("n_tokens"))
+    names = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("name "), "id").alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = packing.pack_pieces(rows.join(names, "k"), ["fund"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "rangepartitioning" in seen[0] and "ShuffledHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+    assert whole.select(F.inline("piece")).filter("text = concat('name ', k)").count() == 4000
+
+
+def test_words_counted_together_are_those_counted_one_by_one(spark, monkeypatch):
+    """Texts are counted in groups, and word by word where words hardly repeat themselves."""
+    texts = ["The fund, the FUND!", None, "", "  \t\n", "Größe ÄB a-b İstanbul ΟΔΟΣ ΣΑΣ", "\x00a\x00 b", None, "x" * 5000, " a", "b "]
+    many = texts * 30 + [" ".join(f"w{i}x{k}" for i in range(40)) for k in range(30)] + texts
+    alone = [None if t is None else vec._counted(t, vec._Buckets(16)).tolist() for t in many]
+    counted = []
+    together = vec._counted_together
+    monkeypatch.setattr(vec, "_counted_together", lambda group, buckets: counted.append(len(group)) or together(group, buckets))
+    for chars in (1, 300, 10_000_000):
+        monkeypatch.setattr(vec, "_GROUP_CHARS", chars)
+        assert next(vec.hashed_counts(16).func(iter([pa.array(many)]))).to_pylist() == alone
+    assert counted[-1] == sum(t is not None for t in many)
+    assert next(vec.hashed_counts(16).func(iter([pa.array(["", " "])]))).to_pylist() == [[0.0] * 16] * 2
+    assert next(vec.hashed_counts(16).func(iter([pa.array([], pa.string())]))).to_pylist() == []

@@ -192,3 +192,47 @@ def test_rows_are_rendered_after_the_sort_as_before_it(spark):
         *(F.when(F.col("id") % 5 > 0, F.col("id") * 1234.5).alias(name) for name in ("Quantity", "Price", "TotalCash", "Principal")))
     late = {tuple(map(str, r)) for r in ch.build_chunks(None, trades).collect()}
     assert late and late == {tuple(map(str, r)) for r in ch.chunk_rows(ch.trades_rows(trades)).collect()}
+
+
+def test_chunks_across_edges_do_not_read_whole_blocks(spark):
+    """What lies across a block's edge is made of the few rows that a block holds apart."""
+    import contextlib
+    import io
+
+    df = pack_pieces(some_rows(spark).withColumn("n_tokens", F.lit(3)), ["namespace", "fund"], block_rows=64)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    read = [line.split("FileScan parquet ")[1].split("]")[0] for line in out.getvalue().splitlines() if "FileScan parquet" in line and "tokens#" in line]
+    assert sorted(("rows#" in columns, "head#" in columns) for columns in read) == [(False, True), (True, False)], read
+
+
+def test_any_edge_gives_the_literal_walk(spark):
+    """Rows without tokens, rows over the limit, chunks of many blocks and blocks of many chunks."""
+    rows = spark.range(1500).select(
+        F.when(F.col("id") % 13 == 0, "rare").when(F.col("id") % 701 == 0, F.concat(F.lit("one"), "id")).otherwise("big").alias("fund"),
+        F.col("id").alias("row_ord"),
+        F.get(F.array(*map(F.lit, [0, 0, 0, 1, 2, 5, 9, 10, 11, 40])), F.pmod(F.xxhash64("id"), F.lit(10)).cast("int")).alias("n_tokens"))
+    for limit, size in ((10, 1), (10, 5), (10, 200), (60, 3), (3, 17)):
+        whole = pack_pieces(rows, ["fund"], max_tokens=limit, block_rows=size)
+        packed = whole.select("fund", "chunk_no", F.inline("piece")).toPandas().sort_values("row_ord")
+        assert len(packed) == 1500 and whole.count() == len(packed[["fund", "chunk_no"]].drop_duplicates())
+        for _, mine in packed.groupby("fund"):
+            assert mine["chunk_no"].tolist() == literal(mine["n_tokens"].tolist(), limit)
+
+
+def test_only_blocks_with_an_edge_hold_rows_twice(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2000, "big").otherwise(F.concat(F.lit("f"), F.col("id"))).alias("fund"),
+        F.col("id").alias("row_ord"), F.lit(3).alias("n_tokens"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        blocks = stored_blocks(rows, ["fund"], max_tokens=30, block_rows=100).filter("rows IS NOT NULL").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(blocks) == 1020
+    last = max(b["fund"] for b in blocks)  # what comes after a partition is not known in it
+    assert all(b["head"] is None and b["tail"] is None for b in blocks if b["fund"] not in ("big", last))
+    for b in blocks:
+        if b["fund"] == "big":
+            assert b["head"] == b["rows"][:10] and b["tail"] == (None if b["ends"] else b["rows"][-10:])
